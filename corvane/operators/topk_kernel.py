@@ -1,0 +1,102 @@
+"""Task-side running top-k used by the BM25 and vector searches.
+
+A scan task keeps k candidates per query while it reads its batches and emits only those, so no
+(query, row) pair table is ever shuffled; the final cut per query happens in Spark.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corvane.operators.ranking import top_n_per_group
+
+DIGITS = 6
+# Query rows one broadcast may hold; larger query tables take a join or several bounded passes.
+MAX_QUERIES = 4096
+
+
+class RunningTopK:
+    """Best k (score desc, id asc) per query position over any number of batches."""
+
+    def __init__(self, n_queries: int, k: int, floor: float = -np.inf) -> None:
+        self.k, self.floor = k, floor
+        self.cut = np.full(n_queries, floor)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """scores is (queries, rows); rows below a query's current k-th score are skipped."""
+        scores = np.round(scores, DIGITS)
+        keep = scores >= self.cut[:, None]
+        if self.floor > -np.inf:
+            keep &= scores > self.floor
+        if allowed is not None:
+            keep &= allowed
+        if scores.shape[1] > self.k:
+            masked = np.where(keep, scores, -np.inf)
+            kth = np.partition(masked, -self.k, axis=1)[:, -self.k]
+            keep &= scores >= kth[:, None]
+        q, r = np.nonzero(keep)
+        if len(q):
+            self.parts.append((q, ids[r], scores[q, r]))
+            self.held += len(q)
+            if self.held > 4 * self.k * len(self.cut):
+                self._shrink()
+
+    def _shrink(self) -> None:
+        q, ids, s = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        order = np.lexsort((ids, -s, q))
+        q, ids, s = q[order], ids[order], s[order]
+        first = np.r_[True, q[1:] != q[:-1]]
+        starts = np.flatnonzero(first)
+        within = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+        last = within == self.k - 1
+        self.cut[q[last]] = np.maximum(self.cut[q[last]], s[last])
+        keep = within < self.k
+        self.parts, self.held = [(q[keep], ids[keep], s[keep])], int(keep.sum())
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if not self.parts:
+            return None
+        self._shrink()
+        return self.parts[0]
+
+
+def hit_schema(qid: T.DataType, row_id: T.DataType) -> T.StructType:
+    return T.StructType(
+        [T.StructField("qid", qid), T.StructField("id", row_id), T.StructField("score", T.DoubleType())]
+    )
+
+
+def to_batch(found, qids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    q, ids, s = found
+    columns = [qids[q].tolist(), ids.tolist(), s.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def best_k(hits: DataFrame, k: int) -> DataFrame:
+    """Final cut over the tasks' candidates: `rank` 0-based within the query."""
+    ranked = top_n_per_group(hits, ["qid"], [F.desc("score"), F.asc("id")], k)
+    return ranked.withColumn("rank", F.col("rank") - 1)
+
+
+def query_blocks(queries: DataFrame, qid: str, limit: int = MAX_QUERIES) -> list[DataFrame]:
+    """The query table as blocks that each fit one broadcast; one block when it is small."""
+    n = queries.count()
+    if n <= limit:
+        return [queries]
+    blocks = -(-n // (limit // 2))
+    bucket = F.pmod(F.xxhash64(qid), F.lit(blocks))
+    return [queries.where(bucket == b) for b in range(blocks)]
+
+
+def bounded_rows(df: DataFrame, limit: int) -> list:
+    """Rows of a table proven to hold at most `limit` rows."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; use smaller blocks")
+    return rows
