@@ -79,8 +79,8 @@ def pick_game(queries: DataFrame, games: DataFrame, now: Column) -> DataFrame:
     )
     venue_ok = (F.col("code") == "*") | F.col("venue").isNull() | F.contains(F.coalesce("stadium", F.lit("")), F.col("venue"))
     found = asked.join(nearest, "code").where(venue_ok).groupBy("qid").agg(
-        F.min_by("next", F.struct("next.game_date_time", "next.game_id")).alias("next"),
-        F.max_by("last", F.struct("last.game_date_time", "last.game_id")).alias("last"),
+        F.min_by("next", F.when(F.col("next").isNotNull(), F.struct("next.game_date_time", "next.game_id"))).alias("next"),
+        F.max_by("last", F.when(F.col("last").isNotNull(), F.struct("last.game_date_time", "last.game_id"))).alias("last"),
     )
     ahead = F.when(F.col("next").isNotNull(), F.struct(F.lit("upcoming").alias("relation"), F.col("next").alias("game")))
     done = F.when(F.col("last").isNotNull(), F.struct(F.lit("last_finished").alias("relation"), F.col("last").alias("game")))

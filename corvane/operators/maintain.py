@@ -105,7 +105,7 @@ def cache_freshness(requests: DataFrame, cache: DataFrame, now: Column, *, key:
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))
     label = (
         F.when(F.col("fetched_at").isNull(), F.lit("unavailable"))
-        .when(age > F.col("ttl_seconds") * 1_000_000, F.lit("stale"))
+        .when(age > F.col("ttl_seconds").cast("bigint") * 1_000_000, F.lit("stale"))
         .otherwise(F.lit("cached"))
     )
     return aged.withColumn("freshness", label)
