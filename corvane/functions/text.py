@@ -22,10 +22,18 @@ CIRCLED_LETTER_BASE = 0x249C
 CIRCLED_NUMBER_BASE = 0x2474
 
 
+# Characters the compatibility form leaves alone and never joins with a neighbour.
+STABLE = r"^[\x00-\x7F¡§«°·»¿À-ıĴ-ľŁ-ňŊ-žА-я‐–—‘’“”가-힣一-鿿]*$"
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility form; Spark has no built-in for it."""
-    return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
+def _normalized(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility form. Spark has no built-in for it, so only texts it can change leave the JVM."""
+    return F.coalesce(_normalized(F.when(~text.rlike(STABLE), text)), text)
 
 
 def rule_numbers(text: Column) -> Column:

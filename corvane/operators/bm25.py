@@ -204,13 +204,17 @@ def systematic_sample(docs: DataFrame, id: str, sample: int = REFERENCE_SAMPLE,
         & (F.col("_before") <= (sample - 1) * step)
     )
     inside = Window.partitionBy("_b").orderBy(id)
-    placed = docs.withColumn("_b", bucket).join(F.broadcast(wanted), "_b").withColumn(
+    placed = docs.select(id).withColumn("_b", bucket).join(F.broadcast(wanted), "_b").withColumn(
         "_pos", F.col("_before") + F.row_number().over(inside) - 1
     )
-    return placed.where((F.col("_pos") % step == 0) & (F.col("_pos") < sample * step)).drop("_b", "_n", "_before", "_pos")
+    picked = placed.where((F.col("_pos") % step == 0) & (F.col("_pos") < sample * step)).select(id)
+    # At most `sample` ids, so they can go into the scan as a pushed-down filter.
+    return docs.where(F.col(id).isin([r[0] for r in bounded_rows(picked, sample)]))
 
 
-def bm25_reference(docs: DataFrame, index: DataFrame, kind: str = "short", *, id: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25_reference(
+    docs: DataFrame, index: DataFrame, kind: str = "short", *, id: str = "doc_id", text: str = "text", stats: DataFrame | None = None
+) -> DataFrame:
     """One row `ref_score`: the 0.9 index pick of the best scores of sampled own texts."""
     sample = systematic_sample(docs.select(id, text), id)
     if kind == "sentence":
@@ -223,7 +227,7 @@ def bm25_reference(docs: DataFrame, index: DataFrame, kind: str = "short", *, id
             F.count(F.lit(1)).alias("qtf")
         )
     asked_ids = sample.select(F.col(id).alias("qid")) if kind == "sentence" else terms.select("qid").distinct()
-    top = bm25_topk(index, terms, 1).select("qid", "score")
+    top = bm25_topk(index, terms, 1, stats=stats).select("qid", "score")
     # At most `sample` values, so one sorted array is small by construction.
     tops = asked_ids.join(top, "qid", "left").agg(
         F.array_sort(F.collect_list(F.coalesce("score", F.lit(0.0)))).alias("_t")

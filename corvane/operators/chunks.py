@@ -109,7 +109,7 @@ def merge_small(
 ) -> DataFrame:
     """Adds merge_group: consecutive small sections of a chapter packed up to the budget.
 
-    Greedy packing is a true fold, so each document's sizes travel as one small array of integers.
+    Greedy packing is a true fold over a document's sections in order; only their sizes leave the JVM.
     """
     order = Window.partitionBy(doc).orderBy("section_no")
     large = F.col(tokens) >= threshold
@@ -120,15 +120,14 @@ def merge_small(
         | (F.lag("rule_chapter").over(order) != F.col("rule_chapter"))
     )
     flagged = sections.withColumn("_restart", F.coalesce(restart, F.lit(False)))
-    item = F.struct("section_no", F.col(tokens).cast("int").alias("n"), F.col("_restart").alias("r"))
-    packed = (
-        flagged.groupBy(doc)
-        .agg(F.array_sort(F.collect_list(item)).alias("_s"))
-        .withColumn("_g", greedy_groups(F.transform("_s", lambda x: x["n"]), F.transform("_s", lambda x: x["r"]), F.lit(budget)))
-        .select(doc, F.inline(F.arrays_zip(F.transform("_s", lambda x: x["section_no"]).alias("section_no"), F.col("_g").alias("merge_group"))))
-        .toDF(doc, "section_no", "merge_group")
+    item = F.struct("section_no", *[c for c in flagged.columns if c not in (doc, "section_no")])
+    packed = flagged.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    sizes = F.transform("_s", lambda x: x[tokens].cast("int"))
+    groups = greedy_groups(sizes, F.transform("_s", lambda x: x["_restart"]), F.lit(budget))
+    placed = packed.withColumn("_g", groups).select(doc, F.inline(F.arrays_zip("_s", "_g"))).select(
+        doc, "_s.*", F.col("_g").alias("merge_group")
     )
-    return sections.join(packed, [doc, "section_no"])
+    return placed.drop("_restart")
 
 
 def _joined(lines: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -130,9 +131,16 @@ def team_or_venue(matched: DataFrame) -> DataFrame:
     return matched.withColumn("team", F.coalesce("team", only))
 
 
-def keyword_pattern(keywords: list[str]) -> str:
-    """Any keyword, ignoring case, a blank in it standing for any amount of blanks."""
-    return "(?iu)" + "|".join(re.sub(r"\\?\s", r"\\s*", re.escape(k)) for k in keywords if k)
+def keyword_hit(lowered: Column, keyword: str) -> Column:
+    """The keyword occurs in lower-cased text, a blank in it standing for any amount of blanks.
+
+    Plain substring tests decide most texts; the pattern runs only where all parts occur.
+    """
+    parts = keyword.lower().split()
+    found = F.lit(True)
+    for part in parts:
+        found = found & F.contains(lowered, F.lit(part))
+    return found & lowered.rlike(r"\s*".join(re.escape(p) for p in parts)) if len(parts) > 1 else found
 
 
 def match_keywords(
@@ -143,10 +151,16 @@ def match_keywords(
     items: ord, id, keywords.
     """
     rows = sorted(bounded_rows(items.select("ord", "id", "keywords"), INLINE_NAMES), key=lambda r: r["ord"])
-    source = F.coalesce(F.col(text), F.lit(""))
-    hits = [F.when(source.rlike(keyword_pattern(r["keywords"])), F.lit(r["id"])) for r in rows if any(r["keywords"])]
+    low = F.col("_low")
+    hits = []
+    for r in rows:
+        words = [keyword_hit(low, k) for k in r["keywords"] if k and k.strip()]
+        if words:
+            hits.append(F.when(reduce(Column.__or__, words), F.lit(r["id"])))
     found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-    return texts.withColumn(out, F.slice(found, 1, limit))
+    # Wrapped once, so that lower-casing runs once per row and not once per keyword.
+    lowered = F.array(F.struct(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low")))
+    return texts.select("*", F.inline(lowered)).withColumn(out, F.slice(found, 1, limit)).drop("_low")
 
 
 def snapshot_entries(matched: DataFrame, items: DataFrame, *, key: str = "qid") -> DataFrame:

@@ -75,16 +75,22 @@ def sectionize(
     Columns: doc, doc_type, section_no, rule_no, rule_chapter, rule_title, chapter_title, term_no,
     term_en, term_ko, header_page, lines (page, line), page_start, page_end.
     """
-    bounds = find_body_start(lines, body_anchor, doc).join(find_terms_start(lines, terms_title, doc), doc)
-    page = F.col("page_no")
-    zone = F.when((page >= F.col("body_start")) & (page < F.col("terms_start")), F.lit("rule")).when(
-        page >= F.col("terms_start"), F.lit("term")
+    page, line = F.col("page_no"), F.col("line")
+    whole = Window.partitionBy(doc)
+    first = F.min(F.when(line.rlike(body_anchor), page)).over(whole)
+    second = F.min(F.when(line.rlike(body_anchor) & (page > F.col("_first")), page)).over(whole)
+    bounded = (
+        lines.withColumn("_first", first)
+        .withColumn("_body", F.coalesce(second, "_first"))
+        .withColumn("_terms", F.min(F.when(line.rlike(terms_title), page)).over(whole))
     )
-    zoned = lines.join(bounds, doc).withColumn("doc_type", zone).where(F.col("doc_type").isNotNull())
+    zone = F.when((page >= F.col("_body")) & (page < F.col("_terms")), F.lit("rule")).when(
+        page >= F.col("_terms"), F.lit("term")
+    )
+    zoned = bounded.withColumn("doc_type", F.when(F.col("_body").isNotNull(), zone)).where(F.col("doc_type").isNotNull())
 
     upto = Window.partitionBy(doc, "doc_type").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(doc, "doc_type").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    line = F.col("line")
     is_rule, is_term = F.col("doc_type") == "rule", F.col("doc_type") == "term"
 
     flagged = (

@@ -38,28 +38,32 @@ book AS (SELECT doc_id, (line_no // 3 + 1)::INT AS page_no, line_no::INT AS line
 
 
 def book_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = docs(spark, sf).select(
-        "doc_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    )
-    no, w = F.col("line_no"), F.length("line")
-    cut = F.floor(F.col("n") * 7 / 10)
-    since = no - cut
-    term = F.concat(
-        (F.floor((since + 1) / 2) + F.when(w % 4 == 0, 1).otherwise(0)).cast("string"), F.lit(". TERM "),
-        F.char((65 + w % 26).cast("bigint")), F.lit(" ("), w.cast("string"), F.lit(")"),
-    )
-    number = F.when(w % 5 == 0, 0).otherwise((w * 7 + no) % 100)
-    header = F.concat(F.format_string("%d.%02d ", F.least(F.lit(9), 1 + F.floor(no / 4)), number), "line")
-    line = (
-        F.when(no == cut, F.lit("<용어의 정의>"))
-        .when((no > cut) & (no == F.col("n") - 1) & (w % 3 == 0), F.lit("<부록 표>"))
-        .when((no > cut) & (since % 2 == 1), term)
-        .when(no % 13 == 4, F.concat(F.lit("· "), no.cast("string"), F.lit(" ·")))
-        .when(no % 11 == 6, F.concat(F.lit("5.06  "), w.cast("string"), F.lit("x")))
-        .when(w < 120, header)
-        .otherwise(F.col("line"))
-    )
-    return rows.select("doc_id", (F.floor(no / 3) + 1).cast("int").alias("page_no"), "line_no", line.alias("line"))
+    def rewritten(line, no, n):
+        w = F.length(line)
+        cut = F.floor(n * 7 / 10)
+        since = no - cut
+        term = F.concat(
+            (F.floor((since + 1) / 2) + F.when(w % 4 == 0, 1).otherwise(0)).cast("string"), F.lit(". TERM "),
+            F.char((65 + w % 26).cast("bigint")), F.lit(" ("), w.cast("string"), F.lit(")"),
+        )
+        number = F.when(w % 5 == 0, 0).otherwise((w * 7 + no) % 100)
+        chapter = F.least(F.lit(9), 1 + F.floor(no / 4)).cast("string")
+        header = F.concat(chapter, F.lit("."), F.lpad(number.cast("string"), 2, "0"), F.lit(" "), line)
+        return (
+            F.when(no == cut, F.lit("<용어의 정의>"))
+            .when((no > cut) & (no == n - 1) & (w % 3 == 0), F.lit("<부록 표>"))
+            .when((no > cut) & (since % 2 == 1), term)
+            .when(no % 13 == 4, F.concat(F.lit("· "), no.cast("string"), F.lit(" ·")))
+            .when(no % 11 == 6, F.concat(F.lit("5.06  "), w.cast("string"), F.lit("x")))
+            .when(w < 120, header)
+            .otherwise(line)
+        )
+
+    # The whole text is rewritten inside its row, so splitting happens once per document.
+    split = F.array(F.split("text", "\n"))
+    lines = F.flatten(F.transform(split, lambda ls: F.transform(ls, lambda x, i: rewritten(x, i, F.size(ls)))))
+    rows = docs(spark, sf).select("doc_id", F.posexplode(lines).alias("line_no", "line"))
+    return rows.select("doc_id", (F.floor(F.col("line_no") / 3) + 1).cast("int").alias("page_no"), "line_no", "line")
 
 
 KEPT_SQL = r"""
@@ -234,12 +238,16 @@ def split_units(spark, sf):
 
 @R.add("build_chunks")
 def build_chunks(spark, sf):
-    return C.build_chunks(book_sections(spark, sf), budget=60, threshold=120, window=50, overlap=10)
+    return book_chunks(spark, sf)
+
+
+def book_chunks(spark, sf) -> DataFrame:
+    return C.build_chunks(book_sections(spark, sf).persist(), budget=60, threshold=120, window=50, overlap=10)
 
 
 @R.add("build_glossary")
 def build_glossary(spark, sf):
-    return C.build_glossary(C.build_chunks(book_sections(spark, sf), budget=60, threshold=120, window=50, overlap=10))
+    return C.build_glossary(book_chunks(spark, sf))
 
 
 WINDOW_SQL = r"""

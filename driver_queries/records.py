@@ -425,8 +425,8 @@ def known_status(spark, sf):
 
 @R.add(
     "interval_match",
-    """WITH g AS (SELECT o_orderkey AS game_id, concat('N', o_custkey % 25) AS code, DATE '2024-01-01' + (o_orderkey % 30)::INT AS game_date FROM orders),
-    v AS (SELECT event_id AS id, concat('N', user_id % 25) AS code, (ts + INTERVAL 9 HOUR)::DATE AS published_at, CASE event_id % 3 WHEN 0 THEN concat('[H/L] ', month(ts), '.', day(ts), ' game') WHEN 1 THEN concat('1월 ', 1 + event_id % 28, '일 highlight') ELSE 'preview' END AS title FROM events),
+    """WITH g AS (SELECT o_orderkey AS game_id, concat('N', o_custkey) AS code, DATE '2024-01-01' + (o_orderkey % 30)::INT AS game_date FROM orders),
+    v AS (SELECT event_id AS id, concat('N', user_id) AS code, (ts + INTERVAL 9 HOUR)::DATE AS published_at, CASE event_id % 3 WHEN 0 THEN concat('[H/L] ', month(ts), '.', day(ts), ' game') WHEN 1 THEN concat('1월 ', 1 + event_id % 28, '일 highlight') ELSE 'preview' END AS title FROM events),
     d AS (SELECT *, month(game_date) AS m, day(game_date) AS dd FROM g)
     SELECT game_id, id FROM d JOIN v ON v.code = d.code AND ((published_at >= game_date AND published_at <= game_date + 2) OR contains(title, concat(m, '.', dd)) OR contains(title, concat(lpad(m::VARCHAR, 2, '0'), '.', lpad(dd::VARCHAR, 2, '0')))
       OR contains(title, concat(m, '월 ', dd, '일')) OR contains(title, concat(m, '월', dd, '일')))""",
@@ -437,9 +437,9 @@ def interval_match(spark, sf):
 
 
 def videos_of_games(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Orders as January games and events as uploads of 25 channels."""
+    """Orders as January games of a customer and events as uploads of the user with that number."""
     g = orders(spark, sf).select(
-        F.col("o_orderkey").alias("game_id"), F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string")).alias("code"), F.lit(0).alias("priority"),
+        F.col("o_orderkey").alias("game_id"), F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias("code"), F.lit(0).alias("priority"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("game_date"),
         F.lit("one").alias("home_name"), F.lit("two").alias("away_name"),
     )
@@ -449,7 +449,7 @@ def videos_of_games(spark, sf) -> tuple[DataFrame, DataFrame]:
         .when(e % 3 == 1, F.concat(F.lit("1월 "), (1 + e % 28).cast("string"), F.lit("일 highlight")))
         .otherwise(F.lit("preview"))
     )
-    v = events(spark, sf).select(e.alias("id"), F.concat(F.lit("N"), (F.col("user_id") % 25).cast("string")).alias("code"), V.kst_day(F.col("ts")).alias("published_at"), title.alias("title"))
+    v = events(spark, sf).select(e.alias("id"), F.concat(F.lit("N"), F.col("user_id").cast("string")).alias("code"), V.kst_day(F.col("ts")).alias("published_at"), title.alias("title"))
     return g, v
 
 

@@ -148,7 +148,9 @@ def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_index(spark: SparkSession, sf: str) -> SearchIndex:
     terms = corpus_index(spark, sf)
-    return SearchIndex(chunk_table(spark, sf), terms, vectors(spark, sf), bm25.bm25_reference(corpus(spark, sf), terms))
+    stats = bm25.term_stats(terms).persist()
+    reference = bm25.bm25_reference(corpus(spark, sf), terms, stats=stats)
+    return SearchIndex(chunk_table(spark, sf), terms, vectors(spark, sf), reference, stats)
 
 
 # ---------------------------------------------------------------- queries
@@ -187,7 +189,8 @@ REF_VALUE = "greatest(t[1 + least(len(t) - 1, floor(len(t) * 0.9)::BIGINT)], 1e-
 )
 def bm25_reference(spark, sf):
     docs, index = corpus(spark, sf), corpus_index(spark, sf)
-    parts = [bm25.bm25_reference(docs, index, k).select(F.lit(k).alias("kind"), "ref_score", "sampled") for k in ("short", "sentence")]
+    stats = bm25.term_stats(index).persist()
+    parts = [bm25.bm25_reference(docs, index, k, stats=stats).select(F.lit(k).alias("kind"), "ref_score", "sampled") for k in ("short", "sentence")]
     return parts[0].unionByName(parts[1])
 
 
