@@ -140,8 +140,8 @@ def expand_parents(
     """
     pooled = pool_payload(ranked, chunks)
     named = (F.coalesce("sub_item", F.lit("")) != "") & (F.coalesce("parent_id", F.lit("")) != "")
-    wanted = pooled.where((F.col("fused_rank") <= top) & named).select("qid", "parent_id").distinct()
-    picked = sibling_prefix(chunks, wanted.select("parent_id").distinct(), budget)
+    leads = (F.col("fused_rank") <= top) & named
+    picked = sibling_prefix(chunks, pooled.where(leads).select("parent_id").distinct(), budget)
     marker = F.coalesce("sub_item", F.lit(""))
     part = X.strip(F.concat_ws(" ", F.nullif(marker, F.lit("")), X.strip(X.body(F.col("content")))))
     parts = F.array_sort(F.collect_list(F.struct("sibling_no", part.alias("t"))))
@@ -158,10 +158,11 @@ def expand_parents(
     )
     crumb = F.regexp_replace("m_crumb", r"(?s) [^ ]*$", "")
     member = Window.partitionBy("qid", "parent_id").orderBy("fused_rank")
+    led = F.max(F.coalesce(leads, F.lit(False))).over(Window.partitionBy("qid", "parent_id"))
     joined = (
-        pooled.join(wanted.withColumn("_wanted", F.lit(True)), ["qid", "parent_id"], "left")
+        pooled.withColumn("_wanted", led)
         .join(merged, "parent_id", "left")
-        .withColumn("_merge", F.coalesce(F.col("_wanted"), F.lit(False)) & F.col("m_tokens").isNotNull())
+        .withColumn("_merge", F.col("_wanted") & F.col("m_tokens").isNotNull())
         .withColumn("_nth", F.when(F.col("_merge"), F.row_number().over(member)).otherwise(F.lit(1)))
         .where(F.col("_nth") == 1)
     )

@@ -393,6 +393,6 @@ def expand_parents(spark, sf):
         lines.select("id", "l_orderkey", "l_extendedprice").join(owners, "l_orderkey"),
         ["qid"], [F.desc("l_extendedprice"), F.col("id")], 20, rank="fused_rank",
     )
-    ranked = top.select("qid", "id", "fused_rank", F.round(1.0 / (60 + F.col("fused_rank")), 9).alias("score_fused"))
+    ranked = top.select("qid", "id", "fused_rank", F.round(1.0 / (60 + F.col("fused_rank")), 9).alias("score_fused")).persist()
     out = fusion.expand_parents(ranked, lines.drop("l_orderkey", "l_extendedprice"))
     return out.select("qid", "position", "id", "score_fused", "tokens", "page_start", "page_end")
