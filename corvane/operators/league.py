@@ -118,7 +118,8 @@ def roster_counts(players: DataFrame) -> DataFrame:
 
 
 def roster_top(players: DataFrame, keys: list[str], order: list[Column], limit: int = ROSTER_LINES) -> DataFrame:
-    """First `limit` rows per key with `others`, how many more there are."""
+    """First `limit` rows per key with `total` and `others`, how many more there are."""
+    players = players.drop("total")
     total = players.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     top = top_n_per_group(players, keys, order, limit, rank="place")
     return top.join(total, keys).withColumn("others", F.greatest(F.col("total") - limit, F.lit(0)))

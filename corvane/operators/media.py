@@ -44,7 +44,8 @@ def team_variants(teams: DataFrame) -> DataFrame:
     names = F.array_distinct(F.filter(F.concat(F.array("full"), "aliases", F.array("short")), lambda n: F.coalesce(n, F.lit("")) != ""))
     sized = F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
     called = F.array_distinct(F.concat(F.array("full"), "aliases"))
-    return teams.select(F.explode(called).alias("name"), F.transform(sized, lambda s: s["n"]).alias("variants"))
+    listed = teams.select(called.alias("_called"), sized.alias("_sized"))
+    return listed.select(F.explode("_called").alias("name"), F.transform("_sized", lambda s: s["n"]).alias("variants"))
 
 
 def date_mentions(title: Column, *, exact: bool = False) -> Column:
@@ -285,6 +286,6 @@ def build_places(
     )
     query = V.map_query(F.col("stadium"))
     maps = stadiums.join(answered, key, "left_semi").where(F.lit(with_map)).select(
-        key, F.lit("map").alias("kind"), V.card_id(query).alias("id"), query.alias("title"), query.alias("query")
+        key, F.lit("map").alias("kind"), V.card_id(query).alias("id"), query.alias("title"), query.alias("map_query")
     )
     return notice.unionByName(entries), cards, maps

@@ -109,6 +109,8 @@ class SessionMemory(StatefulProcessor):
             self.state.put(held)
         else:
             self.state.clear()
+        if not held:
+            return
         yield pd.DataFrame(
             {"conv_id": key[0], "turn": [h[0] for h in held], "role": [h[1] for h in held], "text": [h[2] for h in held]}
         )

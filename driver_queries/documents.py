@@ -92,6 +92,7 @@ parts AS (SELECT *, CASE WHEN is_rule THEN CASE WHEN title IS NULL THEN rest END
 secs AS (SELECT doc_id, doc_type, section_no::BIGINT AS section_no,
   max(CASE WHEN is_rule THEN substr(line, 1, 4) END) AS rule_no, max(CASE WHEN is_rule THEN substr(line, 1, 1) || '.00' END) AS rule_chapter,
   max(title) AS rule_title, max(CASE WHEN is_term THEN regexp_extract(line, '^\s*(\d{1,3})\.', 1)::INT END) AS term_no,
+  max(CASE WHEN is_term THEN regexp_extract(line, 'TERM [A-Z]') END) AS term_en, max(CASE WHEN is_term THEN regexp_extract(line, '\(([^)]+)\)', 1) END) AS term_ko,
   min(page_no) FILTER (is_rule OR is_term) AS header_page, min(page_no) FILTER (kept_line IS NOT NULL) AS p0, max(page_no) FILTER (kept_line IS NOT NULL) AS p1,
   count(kept_line) AS n_lines, string_agg(kept_line, chr(10) ORDER BY page_no, line_no) AS txt FROM parts GROUP BY ALL),
 sections AS (SELECT *, CASE WHEN n_lines = 0 THEN concat_ws(' ', rule_no, rule_title) ELSE txt END AS body_text,
@@ -184,17 +185,19 @@ def parse_stats(spark, sf):
     return stats.select("doc_id", "pages", "markers_stripped", "running_headers_stripped", "rules", "terms", "term_gaps")
 
 
-MERGE_SQL = f"""
+def merge_sql(budget: int, threshold: int) -> str:
+    full = f"(m.restart OR walk.used + m.tokens > {budget})"
+    return f"""
 sized AS (SELECT doc_id, section_no, rule_no, rule_chapter, len({sql_words('body_text')}) AS tokens FROM sections WHERE doc_type = 'rule'),
-marked AS (SELECT *, row_number() OVER w AS i, tokens >= 30 OR coalesce(lag(tokens >= 30) OVER w, false) OR rule_no LIKE '%.00'
+marked AS (SELECT *, row_number() OVER w AS i, tokens >= {threshold} OR coalesce(lag(tokens >= {threshold}) OVER w, false) OR rule_no LIKE '%.00'
   OR coalesce(lag(rule_chapter) OVER w <> rule_chapter, false) AS restart FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY section_no)),
 walk AS (SELECT doc_id, section_no, tokens, i, tokens AS used, 0 AS grp FROM marked WHERE i = 1
-  UNION ALL SELECT m.doc_id, m.section_no, m.tokens, m.i, CASE WHEN m.restart OR walk.used + m.tokens > 20 THEN m.tokens ELSE walk.used + m.tokens END,
-    walk.grp + CASE WHEN m.restart OR walk.used + m.tokens > 20 THEN 1 ELSE 0 END FROM walk JOIN marked m ON m.doc_id = walk.doc_id AND m.i = walk.i + 1)
+  UNION ALL SELECT m.doc_id, m.section_no, m.tokens, m.i, CASE WHEN {full} THEN m.tokens ELSE walk.used + m.tokens END,
+    walk.grp + CASE WHEN {full} THEN 1 ELSE 0 END FROM walk JOIN marked m ON m.doc_id = walk.doc_id AND m.i = walk.i + 1)
 """
 
 
-@R.add("merge_small", f"{BOOK}, {MERGE_SQL} SELECT doc_id, section_no, tokens::INT AS tokens, grp::INT AS merge_group FROM walk")
+@R.add("merge_small", f"{BOOK}, {merge_sql(20, 30)} SELECT doc_id, section_no, tokens::INT AS tokens, grp::INT AS merge_group FROM walk")
 def merge_small(spark, sf):
     """Small budgets, because the sections here are short."""
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
@@ -236,18 +239,62 @@ def split_units(spark, sf):
     return C.split_units(lines, ["doc_id"]).groupBy("doc_id", "unit_no", "sub_item", "suffix", "annotation").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@R.add("build_chunks")
+def cut_sql(source: str, text: str, name: str, size: int = 50, overlap: int = 10) -> str:
+    """CTE `{name}`: the rows of a CTE with `piece_no` and `piece`, one row per window of a text column."""
+    return rf"""
+{name}_p AS (SELECT *, regexp_extract_all({text}, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS ps FROM {source}),
+{name} AS (SELECT * EXCLUDE (ps, s), (row_number() OVER (PARTITION BY doc_id, kind, section_no, unit_piece ORDER BY s) - 1)::INT AS piece_no, rtrim(array_to_string(ps[s + 1:s + {size}], '')) AS piece
+  FROM (SELECT *, unnest(generate_series(0, greatest(len(ps) - {overlap + 1}, 0), {size - overlap})) AS s FROM {name}_p WHERE len(ps) > 0))
+"""
+
+
+CHUNK_SQL = rf"""
+own AS (SELECT *, regexp_replace(body_text, '^\s+|\s+$', '', 'g') AS body, coalesce(p0, header_page) AS q0, coalesce(p1, header_page) AS q1,
+  concat_ws(' ', replace(concat('[', rule_chapter, ' ', coalesce(chapter_title, ''), ']'), '  ', ' '), rule_no, rule_title) AS rule_crumb FROM sections),
+terms AS (SELECT doc_id, 1 AS kind, section_no, 0 AS unit_piece, concat('DEF-', term_no) AS rule_id, concat('[용어의 정의] ', term_no, '. ', term_en, ' (', term_ko, ')') AS crumb, body, q0, q1, 0 AS ordinal FROM own WHERE doc_type = 'term'),
+small AS (SELECT own.*, grp FROM own JOIN walk USING (doc_id, section_no) WHERE doc_type = 'rule' AND tokens < 120),
+merged AS (SELECT doc_id, 2 AS kind, min(section_no) AS section_no, 0 AS unit_piece, CASE WHEN count(*) > 1 THEN concat(arg_min(rule_no, section_no), '~', arg_max(rule_no, section_no)) ELSE min(rule_no) END AS rule_id,
+  arg_min(rule_crumb, section_no) AS crumb, regexp_replace(string_agg(body_text, chr(10) ORDER BY section_no), '^\s+|\s+$', '', 'g') AS body, min(q0) AS q0, max(q1) AS q1, 0 AS ordinal FROM small GROUP BY doc_id, grp),
+large AS (SELECT doc_id, 2 AS kind, section_no, 0 AS unit_piece, rule_no AS rule_id, rule_crumb AS crumb, body, q0, q1, len({sql_words('body')}) AS n FROM own JOIN walk USING (doc_id, section_no) WHERE doc_type = 'rule' AND tokens >= 120),
+big AS (FROM large WHERE n > 120), {cut_sql('big', 'body', 'bigs')},
+split AS (SELECT doc_id, kind, section_no, 0 AS unit_piece, rule_id, crumb, body, q0, q1, 0 AS ordinal FROM large WHERE n <= 120
+  UNION ALL SELECT doc_id, kind, section_no, piece_no, rule_id, crumb, piece, q0, q0, piece_no FROM bigs),
+draft AS (SELECT *, CASE WHEN body = '' THEN crumb ELSE concat(crumb, chr(10), body) END AS content FROM (FROM terms UNION ALL FROM merged UNION ALL FROM split)),
+counted AS (SELECT *, len({sql_words('content')}) AS tokens FROM draft),
+over_limit AS (FROM counted WHERE tokens > 120), {cut_sql('over_limit', 'body', 'again')},
+final AS (SELECT doc_id, kind, section_no, unit_piece, 0 AS re, rule_id, q0, q1, content, ordinal, false AS cut FROM counted WHERE tokens <= 120
+  UNION ALL SELECT doc_id, kind, section_no, unit_piece, piece_no, rule_id, q0, q1, concat(crumb, chr(10), piece), 999 + row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY kind, section_no, unit_piece, piece_no), true FROM again)
+"""
+
+
+@R.add(
+    "build_chunks",
+    f"""{BOOK}, {merge_sql(60, 120)}, {CHUNK_SQL} SELECT doc_id::VARCHAR AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY kind, section_no, unit_piece, re) - 1)::INT AS chunk_index,
+    rule_id, q0::INT AS page_start, q1::INT AS page_end, len({sql_words('content')})::INT AS tokens, md5(content) AS content, sha1(concat_ws('|', doc_id, rule_id, ordinal)) AS id FROM final""",
+)
 def build_chunks(spark, sf):
-    return book_chunks(spark, sf)
+    return book_chunks(spark, sf).select(
+        "document_id", "chunk_index", "rule_id", "page_start", "page_end", "tokens", F.md5("content").alias("content"), "id"
+    )
 
 
 def book_chunks(spark, sf) -> DataFrame:
     return C.build_chunks(book_sections(spark, sf).persist(), budget=60, threshold=120, window=50, overlap=10)
 
 
-@R.add("build_glossary")
+@R.add(
+    "build_glossary",
+    f"""{BOOK} SELECT doc_id::VARCHAR AS document_id, term_no, term_en, term_ko, concat('DEF-', term_no) AS rule_id, p0::INT AS page,
+    array_to_string(list_sort(list_distinct([term_en, concat('Term ', substr(term_en, 6)), term_ko])), '|') AS aliases FROM sections WHERE doc_type = 'term'
+    QUALIFY row_number() OVER (PARTITION BY doc_id, term_no ORDER BY section_no) = 1""",
+)
 def build_glossary(spark, sf):
-    return C.build_glossary(book_chunks(spark, sf))
+    return C.build_glossary(book_chunks(spark, sf)).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@R.add("token_counts", f"SELECT doc_id, len({sql_words('text')})::INT AS tokens FROM documents")
+def token_counts(spark, sf):
+    return docs(spark, sf).select("doc_id", X.token_count(X.nfkc(F.col("text"))).alias("tokens"))
 
 
 WINDOW_SQL = r"""

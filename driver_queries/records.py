@@ -555,7 +555,15 @@ def daily_budget_units(spark, sf):
     return U.daily_budget(calls, V.kst_day(F.col("ts")), order=["ts", "event_id"], units="units", budget=500).select("event_id", "day", "accepted")
 
 
-@R.add("lockout")
+@R.add(
+    "lockout",
+    """WITH RECURSIVE c AS (SELECT user_id % 5 AS user_id, event_id, event_id * 7 AS sec, event_type NOT IN ('error', 'click', 'view') AS ok, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS i FROM events),
+    w AS (SELECT user_id, event_id, i, CASE WHEN ok THEN 'accepted' ELSE 'failed' END AS outcome, CASE WHEN ok THEN 0 ELSE 1 END AS fails, 0::BIGINT AS until FROM c WHERE i = 1
+      UNION ALL SELECT c.user_id, c.event_id, c.i, CASE WHEN until - sec >= 1 THEN 'locked' WHEN ok THEN 'accepted' WHEN fails >= 4 THEN 'locking' ELSE 'failed' END,
+        CASE WHEN until - sec >= 1 THEN fails WHEN ok OR fails >= 4 THEN 0 ELSE fails + 1 END, CASE WHEN until - sec >= 1 THEN until WHEN NOT ok AND fails >= 4 THEN sec + 300 ELSE 0 END
+      FROM w JOIN c ON c.user_id = w.user_id AND c.i = w.i + 1)
+    SELECT user_id, event_id, outcome FROM w""",
+)
 def lockout(spark, sf):
     """Errors are failed attempts, everything else a success; users are pooled so that locks happen."""
     rows = events(spark, sf).select(
@@ -565,12 +573,43 @@ def lockout(spark, sf):
     return U.attempt_lockout(rows)
 
 
-@R.add("ttl_fetches")
+@R.add(
+    "ttl_fetches",
+    """WITH RECURSIVE c AS (SELECT user_id::VARCHAR AS key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    w AS (SELECT key, event_id, i, us AS fetched, 'live' AS state FROM c WHERE i = 1
+      UNION ALL SELECT c.key, c.event_id, c.i, CASE WHEN us - fetched >= 21600000000 THEN us ELSE fetched END, CASE WHEN us - fetched >= 21600000000 THEN 'live' ELSE 'cached' END
+      FROM w JOIN c ON c.key = w.key AND c.i = w.i + 1)
+    SELECT key, event_id, state FROM w""",
+)
 def ttl_fetches(spark, sf):
     rows = events(spark, sf).select(F.col("user_id").cast("string").alias("key"), "event_id", "ts")
     return U.ttl_fetches(rows, ttl=6 * 3600)
 
 
+@R.add("active_documents", "SELECT o_orderkey, o_orderpriority AS index_version FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH'")
+def active_documents(spark, sf):
+    rows = orders(spark, sf).select("o_orderkey", F.col("o_orderpriority").alias("index_version"), (F.col("o_orderstatus") == "O").alias("active"))
+    return M.active_documents(rows, index_version="2-HIGH").drop("active")
+
+
+@R.add("find_highlights")
+def find_highlights(spark, sf):
+    """Orders as games of two channels; every game gets a stage."""
+    games_of, uploads = videos_of_games(spark, sf)
+    g = games_of.select(
+        F.col("game_id").cast("string").alias("game_id"), "game_date", F.col("code").alias("home_code"), F.lit("NX").alias("away_code"), F.lit("game").alias("home_name"), F.lit("highlight").alias("away_name"),
+    )
+    ups = uploads.withColumn("id", F.col("id").cast("string"))
+    details = ups.select("id", "title", "published_at", F.lit("1:00").alias("duration"), F.lit(True).alias("embeddable"), F.lit("t").alias("thumbnail_url"), F.lit("u").alias("url"))
+    dim = table(spark, sf, "region").select(
+        F.col("r_name").alias("full"), F.col("r_name").alias("short"), F.array(F.concat(F.lit("x"), "r_name")).alias("aliases")
+    )
+    channels = table(spark, sf, "customer").select(F.concat(F.lit("N"), F.col("c_custkey").cast("string")).alias("code"))
+    picked, stages = P.find_highlights(g, channels, ups, details, dim)
+    best = picked.groupBy("game_id").agg(F.count(F.lit(1)).alias("videos"), F.max("score").alias("score"))
+    return stages.join(best, "game_id", "left")
+
+
 @R.add("kst_day", "SELECT event_id, (ts + INTERVAL 9 HOUR)::DATE AS day, (ts + INTERVAL 9 HOUR)::DATE AS day_of_text FROM events")
 def kst_day(spark, sf):
     text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")

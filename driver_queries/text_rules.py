@@ -456,3 +456,28 @@ def places(spark, sf):
     stadiums = rows.select("query", F.col("query").alias("stadium")).distinct()
     entries, _, _ = P.build_places(rows, stadiums, F.lit("2026-09-15").cast("date"))
     return entries.select("query", "label", "as_of", "source_url", "confidence", "position")
+
+
+@R.add(
+    "assemble_sources",
+    """WITH f AS (SELECT DISTINCT conv_id AS turn_id, conv_id % 2 = 0 AS keeps, conv_id % 3 = 0 AS adds FROM conversations),
+    tool AS (SELECT conv_id AS turn_id, turn, concat('u', turn % 2) AS url FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) = 1)
+    SELECT turn_id, kind, label, url, part FROM (SELECT conv_id AS turn_id, 'static' AS kind, concat('r', turn) AS label, NULL::VARCHAR AS url, 0 AS part FROM conversations JOIN f ON f.turn_id = conv_id WHERE role = 'assistant' AND keeps
+      UNION ALL SELECT conv_id, 'kbo', concat('l', turn), NULL, 1 FROM conversations WHERE role = 'system' UNION ALL SELECT turn_id, 'web', concat('t', turn), url, 2 FROM tool
+      UNION ALL SELECT turn_id, 'model', '모델 일반 지식', NULL, 3 FROM f WHERE adds)""",
+)
+def assemble_sources(spark, sf):
+    c = talks(spark, sf)
+
+    def rows(role, kind, mark, url):
+        return c.where(F.col("role") == role).select(
+            F.col("conv_id").alias("turn_id"), F.lit(kind).alias("kind"), F.concat(F.lit(mark), F.col("turn").cast("string")).alias("label"), url.alias("url"),
+            F.lit(None).cast("string").alias("as_of"), F.lit(None).cast("string").alias("confidence"), F.col("turn").cast("int").alias("position"),
+        )
+
+    none = F.lit(None).cast("string")
+    k = F.col("conv_id")
+    flags = c.select(k.alias("turn_id"), (k % 2 == 0).alias("keeps_rule_sources"), (k % 3 == 0).alias("adds_model_source")).distinct()
+    link = F.concat(F.lit("u"), (F.col("turn") % 2).cast("string"))
+    out = A.assemble_sources(rows("assistant", "static", "r", none), rows("system", "kbo", "l", none), rows("user", "web", "t", link), flags)
+    return out.select("turn_id", "kind", "label", "url", "part")

@@ -78,15 +78,16 @@ def schedule(spark, rows=None, total=None):
     return FD.flatten_schedule(spark.createDataFrame([(dt.date(2026, 9, 15), json.dumps(body))], "as_of date, payload string")).rows
 
 
-NOW = F.lit("2026-09-15 15:00:00").cast("timestamp_ntz")
+def now():
+    return F.lit("2026-09-15 15:00:00").cast("timestamp_ntz")
 
 
 def test_schedule_views(spark):
     games = schedule(spark)
     assert G.validate_games(games).count() == 0
     assert sorted(r.game_date.day for r in G.remaining(games, F.lit("2026-09-15").cast("date")).collect()) == [15, 16, 18]
-    assert [r.game_date.day for r in G.upcoming(games, NOW).orderBy("game_date_time").collect()] == [15, 16, 18]
-    assert G.last_finished(games, NOW).first().game_id.startswith("20260915OBLG")
+    assert [r.game_date.day for r in G.upcoming(games, now()).orderBy("game_date_time").collect()] == [15, 16, 18]
+    assert G.last_finished(games, now()).first().game_id.startswith("20260915OBLG")
     assert G.for_team(games, "SS").count() == 3
 
 
@@ -107,7 +108,7 @@ def test_pick_game(spark):
         (5, ["KT"], None, "upcoming"), (6, ["NC"], "창원", "last_finished"), (7, ["SS"], None, "last_finished"),
     ]
     queries = spark.createDataFrame(rows, "qid int, codes array<string>, venue string, prefer string")
-    out = G.pick_game(queries, schedule(spark), NOW).orderBy("qid").collect()
+    out = G.pick_game(queries, schedule(spark), now()).orderBy("qid").collect()
     assert [(r.relation, r.game.game_date.day if r.game else None) for r in out] == [
         ("upcoming", 15), ("upcoming", 16), ("last_finished", 15), ("none", None), ("upcoming", 15), ("none", None), ("upcoming", 18), ("last_finished", 13),
     ]
@@ -249,7 +250,7 @@ def test_highlights(spark):
     ups = spark.createDataFrame(uploads, "code string, id string, title string, published_at string").withColumn("published_at", F.to_date("published_at"))
     details = ups.select("id", "title", "published_at", F.lit("1:00").alias("duration"), F.lit(True).alias("embeddable"), F.lit("t").alias("thumbnail_url"), F.lit("u").alias("url"))
     picked, stages = P.find_highlights(games, channels, ups, details, team_dim(spark))
-    assert sorted((r.game_id, r["id"], r.score) for r in picked.collect()) == [("g1", "v1", 6 - 0), ("g4", "v7", 6)] or sorted((r.game_id, r["id"]) for r in picked.collect()) == [("g1", "v1"), ("g4", "v7")]
+    assert sorted((r.game_id, r["id"], r.score) for r in picked.collect()) == [("g1", "v1", 6), ("g4", "v7", 6)]
     assert {r.game_id: r.stage for r in stages.collect()} == {"g1": "ok", "g2": "no_candidate", "g3": "no_candidate", "g4": "ok"}
     _, stages = P.find_highlights(games, channels.limit(0), ups, details, team_dim(spark))
     assert {r.stage for r in stages.collect()} == {"no_channel"}
@@ -270,5 +271,5 @@ def test_places(spark):
     got = entries.orderBy("position").collect()
     assert [r.label for r in got] == ["맛집 정보 안내", "맛집 정보: 맛집 1", "맛집 정보: 맛집 2"] and len(got[1].text) == 220
     assert [(r.name, r.confidence, r.snippet is None) for r in cards.orderBy("position").collect()] == [("맛집 1", "likely", False), ("맛집 2", "uncertain", True)]
-    assert [(r.kind, r.query) for r in maps.collect()] == [("map", "잠실야구장 근처 맛집")]
+    assert [(r.kind, r.map_query) for r in maps.collect()] == [("map", "잠실야구장 근처 맛집")]
     assert P.build_places(df.limit(0), stadiums, F.lit("2026-09-15").cast("date"))[0].count() == 0
