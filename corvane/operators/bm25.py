@@ -18,6 +18,7 @@ from corvane.operators.topk_kernel import (
     best_k,
     bounded_rows,
     hit_schema,
+    scan_tasks,
     to_batch,
 )
 
@@ -162,7 +163,7 @@ def _scan(index: DataFrame, weights: DataFrame, k: int) -> DataFrame:
         if kept is not None:
             yield to_batch(kept, names, to_arrow_schema(schema))
 
-    return best_k(index.select("id", "dl", "tokens").mapInArrow(scan, schema), k)
+    return best_k(scan_tasks(index.select("id", "dl", "tokens")).mapInArrow(scan, schema), k)
 
 
 def postings(index: DataFrame) -> DataFrame:

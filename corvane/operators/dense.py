@@ -20,6 +20,7 @@ from corvane.operators.topk_kernel import (
     bounded_rows,
     hit_schema,
     query_blocks,
+    scan_tasks,
     to_batch,
 )
 
@@ -80,7 +81,7 @@ def _search(vectors: DataFrame, block: DataFrame, k: int, exclude_self: bool, cu
             yield to_batch(found, names, to_arrow_schema(schema))
 
     columns = ["id", "embedding"] + ([] if cut is None else ["codes"])
-    return vectors.select(*columns).mapInArrow(scan, schema)
+    return scan_tasks(vectors.select(*columns)).mapInArrow(scan, schema)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, exclude_self: bool = False) -> DataFrame:

@@ -78,6 +78,14 @@ def to_batch(found, qids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def scan_tasks(df: DataFrame) -> DataFrame:
+    """At most two scan tasks per core: every task ships k rows per query, so fewer tasks ship less.
+
+    Partitions are merged where they lie, without a shuffle.
+    """
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def best_k(hits: DataFrame, k: int) -> DataFrame:
     """Final cut over the tasks' candidates: `rank` 0-based within the query."""
     ranked = top_n_per_group(hits, ["qid"], [F.desc("score"), F.asc("id")], k)

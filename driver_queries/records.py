@@ -346,18 +346,18 @@ def dedupe_best(spark, sf):
 
 
 STAND_SQL = """
-stand AS (SELECT s_nationkey AS season, s_suppkey::VARCHAR AS team_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) + CASE WHEN s_suppkey % 17 = 0 THEN 1 ELSE 0 END)::INT AS ranking,
-  s_acctbal AS wra, s_suppkey % 40 AS wins, s_suppkey * 7 % 40 AS losses FROM supplier)
+stand AS (SELECT s_suppkey % 7 AS season, (s_suppkey // 7 + CASE WHEN s_suppkey % 97 = 5 THEN 1 ELSE 0 END)::BIGINT AS ranking,
+  (100000 - 10 * (s_suppkey // 7) + CASE WHEN s_suppkey % 7 < 3 THEN round(s_acctbal)::BIGINT % 15 ELSE 0 END)::BIGINT AS wra, s_suppkey % 40 AS wins, s_suppkey * 7 % 40 AS losses FROM supplier)
 """
 
 
 def season_rows(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
+    """Suppliers as the teams of seven seasons, a few of them ranked or rated out of order."""
     k = F.col("s_suppkey")
+    place = F.floor(k / 7)
     return table(spark, sf, "supplier").select(
-        F.col("s_nationkey").alias("season"), (F.row_number().over(w) + F.when(k % 17 == 0, 1).otherwise(0)).alias("ranking"), F.col("s_acctbal").alias("wra"),
+        (k % 7).alias("season"), (place + F.when(k % 97 == 5, 1).otherwise(0)).alias("ranking"),
+        (100000 - 10 * place + F.when(k % 7 < 3, F.round("s_acctbal").cast("bigint") % 15).otherwise(0)).alias("wra"),
         (k % 40).alias("wins"), (k * 7 % 40).alias("losses"), F.lit("REGULAR_SEASON").alias("game_type"),
     )
 
