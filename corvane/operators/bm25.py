@@ -54,11 +54,10 @@ def term_stats(index: DataFrame) -> DataFrame:
     df = index.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("df")
     )
-    raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    scored = df.join(F.broadcast(corpus_size(index).select("n_docs"))).select("term", "df", raw.alias("raw"))
-    mean = scored.agg(F.avg("raw").alias("mean_raw"))
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_raw")).otherwise(F.col("raw"))
-    return scored.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+    n_docs = corpus_size(index).select("n_docs").scalar()
+    scored = df.select("term", "df", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = scored.select(F.avg("raw")).scalar()
+    return scored.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def query_terms(queries: DataFrame, qid: str = "qid", text: str = "text", extra: str | None = None, *, normalize: bool = True) -> DataFrame:
@@ -174,11 +173,11 @@ def postings(index: DataFrame) -> DataFrame:
 
 
 def _join(index: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    avgdl = F.broadcast(corpus_size(index).select("avgdl"))
-    length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    avgdl = corpus_size(index).select("avgdl").scalar()
+    length = K1 * (1 - B + B * F.col("dl") / avgdl)
     gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
     scored = (
-        postings(index).join(weights, "term").join(avgdl)
+        postings(index).join(weights, "term")
         .groupBy("qid", "id").agg(F.round(F.sum(gain), 6).alias("score"))
         .where(F.col("score") > 0)
     )

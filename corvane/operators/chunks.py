@@ -278,7 +278,9 @@ def chunk_stats(chunks: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.count_if(crossing).alias("chapter_crossing"),
         *[F.count_if(F.col("doc_type") == t).alias(f"{t}_chunks") for t in ("rule", "term", "front")],
     )
-    return picks.join(crossed, keys) if keys else picks.join(F.broadcast(crossed))
+    if keys:
+        return picks.join(crossed, keys)
+    return picks.withColumn("_x", crossed.select(F.struct(*crossed.columns)).scalar()).select(*picks.columns, "_x.*")
 
 
 def build_glossary(chunks: DataFrame) -> DataFrame:

@@ -84,13 +84,13 @@ def retrieval_signals(hits: DataFrame, references: DataFrame, queries: DataFrame
         F.coalesce(F.max(F.when(is_bm25, F.col("score"))), F.lit(0.0)).alias("bm25_max"),
         F.transform(exact, lambda x: x["id"]).alias("exact_hits"),
     )
-    joined = queries.select("qid").join(per, "qid", "left").join(F.broadcast(references.select("ref_score")))
-    ratio = F.when(F.col("ref_score") == 0, F.lit(0.0)).otherwise(F.col("bm25_max") / F.col("ref_score"))
+    joined = queries.select("qid").join(per, "qid", "left")
+    reference = references.select("ref_score").scalar()
+    ratio = F.coalesce(F.try_divide(F.col("bm25_max"), reference), F.lit(0.0))
     return (
         joined.fillna(0.0, ["dense_top", "bm25_max"])
         .withColumn("bm25_ratio", F.round(ratio, 6))
         .withColumn("n_exact", F.when(F.col("exact_hits").isNull(), 0).otherwise(F.size("exact_hits")))
-        .drop("ref_score")
     )
 
 
@@ -245,10 +245,13 @@ def pack_context(
 
     blocks: qid, block_type, position, head, body, freshness (nullable). Unavailable entries do not
     count. The number is part of a block, but every number is one token, so costs do not depend on it.
+    Each block has at least MIN_BLOCK_TOKENS tokens, which bounds how many can fit.
     """
     limits = BLOCK_BUDGETS if budgets is None else budgets
     ready = blocks.where(F.coalesce("freshness", F.lit("")) != "unavailable")
-    cost = X.token_count(F.concat(F.lit("자료 1 | "), "head", F.lit("\n"), "body"))
+    counted = X.token_count(F.concat(F.lit("자료 1 | "), "head", F.lit("\n"), "body"))
+    short = F.raise_error(F.lit(f"a block has fewer than {MIN_BLOCK_TOKENS} tokens"))
+    cost = F.when(counted >= MIN_BLOCK_TOKENS, counted).otherwise(short)
     parts = []
     for order, kind in enumerate(BLOCK_ORDER):
         budget = limits[kind]

@@ -337,7 +337,7 @@ def entries_for_queries(
     table = rows.groupBy("season").agg(
         F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("_text"), F.max("as_of").alias("_as_of")
     )
-    standing_rows = has["standings"].join(F.broadcast(table)).select(
+    standing_rows = has["standings"].withColumn("season", F.year(today)).join(F.broadcast(table), "season").select(
         *_entry("standings", 0, F.format_string("KBO %d 정규시즌 순위", F.col("season")), F.col("_text"), F.col("_as_of"), SOURCE_LABEL, url, fresh)
     )
 

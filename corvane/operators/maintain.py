@@ -133,4 +133,6 @@ def index_report(documents: DataFrame, chunks: DataFrame, teams: DataFrame, chan
     diff = registry_diff(want, channels, "code").agg(
         F.count_if(F.col("side") == "missing").alias("channels_missing"), F.count_if(F.col("side") == "unknown").alias("channels_unknown")
     )
-    return docs.join(F.broadcast(n)).join(F.broadcast(diff))
+    return docs.select(
+        "*", n.scalar().alias("chunks"), *[diff.select(c).scalar().alias(c) for c in ("channels_missing", "channels_unknown")]
+    )

