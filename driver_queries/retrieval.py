@@ -150,7 +150,7 @@ def search_index(spark: SparkSession, sf: str) -> SearchIndex:
     terms = corpus_index(spark, sf)
     stats = bm25.term_stats(terms).persist()
     reference = bm25.bm25_reference(corpus(spark, sf), terms, stats=stats)
-    return SearchIndex(chunk_table(spark, sf), terms, vectors(spark, sf), reference, stats)
+    return SearchIndex(chunk_table(spark, sf).persist(), terms, vectors(spark, sf), reference, stats)
 
 
 # ---------------------------------------------------------------- queries
