@@ -28,13 +28,16 @@ def build_session(app: str = "corvane", master: str | None = None, **extra: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names. Where none is named, a local session gets a temporary one and any
+    other fails: on a cluster the executors cannot see a folder of the driver's machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="corvane-")
     spark.sparkContext.setCheckpointDir(made)
     return made
