@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="corvane-")
     spark.sparkContext.setCheckpointDir(made)
