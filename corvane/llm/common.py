@@ -40,18 +40,19 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[Column], spread: Column, pieces: int, name: str) -> DataFrame:
-    """Adds `name`, a gapless number from 0 within `keys`.
+def sum_before(df: DataFrame, keys: list[str], order: list[Column], spread: Column, value: Column, name: str) -> DataFrame:
+    """Adds `name`, the sum of `value` over the rows of the same `keys` that come before a row.
 
-    No task sorts a whole key: rows of a key are split by `spread` (a whole number from 0 to pieces - 1), counted per
-    piece, and only the counts are summed in order. Within a piece rows go by `order`, which must be total.
+    No task sorts a whole key: rows of a key are split by `spread`, summed per piece, and only these sums are added
+    up in order. Rows go by `spread`, then by `order`.
     """
-    split = df.withColumn("_piece", spread)
-    counts = split.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy(*keys, "_piece").orderBy(*order)
-    left, right = split.withColumn("_own", F.row_number().over(own) - 1).alias("l"), starts.alias("r")
+    split = df.withColumn("_piece", spread).withColumn("_value", value)
+    sums = split.groupBy(*keys, "_piece").agg(F.sum("_value").alias("_sum"))
+    upto = [Window.unboundedPreceding, -1]
+    earlier = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(*upto))
+    starts = sums.select(*keys, "_piece", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(*upto))
+    left, right = split.withColumn("_own", F.coalesce(own, F.lit(0))).alias("l"), starts.alias("r")
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_piece")]
     return (
         left.join(right, on)
@@ -59,6 +60,23 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], spread: Col
     )
 
 
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], spread: Column, name: str) -> DataFrame:
+    """Adds `name`, a gapless number from 0 within `keys`, in the order of sum_before."""
+    return sum_before(df, keys, order, spread, F.lit(1).cast("long"), name)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds `name`, the row's place from 0 in a sort of the whole table, without gathering it in one task."""
+    ranged = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each partition of the sort.
+    earlier = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    at = (F.col("_before") + F.col("_at") - F.shiftleft(F.col("_part"), 33)).alias(name)
+    return ranged.select("*", part).join(starts, "_part").select(*df.columns, at)
+
+
 def pieces_for(rows: int, size: int = 200, most: int = 1 << 16) -> int:
     """How many pieces a hot key is split into, from the number of all rows."""
     return max(1, min(most, rows // size))

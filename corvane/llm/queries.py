@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import near_dedup
+from corvane.llm import best_fit, bin_slack, mixing, near_dedup, posting_lists
 from corvane.llm.common import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: The vocabulary that token counts refer to.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(fn):
@@ -22,3 +25,29 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity 0.8."""
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 2048 ids in 16 bits, end id 0."""
+    return best_fit.pack_ids(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end=0, bits=16)
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return bin_slack.pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
+
+
+@query
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every row whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    return posting_lists.nearest(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 1, 2, 3 in turn, targets up to three times a source's size."""
+    found, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
