@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import best_fit, bin_slack, mixing, near_dedup, posting_lists
+from corvane.llm import best_fit, bin_slack, bloom_lm, mixing, near_dedup, posting_lists
 from corvane.llm.common import table
 
 QUERIES: dict = {}
@@ -51,3 +51,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 1, 2, 3 in turn, targets up to three times a source's size."""
     found, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the bigram model of nine tenths of them."""
+    return bloom_lm.score(table(spark, sf_dir, "documents"))
