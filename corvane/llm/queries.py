@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import best_fit, bin_slack, bloom_lm, mixing, near_dedup, posting_lists
+from corvane.llm import best_fit, bin_slack, bloom_lm, licenses, mixing, near_dedup, posting_lists, site_quality
 from corvane.llm.common import table
 
 QUERIES: dict = {}
@@ -57,3 +57,16 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under the bigram model of nine tenths of them."""
     return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as hosts, languages as their sections."""
+    found = site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("rk")
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notices in all texts."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
