@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import best_fit, bin_slack, bloom_lm, licenses, mixing, near_dedup, posting_lists, site_quality
+from corvane.llm import best_fit, bin_slack, bloom_lm, licenses, mixing, near_dedup, pii, posting_lists, risk_rules, site_quality
 from corvane.llm.common import table
 
 QUERIES: dict = {}
@@ -70,3 +70,17 @@ def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All notices in all texts."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as strata; at most one in a hundred good documents at risk for each rule."""
+    return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rk")
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("found").alias("spans"))
