@@ -136,14 +136,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     _, read = mix(docs)
     # Within one epoch a document's words are taken from one stretch.
     parts = read.groupBy("rk", "copy", "epoch").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    keyed = docs.withColumn("_rk", row_key(F.col("doc_id"), F.col("text")))
-    same = Window.partitionBy("_rk").orderBy(F.col("source").asc_nulls_last())
-    keyed = keyed.withColumn("_copy", F.row_number().over(same))
-    parts = parts.select(F.col("rk").alias("_rk"), F.col("copy").alias("_copy"), "begin", "end")
-    rows = keyed.join(parts.withColumnRenamed("begin", "_begin").withColumnRenamed("end", "_end"), ["_rk", "_copy"])
+    keyed = docs.withColumn("__rk", row_key(F.col("doc_id"), F.col("text")))
+    same = Window.partitionBy("__rk").orderBy(F.col("source").asc_nulls_last())
+    keyed = keyed.withColumn("__copy", F.row_number().over(same))
+    parts = parts.select(F.col("rk").alias("__rk"), F.col("copy").alias("__copy"), "begin", "end")
+    rows = keyed.join(parts.withColumnRenamed("begin", "__begin").withColumnRenamed("end", "__end"), ["__rk", "__copy"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.slice(words, (F.col("_begin") + 1).cast("int"), (F.col("_end") - F.col("_begin")).cast("int")), " ")
-    whole = F.col("_end") - F.col("_begin") == word_count(F.col("text"))
+    cut = F.array_join(F.slice(words, (F.col("__begin") + 1).cast("int"), (F.col("__end") - F.col("__begin")).cast("int")), " ")
+    whole = F.col("__end") - F.col("__begin") == word_count(F.col("text"))
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -156,6 +156,12 @@ def find(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "rk", "base", F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,k:int,end:int>>")))).alias("found"))
 
 
+def counts(spans: str) -> list[Column]:
+    """n_<kind> for every kind."""
+    kinds = F.transform(spans, lambda s: s["k"])
+    return [F.size(F.filter(kinds, lambda x: x == at)).cast("long").alias(f"n_{kind}") for at, kind in enumerate(KINDS)]
+
+
 def digest(spans: str) -> Column:
     """kind:start:end of all spans, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -168,8 +174,8 @@ def masked(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced together, by the kind of the first. Texts without spans stay as they are.
     """
-    found = find(docs).filter("size(found) > 0").dropDuplicates(["rk"]).select(F.col("rk").alias("_rk"), F.col("found").alias("_found"))
-    rows = docs.withColumn("_rk", row_key(F.col("doc_id"), F.col("text"))).join(found, "_rk", "left")
+    found = find(docs).filter("size(found) > 0").dropDuplicates(["rk"]).select(F.col("rk").alias("__rk"), F.col("found").alias("__found"))
+    rows = docs.withColumn("__rk", row_key(F.col("doc_id"), F.col("text"))).join(found, "__rk", "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -179,8 +185,8 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["at"], m["end"]).alias("at"), F.when(fresh, F.array_append(s["out"], piece)).otherwise(s["out"]).alias("out"))
 
     rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.aggregate("_found", start, step, rest))
+    text = F.when(F.col("__found").isNull(), F.col("text")).otherwise(F.aggregate("__found", start, step, rest))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

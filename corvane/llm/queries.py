@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corvane.llm import best_fit, bin_slack, bloom_lm, licenses, mixing, near_dedup, pii, posting_lists, risk_rules, site_quality
 from corvane.llm.common import table
 
@@ -82,5 +83,9 @@ def op4_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("found").alias("spans"))
+    return found.select("doc_id", *pii.counts("base"), F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("found").alias("spans"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
