@@ -7,20 +7,23 @@ one position out, and all pairs within the distance share a key. A pair with a J
 distance with a probability of 1.5e-4, and then still shares a key in all but about 1e-6 of cases. Candidates are
 confirmed on the full shingle sets.
 
-Documents with equal sets are one node, so copies are never paired. Pairs are found in two rounds, so that a large
-group of near copies never becomes all its pairs: first every member of a bucket is tested against its two nearest
-signatures in a piece of the bucket, and links are joined into components; then all pairs within the distance that
-share a bucket and still lie in different components are tested. No link between components can be missed that way.
+Documents with equal sets are one node, so copies are never paired. Pairs are found in three rounds, so that a large
+group of near copies never becomes all its pairs. First each node is tested, in the largest of its buckets, against
+the most central nodes of a piece of it and its nearest one, and the links are joined into components. Then each node
+is tested against the nearest nodes of other components in every bucket. Last, all pairs within the distance that
+share a bucket and still lie in different components are tested, so no link between components can be missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.llm.common import mix, row_key, stored, text_bytes, text_slices, windows, word_hashes, word_spans
 from corvane.llm.components import connected
@@ -29,11 +32,17 @@ CHUNKS, PER_CHUNK, BITS = 8, 4, 16
 POSITIONS = CHUNKS * PER_CHUNK
 #: The signature distance up to which all pairs are found: 2 * CHUNKS - 1.
 DISTANCE = 2 * CHUNKS - 1
-#: Rows of one bucket that a task holds together.
-PIECE = 1024
-NEAREST = 2
+#: Rows of one bucket that are compared with each other in the first rounds, and that a task holds in the last.
+PIECE, TILE = 256, 2048
+#: Central nodes of a piece that all others are tested against, and nearest ones.
+CENTRES, NEAREST = 2, 2
+#: Bits of a set's parity, and the mark of a pair that is not to be tested.
+PARITY, FAR = 1024, 1 << 30
+#: Shingles of a shard in which they are compared for being shared.
+SHARD_SHINGLES = 4 << 20
 _SEEDS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _C = [f"c{i}" for i in range(CHUNKS)]
+_NODE = ["n", "s", "bits", *_C]
 _SKETCH = "doc_id long, rk long, n int, cid long, " + ", ".join(f"{c} long" for c in _C)
 
 
@@ -78,7 +87,7 @@ def classes(sketches: DataFrame) -> DataFrame:
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
-    """(key, cid): each chunk with each one of its positions left out, where at least two nodes share it."""
+    """(key, slot, cid, m): each chunk with each one of its positions left out, where m > 1 nodes share it."""
     ones = (1 << 64) - 1
     keys = []
     for i, c in enumerate(_C):
@@ -86,9 +95,9 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
             mask = ones ^ ((1 << BITS) - 1 << BITS * p)
             mask -= (1 << 64) if mask >> 63 else 0
             keys.append(F.xxhash64(F.lit(i * PER_CHUNK + p), F.col(c).bitwiseAND(F.lit(mask).cast("long"))))
-    rows = nodes.select("cid", F.explode(F.array(*keys)).alias("key"))
+    rows = nodes.select("cid", F.posexplode(F.array(*keys)).alias("slot", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return rows.join(shared, "key").select("key", "cid", "m")
+    return rows.join(shared, "key").select("key", "slot", "cid", "m")
 
 
 def _signatures(batch: pa.RecordBatch) -> np.ndarray:
@@ -96,11 +105,61 @@ def _signatures(batch: pa.RecordBatch) -> np.ndarray:
     return np.ascontiguousarray(packed).view(np.uint16)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signature distances, and the first slot whose key each pair shares."""
     out = np.zeros((len(a), len(b)), np.uint8)
-    for p in range(POSITIONS):
-        out += a[:, p, None] != b[None, :, p]
-    return out
+    slot = np.full((len(a), len(b)), POSITIONS, np.uint8)
+    for c in range(CHUNKS):
+        unequal, where = np.zeros_like(out), np.zeros_like(out)
+        for p in range(PER_CHUNK):
+            off = a[:, c * PER_CHUNK + p, None] != b[None, :, c * PER_CHUNK + p]
+            unequal += off
+            where += off * np.uint8(p)
+        out += unequal
+        # With no unequal position all four keys are shared, the first one first.
+        new = (unequal <= 1) & (slot == POSITIONS)
+        slot[new] = (c * PER_CHUNK + where)[new]
+    return out, slot
+
+
+def _parity(shingles: np.ndarray) -> bytes:
+    """PARITY bits; each shingle flips one. Two sets differ in at least as many shingles as their bits differ."""
+    return np.packbits(np.bincount((shingles >> np.uint64(48)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes()
+
+
+@dataclass
+class Nodes:
+    """Nodes of a group as arrays: names, set sizes, shared shingles, signatures and parities."""
+
+    cid: np.ndarray
+    n: np.ndarray
+    s: np.ndarray
+    sig: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Nodes:
+        cid, n, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "n", "s"))
+        bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(cid), -1)
+        return cls(cid, n.astype(np.int64), s.astype(np.int64), _signatures(batch), bits)
+
+    def at(self, i: slice | np.ndarray) -> Nodes:
+        return Nodes(self.cid[i], self.n[i], self.s[i], self.sig[i], self.bits[i])
+
+    def against(self, other: Nodes, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair the least number of shingles in which it can differ, FAR if it is beyond the signature
+        distance or cannot reach the similarity, and the first slot whose key it shares."""
+        d, slot = _distances(self.sig, other.sig)
+        total = self.n[:, None] + other.n
+        # Two sets have at most the shingles in common that each of them shares with any.
+        near = (d <= DISTANCE) & ((100 + percent) * np.minimum(self.s[:, None], other.s) >= percent * total)
+        out = np.full(d.shape, FAR, np.int32)
+        x, y = np.nonzero(near)
+        apart = np.bitwise_count(self.bits[x] ^ other.bits[y]).sum(axis=1, dtype=np.int64)
+        both = total[x, y]
+        ok = (100 + percent) * (both - apart) >= 2 * percent * both
+        out[x[ok], y[ok]] = apart[ok]
+        return out, slot
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -135,81 +194,160 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatc
 def _candidates(groups: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for g in groups:
-        cid, n = (g.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "n"))
-        for i, j in pick(g, cid, n.astype(np.int64), _signatures(g)):
-            found.append((cid[i], cid[j]))
+        nodes = Nodes.of(g)
+        for i, j in pick(g, nodes):
+            found.append((nodes.cid[i], nodes.cid[j]))
         if sum(len(x) for x, _ in found) > 1 << 16:
             yield from _pairs(found)
             found = []
     yield from _pairs(found)
 
 
-def nearest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """In pieces of each bucket: every member with its nearest signatures among those before it."""
+def central_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """In pieces of each node's largest bucket: every node with the most central ones and its nearest one."""
+
+    def pick(g, nodes):
+        for lo in range(0, len(nodes.cid), PIECE):
+            own = nodes.at(slice(lo, lo + PIECE))
+            d, _ = own.against(own, percent)
+            np.fill_diagonal(d, FAR)
+            nearest = d.argmin(axis=0)
+            j = np.flatnonzero(d.min(axis=0) < FAR)
+            yield lo + nearest[j], lo + j
+            for centre in np.argsort(-(d < FAR).sum(axis=0), kind="stable")[:CENTRES].tolist():
+                j = np.flatnonzero(d[centre] < FAR)
+                yield np.full(len(j), lo + centre), lo + j
+
+    home = Window.partitionBy("cid").orderBy(F.desc("m"), "key")
+    part = F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("m") / PIECE))
+    rows = members.withColumn("home", F.row_number().over(home)).filter("home = 1").select("key", part.alias("part"), "cid", *_NODE)
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "cid")
+    return rows.mapInArrow(lambda b: _candidates(_groups(b, ["key", "part"]), pick), "a long, b long").distinct()
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their component, of buckets that hold more than one."""
+    found = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    split = found.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    return found.join(split, "key")
+
+
+def foreign_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """In pieces of each bucket: every node with the nearest ones of other components."""
 
-    def pick(g, cid, n, sig):
-        for lo in range(0, len(cid), PIECE):
-            s, m = sig[lo : lo + PIECE], n[lo : lo + PIECE]
-            d = _distances(s, s)
-            ok = (d <= DISTANCE) & (100 * np.minimum(m[:, None], m) >= percent * np.maximum(m[:, None], m))
-            d[~ok | (np.arange(len(s))[:, None] >= np.arange(len(s)))] = 255
+    def pick(g, nodes):
+        label = g.column("label").to_numpy(zero_copy_only=False)
+        for lo in range(0, len(label), PIECE):
+            part, own = nodes.at(slice(lo, lo + PIECE)), label[lo : lo + PIECE]
+            if (own == own[0]).all():
+                continue
+            d, _ = part.against(part, percent)
+            d[own[:, None] == own] = FAR
+            every = np.arange(len(own))
             for _ in range(NEAREST):
                 best = d.argmin(axis=0)
-                j = np.flatnonzero(d[best, np.arange(len(s))] < 255)
-                if len(j):
-                    yield lo + best[j], lo + j
-                    d[best[j], j] = 255
+                j = np.flatnonzero(d[best, every] < FAR)
+                yield lo + best[j], lo + j
+                d[best[j], j] = FAR
 
-    part = F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("m") / PIECE)).alias("part")
-    rows = members.select("key", part, "cid", "n", *_C).repartition("key", "part").sortWithinPartitions("key", "part", "cid")
+    part = F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("m") / PIECE))
+    rows = _labelled(members, labels).select("key", part.alias("part"), "label", "cid", *_NODE)
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "cid")
     return rows.mapInArrow(lambda b: _candidates(_groups(b, ["key", "part"]), pick), "a long, b long").distinct()
 
 
 def crossing_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket within the distance whose nodes lie in different components. Buckets are cut into tiles
-    and tiles meet in twos, so that no task holds a bucket."""
+    """All pairs within the distance whose nodes share a bucket and lie in different components, each once. Buckets
+    are cut into tiles and tiles meet in twos, so that no task holds a bucket."""
 
-    def pick(g, cid, n, sig):
+    def pick(g, nodes):
         label, tile = (g.column(c).to_numpy(zero_copy_only=False) for c in ("label", "tile"))
+        slot = g.column("slot")[0].as_py()
         names, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
-        lone = np.flatnonzero(inverse != count.argmax())
+        rest = inverse != count.argmax()
+        lone = np.flatnonzero(rest)
         both = len(np.unique(tile)) > 1
         for lo in range(0, len(lone), PIECE):
             i = lone[lo : lo + PIECE]
-            ok = (_distances(sig[i], sig) <= DISTANCE) & (label[i, None] != label)
-            ok &= 100 * np.minimum(n[i, None], n) >= percent * np.maximum(n[i, None], n)
+            d, first = nodes.at(i).against(nodes, percent)
+            ok = (d < FAR) & (first == slot) & (label[i, None] != label)
+            # Of two lone nodes, the pair is taken where the first comes first.
+            ok &= ~rest | (i[:, None] < np.arange(len(label)))
             if both:
                 ok &= tile[i, None] != tile
             x, y = np.nonzero(ok)
             yield i[x], y
 
-    found = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    split = found.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    tiles = F.ceil(F.col("m") / (2 * PIECE))
+    tiles = F.ceil(F.col("m") / TILE)
     rows = (
-        found.join(split, "key")
+        _labelled(members, labels)
         .withColumn("tile", F.pmod(F.xxhash64("cid"), tiles))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        .select("key", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "label", "cid", "n", *_C)
+        .select("key", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "slot", "tile", "label", "cid", *_NODE)
         .repartition("key", "t", "u")
         .sortWithinPartitions("key", "t", "u", "cid")
     )
-    return rows.mapInArrow(lambda b: _candidates(_groups(b, ["key", "t", "u"]), pick), "a long, b long").distinct()
+    return rows.mapInArrow(lambda b: _candidates(_groups(b, ["key", "t", "u"]), pick), "a long, b long")
+
+
+def shared_counts(sets: DataFrame, total: int) -> DataFrame:
+    """(cid, s): how many shingles of each set occur in another set, too.
+
+    Shingles are compared by 32 bits within a shard; a clash can only make one look shared. Each task sorts those of
+    about a thousand sets at a time, and shards grow in number with `total`, all shingles.
+    """
+    bits = max(0, int(total // SHARD_SHINGLES).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")]
+                h = np.concatenate(found)
+                owner = np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found])
+                order = np.argsort(h, kind="stable")
+                h, owner = h[order], owner[order]
+                cuts = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
+                cuts = np.append(cuts, len(h))
+                low = (h >> np.uint64(32 - bits)).astype(np.uint32)
+                some = np.flatnonzero(np.diff(cuts)).tolist()
+                cids = part.column("cid").to_numpy(zero_copy_only=False).tobytes()
+                cols = [pa.array(some, pa.int32()), pa.array([cids] * len(some), pa.binary())]
+                cols += [pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()) for x in (low, owner)]
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "cids", "keys", "owners"])
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")]
+        names, times = np.unique(np.concatenate(keys), return_counts=True)
+        cids, shared = [], []
+        for own, who, ids in zip(keys, table.column("owners"), table.column("cids")):
+            more = times[np.searchsorted(names, own)] > 1
+            ids = np.frombuffer(ids.as_buffer(), np.int64)
+            cids.append(ids)
+            shared.append(np.bincount(np.frombuffer(who.as_buffer(), np.uint16)[more], minlength=len(ids)))
+        return pa.table({"cid": pa.array(np.concatenate(cids)), "s": pa.array(np.concatenate(shared).astype(np.int64))})
+
+    dealt = sets.mapInArrow(deal, "shard int, cids binary, keys binary, owners binary")
+    parts = dealt.repartition(1 << bits, "shard").groupBy("shard").applyInArrow(count, "cid long, s long")
+    return parts.groupBy("cid").agg(F.sum("s").alias("s"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cid, shingles): the whole set of each wanted node, as packed 64-bit numbers."""
+    """(cid, shingles, bits): the whole set of each wanted node, as packed 64-bit numbers, and its parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 sets, begin = shingle_sets(batch.column("text"), k)
-                packed = [sets[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(packed, pa.binary())], ["cid", "shingles"])
+                own = [sets[a:b] for a, b in zip(begin[:-1], begin[1:])]
+                cols = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array([_parity(x) for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), *cols], ["cid", "shingles", "bits"])
 
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rk"), F.col("text").cast("string"))
-    rows = texts.join(wanted.select("rk", "cid"), "rk").select("cid", "text")
-    return rows.mapInArrow(run, "cid long, shingles binary")
+    # Rows of one key have one text, so any of them will do.
+    rows = texts.join(wanted.select("rk", "cid"), "rk").withColumn("copy", F.row_number().over(Window.partitionBy("rk").orderBy("cid")))
+    rows = rows.filter("copy = 1").select("cid", "text")
+    return rows.mapInArrow(run, "cid long, shingles binary, bits binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,25 +378,29 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     """
     sketches = stored(sketch(docs, k), "sketch")
     nodes = stored(classes(sketches), "nodes")
-    members = stored(bucket_keys(nodes).join(nodes.drop("rk"), "cid"), "members")
-    wanted = members.select("cid").distinct().join(nodes, "cid").select("cid", "rk")
-    # Rows of one key have one text, so any of them will do.
-    sets = stored(full_sets(docs, wanted, k).dropDuplicates(["cid"]), "sets")
-    links = stored(confirmed(nearest_pairs(members, percent), sets, percent), "links")
+    near = bucket_keys(nodes).select("cid").distinct().join(nodes, "cid").select("cid", "rk")
+    sets = stored(full_sets(docs, near, k), "sets")
+    # Most nodes that meet in a bucket share a passage only, and can be told by their own shingles. A second look
+    # counts what is shared with nodes that are left.
+    live, kept = nodes, sets
+    for _ in range(2):
+        total = kept.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+        live = live.drop("s").join(shared_counts(kept.select("cid", "shingles"), total // 8), "cid").filter(100 * F.col("s") >= percent * F.col("n"))
+        live = stored(live, "live")
+        kept = kept.join(live.select("cid"), "cid", "left_semi")
+    live = live.drop("rk").join(sets.select("cid", "bits"), "cid")
+    members = stored(bucket_keys(live).join(live, "cid"), "members")
+    tested = stored(central_pairs(members, percent), "pairs")
+    links = stored(confirmed(tested, sets, percent), "links")
     labels = connected(links)
-    more = confirmed(crossing_pairs(members, labels, percent), sets, percent)
-    # Only components still have to be joined: each link becomes one between labels.
-    named = labels.withColumnRenamed("label", "top")
-    lifted = (
-        more.join(named.withColumnRenamed("cid", "a"), "a", "left").withColumn("a", F.coalesce("top", "a")).drop("top")
-        .join(named.withColumnRenamed("cid", "b"), "b", "left").withColumn("b", F.coalesce("top", "b")).drop("top")
-    )
-    upper = connected(stored(lifted.filter("a <> b").distinct(), "links")).select(F.col("cid").alias("label"), F.col("label").alias("top"))
+    for step in (foreign_pairs, crossing_pairs):
+        # Pairs are named from the smaller to the larger node everywhere.
+        pairs = stored(step(members, labels, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(stored(confirmed(pairs, sets, percent), "links"))
+        labels = connected(links)
+        tested = tested.union(pairs)
     least = sketches.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("root"))
-    final = (
-        least.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        .join(upper, "label", "left").withColumn("label", F.coalesce("top", "label")).select("cid", "label", "root")
-    )
+    final = least.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     tops = final.groupBy("label").agg(F.min("root").alias("component_id"))
     named = final.join(tops, "label").select("cid", "component_id")
     out = sketches.join(named, "cid", "left")
