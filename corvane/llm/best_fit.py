@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import text_slices
-from corvane.llm.tokens import encode, word_ids
+from corvane.llm.tokens import STEP_BYTES, encode, word_ids
 
 #: Tokens packed together.
 WINDOW = 1 << 21
@@ -114,8 +114,8 @@ def pack_ids(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end: int
         pieces: list[tuple[int | None, int, np.ndarray]] = []
         held = 0
         for whole in batches:
-            for batch in text_slices(whole, "text"):
-                ids, offsets = encode(cache, batch.column("text").to_pylist())
+            for batch in text_slices(whole, "text", STEP_BYTES):
+                ids, offsets = encode(cache, batch.column("text"))
                 if len(ids) and int(ids.max()) >> bits:
                     raise ValueError(f"token ids do not fit in {bits} bits")
                 ids = ids.astype(kind)

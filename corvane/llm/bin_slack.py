@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import pieces_for, rank_within, row_key, stored, text_slices
-from corvane.llm.tokens import encode, word_ids
+from corvane.llm.tokens import STEP_BYTES, encode, word_ids
 
 _PIECES = "doc_id long, rk long, piece int, start long, length long, ids_crc32 long"
 
@@ -71,8 +71,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_ids(tokenizer, end)
         for whole in batches:
-            for batch in text_slices(whole, "text"):
-                ids, offsets = encode(cache, batch.column("text").to_pylist())
+            for batch in text_slices(whole, "text", STEP_BYTES):
+                ids, offsets = encode(cache, batch.column("text"))
                 rows = []
                 for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                     for i, lo in enumerate(range(a, b, capacity)):

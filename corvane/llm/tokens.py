@@ -1,23 +1,27 @@
 """Token ids of text columns: a public tokenizer behind a cache of words.
 
 A tokenizer that drops white space and never joins two words can be asked once per different word. Most words of a
-corpus repeat, so the ids of a text are looked up in NumPy tables; only new words reach the tokenizer.
+corpus repeat, so words are looked up by hash in NumPy tables; only new ones reach the tokenizer.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
-
-from corvane.llm.common import BLANKS, _ranges
-
-#: The cache is emptied at so many words or characters; it bounds memory only.
-MOST_WORDS, MOST_CHARS = 600_000, 32 << 20
-#: Words, or characters of one text, that are looked up together.
-STEP_WORDS, STEP_CHARS = 200_000, 1 << 20
-_SPACES = str.maketrans(dict.fromkeys(BLANKS, " "))
+import pyarrow as pa
+
+from corvane.llm.common import _ranges, text_bytes, word_hashes, word_spans
+
+#: The cache is emptied at so many words; it bounds memory only.
+MOST_WORDS = 1_200_000
+#: Words of more bytes are looked up by their bytes, not by a hash, and are not kept.
+LONG = 128
+#: Text bytes that are looked up together.
+STEP_BYTES = 8 << 20
+#: New words sent to the tokenizer as one text, and characters of one id that may stand between them.
+TOGETHER, BETWEEN = 4000, "•¶§†¤"
 _KEPT: dict[str, WordIds] = {}
 
 
@@ -30,36 +34,60 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end
+        one = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in BETWEEN}
+        self.between = next(((c, ids[0]) for c, ids in one.items() if len(ids) == 1), None)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str | None, int] = {None: 0}
-        self.chars = 0
+        self.index: dict[int, int] = {}
         self.ids, self.used = np.full(1 << 16, self.end, np.uint32), 1
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
-
-    def learn(self, words: list[str]) -> None:
+        self.start, self.length, self.entries = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64), 1
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        if self.between and len(words) > 1:
+            mark, mark_id = self.between
+            joined = f" {mark} ".join(words)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == mark_id)
+            # A word that holds the mark itself shows as one cut too many.
+            if len(cuts) == len(words) - 1:
+                return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        n, used = len(self.index), self.used
-        self.ids = _grown(self.ids, used + len(flat))
-        self.start, self.length = _grown(self.start, n + len(words)), _grown(self.length, n + len(words))
-        self.ids[used : used + len(flat)] = flat
-        self.start[n : n + len(words)] = used + np.cumsum(sizes) - sizes
-        self.length[n : n + len(words)] = sizes
-        self.used = used + len(flat)
-        self.index.update(zip(words, range(n, n + len(words))))
-        self.chars += sum(map(len, words))
-
-    def look_up(self, words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in order, and how many each word has."""
-        if len(self.index) > MOST_WORDS or self.chars > MOST_CHARS:
+        return np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """New entries for the words: their numbers."""
+        first = self.entries
+        for at in range(0, len(words), TOGETHER):
+            flat, sizes = self._ids(words[at : at + TOGETHER])
+            n, used = self.entries, self.used
+            self.ids = _grown(self.ids, used + len(flat))
+            self.start, self.length = _grown(self.start, n + len(sizes)), _grown(self.length, n + len(sizes))
+            self.ids[used : used + len(flat)] = flat
+            self.start[n : n + len(sizes)] = used + np.cumsum(sizes) - sizes
+            self.length[n : n + len(sizes)] = sizes
+            self.used, self.entries = used + len(flat), n + len(sizes)
+        return np.arange(first, self.entries)
+
+    def numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each word."""
+        if self.entries > MOST_WORDS:
             self.clear()
-        if fresh := set(words) - self.index.keys():
-            self.learn(sorted(fresh))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        return self.ids[_ranges(self.start[at], self.length[at])], self.length[at]
+        hashes = word_hashes(raw, starts, ends, lower=False)
+        keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        known = keys.tolist()
+        at = np.fromiter(map(self.index.get, known, repeat(-1)), np.int64, len(known))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = self.learn([raw[starts[w] : ends[w]].tobytes().decode() for w in where[new].tolist()])
+            at[new] = fresh
+            short = ends[where[new]] - starts[where[new]] <= LONG
+            self.index.update(zip(keys[new[short]].tolist(), fresh[short].tolist()))
+        out = at[back]
+        for w in np.flatnonzero(ends - starts > LONG).tolist():
+            out[w] = self.learn([raw[starts[w] : ends[w]].tobytes().decode()])[0]
+        return out
 
 
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -73,41 +101,11 @@ def word_ids(path: str, end: int) -> WordIds:
     return _KEPT[path]
 
 
-def _cut(text: str) -> Iterable[str]:
-    """The text in pieces of about STEP_CHARS, cut at spaces only."""
-    at = 0
-    while len(text) - at > STEP_CHARS:
-        to = text.find(" ", at + STEP_CHARS)
-        if to < 0:
-            break
-        yield text[at:to]
-        at = to + 1
-    yield text[at:]
-
-
-def encode(cache: WordIds, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def encode(cache: WordIds, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by the end id, and the offsets of the texts. Null is empty."""
-    parts: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    words: list[str | None] = []
-    ends: list[int] = []
-    seen = 0
-
-    def flush() -> None:
-        nonlocal words, seen
-        ids, length = cache.look_up(words)
-        parts.append(ids)
-        sizes.append(length)
-        seen += len(words)
-        words = []
-
-    for text in texts:
-        for piece in _cut((text or "").translate(_SPACES)):
-            words += piece.split(" ")
-            if len(words) >= STEP_WORDS:
-                flush()
-        words.append(None)
-        ends.append(seen + len(words))
-    flush()
-    upto = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    return np.concatenate(parts), np.concatenate([[0], upto[ends]]).astype(np.int64)
+    raw, offsets = text_bytes(column)
+    starts, ends, first = word_spans(raw, offsets)
+    at = np.insert(cache.numbers(raw, starts, ends), first[1:], 0)
+    sizes = cache.length[at]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return cache.ids[_ranges(cache.start[at], sizes)], upto[first + np.arange(len(first))]
