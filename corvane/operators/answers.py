@@ -258,7 +258,7 @@ def prepare_gate(turns: DataFrame, *, live: L.Pattern = L.LIVE) -> DataFrame:
     pure_latest = has_data & (F.col("route") == "latest") & ~F.col("rule_hit")
     kept = turns.withColumn("docs_kept", F.when(pure_latest, F.lit(0)).otherwise(docs))
     nothing = (F.col("docs_kept") == 0) & ~has_data
-    needs_live = nothing & L.hit(F.col("question"), live)
+    needs_live = nothing & L.hit(X.nfkc(F.col("question")), live)
     can_know = F.col("knowledge_enabled") & ~F.col("needs_live")
     base = F.when(any_league & fresh, F.lit("live")).when(has_data, F.lit("snapshot")).otherwise(F.lit("static"))
     pending = F.col("route").isin("latest", "mixed") & F.col("needs_live")

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.functions import text as X
-from corvane.operators.topk_kernel import (
-    MAX_QUERIES,
-    RunningTopK,
-    best_k,
-    bounded_rows,
-    hit_schema,
-    scan_tasks,
-    to_batch,
-)
+from corvane.operators.ranking import best_k, in_order
 
 # Okapi parameters, channel depth and reference-score sample.
 K1 = 1.5
@@ -33,10 +19,6 @@ REFERENCE_SAMPLE = 30
 REFERENCE_BODY_CHARS = 120
 REFERENCE_TERMS = 3
 MIN_REFERENCE = 1e-6
-# Weight rows one broadcast may hold (query, term).
-MAX_QUERY_TERMS = 250_000
-# Cells of one dense score block inside a task.
-BLOCK_CELLS = 8_000_000
 
 
 def index_corpus(docs: DataFrame, id: str = "doc_id", text: str = "text", *, normalize: bool = True) -> DataFrame:
@@ -74,142 +56,41 @@ def query_terms(queries: DataFrame, qid: str = "qid", text: str = "text", extra:
     )
 
 
-def bm25_topk(index: DataFrame, terms: DataFrame, k: int = TOP_K, *, stats: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score, rank) best k per query with score > 0.
+def postings(index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, dl) of the given terms, or of all.
 
-    A bounded query batch is sent to the corpus scan and each task keeps k rows per query. A larger
-    batch is joined to the postings by term instead.
+    Words no query asks for are dropped before anything is counted or moved; a document's words are counted where
+    the document lies.
     """
-    weights = terms.join(stats if stats is not None else term_stats(index), "term").select(
-        "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")
-    )
-    n_queries, n_rows = terms.agg(F.count_distinct("qid"), F.count(F.lit(1))).first()
-    if n_queries <= MAX_QUERIES and n_rows <= MAX_QUERY_TERMS:
-        return _scan(index, weights, k)
-    return _join(index, weights, k)
+    words = index.select("id", "dl", F.explode("tokens").alias("term"))
+    if terms is not None:
+        words = words.join(terms.select("term").distinct(), "term", "left_semi")
+    return words.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-class QueryWeights:
-    """Term weights of a query batch for scoring blocks of documents inside a task.
-
-    Terms many queries share go through one matrix product; the rest touch only their own queries.
-    """
-
-    def __init__(self, term: np.ndarray, query: np.ndarray, weight: np.ndarray, n_terms: int, n_queries: int) -> None:
-        order = np.argsort(term, kind="stable")
-        self.query, self.weight = query[order], weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.n_queries = n_queries
-        self.widths = np.diff(self.starts)
-        shared = np.flatnonzero(self.widths >= max(8, n_queries / 16))
-        self.dense_row = np.full(n_terms, -1)
-        self.dense_row[shared] = np.arange(len(shared))
-        self.dense = np.zeros((len(shared), n_queries))
-        for row, t in enumerate(shared):
-            span = slice(self.starts[t], self.starts[t + 1])
-            self.dense[row, self.query[span]] = self.weight[span]
-
-    def scores(self, doc: np.ndarray, term: np.ndarray, value: np.ndarray, n_docs: int) -> np.ndarray:
-        """(queries, docs) sums of value times weight."""
-        row = self.dense_row[term]
-        common = row >= 0
-        block = np.zeros((n_docs, len(self.dense)))
-        block[doc[common], row[common]] = value[common]
-        out = (block @ self.dense).T
-        doc, term, value = doc[~common], term[~common], value[~common]
-        width = self.widths[term]
-        if width.sum():
-            at = np.repeat(self.starts[term] - np.cumsum(width) + width, width) + np.arange(width.sum())
-            cell = self.query[at] * n_docs + np.repeat(doc, width)
-            gain = np.repeat(value, width) * self.weight[at]
-            out = out + np.bincount(cell, weights=gain, minlength=out.size).reshape(out.shape)
-        return out
-
-
-def _scan(index: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    rows = bounded_rows(weights, MAX_QUERY_TERMS)
-    schema = hit_schema(weights.schema["qid"].dataType, index.schema["id"].dataType)
-    spark = index.sparkSession
-    if not rows:
-        return best_k(spark.createDataFrame([], schema), k)
-    avgdl = corpus_size(index).first()["avgdl"] or 1.0
-    qids, query = np.unique(np.asarray([r["qid"] for r in rows]), return_inverse=True)
-    vocab, term = np.unique(np.asarray([r["term"] for r in rows]), return_inverse=True)
-    weight = np.asarray([r["weight"] for r in rows])
-    sent = spark.sparkContext.broadcast((qids, vocab, term, query, weight))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, words, *triples = sent.value
-        batch_weights = QueryWeights(*triples, len(words), len(names))
-        best = RunningTopK(len(names), k, floor=0.0)
-        words = pa.array(words.tolist(), type=pa.string())
-        step = max(1, BLOCK_CELLS // max(len(batch_weights.dense), len(names)))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                lists = batch.column("tokens")
-                found = pc.index_in(lists.flatten(), value_set=words)
-                known = pc.is_valid(found)
-                t = found.filter(known).to_numpy(zero_copy_only=False).astype(np.int64)
-                d = pc.list_parent_indices(lists).filter(known).to_numpy(zero_copy_only=False)
-                pair, tf = np.unique(d * len(words) + t, return_counts=True)
-                d, t = np.divmod(pair, len(words))
-                dl = batch.column("dl").to_numpy(zero_copy_only=False)[d]
-                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-                ids = np.asarray(batch.column("id").to_pylist())
-                best.add(batch_weights.scores(d, t, value, batch.num_rows), ids)
-        kept = best.result()
-        if kept is not None:
-            yield to_batch(kept, names, to_arrow_schema(schema))
-
-    return best_k(scan_tasks(index.select("id", "dl", "tokens")).mapInArrow(scan, schema), k)
-
-
-def postings(index: DataFrame) -> DataFrame:
-    """(term, id, tf, dl), counted per document before anything else sees them."""
-    return index.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(
-        F.count(F.lit(1)).alias("tf")
+def bm25_topk(index: DataFrame, terms: DataFrame, k: int = TOP_K, *, stats: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score, rank) best k per query with a rounded score > 0: postings joined to query terms by term."""
+    weights = terms.join(stats if stats is not None else term_stats(index), "term").select(
+        "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")
     )
-
-
-def _join(index: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     avgdl = corpus_size(index).select("avgdl").scalar()
     length = K1 * (1 - B + B * F.col("dl") / avgdl)
     gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
     scored = (
-        postings(index).join(weights, "term")
+        postings(index, terms).join(weights, "term")
         .groupBy("qid", "id").agg(F.round(F.sum(gain), 6).alias("score"))
         .where(F.col("score") > 0)
     )
     return best_k(scored, k)
 
 
-def systematic_sample(docs: DataFrame, id: str, sample: int = REFERENCE_SAMPLE, buckets: int = 65536) -> DataFrame:
-    """Rows 0, step, 2·step, … in id order, at most `sample`, with step = max(1, n // sample).
-
-    Positions come from counts per id range; only the ranges holding a wanted position are ranked.
-    Ids are integers.
-    """
-    low, high, n = docs.agg(F.min(id), F.max(id), F.count(F.lit(1))).first()
-    if not n:
-        return docs
-    step = max(1, n // sample)
-    width = max(1, -(-(high - low + 1) // buckets))
-    bucket = F.floor((F.col(id) - F.lit(low)) / F.lit(width))
-    counts = docs.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    wanted = offsets.where(
-        (F.ceil(F.col("_before") / step) * step < F.col("_before") + F.col("_n"))
-        & (F.col("_before") <= (sample - 1) * step)
-    )
-    inside = Window.partitionBy("_b").orderBy(id)
-    placed = docs.select(id).withColumn("_b", bucket).join(F.broadcast(wanted), "_b").withColumn(
-        "_pos", F.col("_before") + F.row_number().over(inside) - 1
-    )
+def systematic_sample(docs: DataFrame, id: str, sample: int = REFERENCE_SAMPLE) -> DataFrame:
+    """Rows 0, step, 2·step, … in id order, at most `sample`, with step = max(1, n // sample)."""
+    step = max(1, docs.count() // sample)
+    placed = in_order(docs.select(id), [F.col(id)], "_pos")
     picked = placed.where((F.col("_pos") % step == 0) & (F.col("_pos") < sample * step)).select(id)
     # At most `sample` ids, so they can go into the scan as a pushed-down filter.
-    return docs.where(F.col(id).isin([r[0] for r in bounded_rows(picked, sample)]))
+    return docs.where(F.col(id).isin([r[0] for r in picked.collect()]))
 
 
 def bm25_reference(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as L
-from corvane.functions.text import RULE_NO
+from corvane.functions.text import RULE_NO, nfkc
 from corvane.operators.matching import lexicon_hits
 
 # Tail length that still counts as a pure refusal, and the noise it ignores.
@@ -30,9 +30,10 @@ class Lexicon:
 
 def route_queries(tagged: DataFrame, *, text: str = "text", lexicon: Lexicon = Lexicon()) -> DataFrame:
     """Adds rule_hit, latest_hit, domain_hit, route and routed_by; expects `topics` and `teams` arrays."""
-    t = F.col(text)
+    t = F.col("_plain")
     flagged = (
-        tagged.withColumn("rule_hit", L.hit(t, lexicon.rule))
+        tagged.withColumn("_plain", nfkc(F.col(text)))
+        .withColumn("rule_hit", L.hit(t, lexicon.rule))
         .withColumn("_latest", L.hit(t, lexicon.latest))
         .withColumn("domain_hit", L.hit(t, lexicon.domain))
         .withColumn("_data", (F.size("topics") > 0) & (F.size("teams") > 0))
@@ -48,7 +49,7 @@ def route_queries(tagged: DataFrame, *, text: str = "text", lexicon: Lexicon = L
         flagged.withColumn("latest_hit", F.col("_latest") | F.col("_data"))
         .withColumn("route", kind)
         .withColumn("routed_by", F.when(any_hit, F.lit("keyword")).otherwise(F.lit("default")))
-        .drop("_latest", "_data")
+        .drop("_latest", "_data", "_plain")
     )
 
 
@@ -56,9 +57,9 @@ def scope_queries(
     texts: DataFrame, *, text: str = "text", lexicon: Lexicon = Lexicon(), names: DataFrame | None = None
 ) -> DataFrame:
     """Adds scope (`in_scope` or `out_of_scope`) and scope_by."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.col("_plain")
     off = L.hit(t, lexicon.off_domain)
-    masked = texts.withColumn("_off", off).withColumn("_masked", F.regexp_replace(t, lexicon.off_domain.java, " "))
+    masked = texts.withColumn("_plain", nfkc(F.coalesce(F.col(text), F.lit("")))).withColumn("_off", off).withColumn("_masked", F.regexp_replace(t, lexicon.off_domain.java, " "))
     m = F.col("_masked")
     generic = ("(?iu)" if lexicon.concept.ignore_case else "") + f"^(?:{lexicon.concept.regex})$"
     labelled = (lexicon.domain, lexicon.rule, lexicon.concept, lexicon.league, lexicon.live)
@@ -84,7 +85,7 @@ def scope_queries(
     return (
         decided.withColumn("scope_by", by)
         .withColumn("scope", F.when(F.col("scope_by") == "negative", F.lit("out_of_scope")).otherwise(F.lit("in_scope")))
-        .drop("_off", "_masked", "_any", "_strong", "_low", "_names")
+        .drop("_plain", "_off", "_masked", "_any", "_strong", "_low", "_names")
     )
 
 

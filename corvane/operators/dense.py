@@ -1,33 +1,23 @@
-"""Vector search by cosine similarity: exact scan and hyperplane-bucket candidates."""
+"""Vector search by cosine similarity: exact in blocks, and approximate over hyperplane buckets."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
-
-from corvane.operators.topk_kernel import (
-    MAX_QUERIES,
-    RunningTopK,
-    best_k,
-    bounded_rows,
-    hit_schema,
-    query_blocks,
-    scan_tasks,
-    to_batch,
-)
+
+from corvane.operators.ranking import best_k
 
 # Channel depth and declared vector size.
 TOP_K = 20
 DEFAULT_DIMS = 1024
-BLOCK_CELLS = 8_000_000
+DIGITS = 6
+#: Vectors and queries of one block of the exact search.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 512
+#: Buckets: signs of `bits` planes for each of `tables` tables. Fewer bits find more and compare more.
+BITS, TABLES = 4, 16
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -35,86 +25,92 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
+def _best_of_block(k: int, exclude_self: bool):
+    def search(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names = {"qid": asked["qid"].iloc[:0], "id": vectors["id"].iloc[:0], "score": np.empty(0)}
+        if vectors.empty or asked.empty:
+            return pd.DataFrame(names)
+        ids, qids = vectors["id"].to_numpy(), asked["qid"].to_numpy()
+        rows, want = (_unit(np.stack(x["embedding"].to_numpy()).astype(np.float64)) for x in (vectors, asked))
+        scores = np.round(want @ rows.T, DIGITS)
+        order = np.argsort(ids, kind="stable")
+        out = []
+        for q, row in zip(qids, scores):
+            # By score, then id; a query's own row is left out where asked for.
+            best = order[np.argsort(-row[order], kind="stable")]
+            best = best[ids[best] != q][:k] if exclude_self else best[:k]
+            out.append(pd.DataFrame({"qid": q, "id": ids[best], "score": row[best]}))
+        return pd.concat(out)
 
-def planes(dims: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(tables, bits, dims))
+    return search
 
 
-def signatures(unit: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """(rows, tables) integer codes: the signs of `bits` projections."""
-    sign = np.einsum("nd,tbd->ntb", unit, cut) >= 0
-    return sign @ (1 << np.arange(cut.shape[1]))
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, exclude_self: bool = False) -> DataFrame:
+    """(qid, id, score, rank): exact best k by cosine.
 
+    vectors(id, embedding), queries(qid, embedding). Both are cut into blocks of bounded size and every block of
+    queries meets every block of vectors, in tasks; each meeting hands on k rows per query.
+    """
+    parts = -(-vectors.count() // BLOCK_ROWS) or 1
+    blocks = -(-queries.count() // BLOCK_QUERIES) or 1
 
-def _search(vectors: DataFrame, block: DataFrame, k: int, exclude_self: bool, cut: np.ndarray | None) -> DataFrame:
-    rows = bounded_rows(block.select("qid", "embedding"), MAX_QUERIES)
-    schema = hit_schema(block.schema["qid"].dataType, vectors.schema["id"].dataType)
-    spark = vectors.sparkSession
-    if not rows:
-        return spark.createDataFrame([], schema)
-    qids = np.asarray([r["qid"] for r in rows])
-    asked = _unit(np.asarray([r["embedding"] for r in rows], dtype=np.float64))
-    sent = spark.sparkContext.broadcast((qids, asked, cut))
+    def split(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        part = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own)
+        return df.select(key, "embedding", part, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, want, cuts = sent.value
-        best = RunningTopK(len(names), k)
-        want_codes = None if cuts is None else signatures(want, cuts)
-        step = max(1, BLOCK_CELLS // max(len(names), want.shape[1]))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                ids = np.asarray(batch.column("id").to_pylist())
-                unit = _unit(_matrix(batch.column("embedding")))
-                allowed = None if not exclude_self else names[:, None] != ids[None, :]
-                if cuts is not None:
-                    codes = np.stack(batch.column("codes").to_pylist()).astype(np.int64)
-                    shared = (want_codes[:, None, :] == codes[None, :, :]).any(axis=2)
-                    allowed = shared if allowed is None else allowed & shared
-                best.add(want @ unit.T, ids, allowed)
-        found = best.result()
-        if found is not None:
-            yield to_batch(found, names, to_arrow_schema(schema))
+    left = split(vectors, "id", "part", parts, "block", blocks).groupBy("part", "block")
+    right = split(queries, "qid", "block", blocks, "part", parts).groupBy("part", "block")
+    schema = T.StructType([queries.schema["qid"], vectors.schema["id"], T.StructField("score", T.DoubleType())])
+    return best_k(left.cogroup(right).applyInPandas(_best_of_block(k, exclude_self), schema), k)
 
-    columns = ["id", "embedding"] + ([] if cut is None else ["codes"])
-    return scan_tasks(vectors.select(*columns)).mapInArrow(scan, schema)
 
+def planes(dims: int, bits: int = BITS, tables: int = TABLES) -> np.ndarray:
+    """(tables, bits, dims) components in [-1, 1): multiplicative hashes of their places, so any engine can make them."""
+    at = np.arange(tables * bits * dims, dtype=np.int64).reshape(tables, bits, dims) + 1
+    for factor in (1103515245, 40503, 69069):
+        at = (at * factor + 12345) % 2**32
+        at ^= at >> 15
+    return at / 2.0**31 - 1
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, exclude_self: bool = False) -> DataFrame:
-    """(qid, id, score, rank): exact best k by cosine.
 
-    vectors(id, embedding), queries(qid, embedding). Vectors are scanned where they lie and never
-    shuffled; queries go out in blocks of bounded size, one scan per block.
-    """
-    hits = [_search(vectors, b, k, exclude_self, None) for b in query_blocks(queries, "qid")]
-    return best_k(reduce(DataFrame.unionByName, hits), k)
-
-
-def lsh_index(vectors: DataFrame, *, dims: int, bits: int = 8, tables: int = 8, seed: int = 7) -> DataFrame:
+def lsh_index(vectors: DataFrame, *, dims: int, bits: int = BITS, tables: int = TABLES) -> DataFrame:
     """Adds `codes`, one hyperplane bucket per hash table; store the result to build it once."""
-    cut = planes(dims, bits, tables, seed)
+    cut = planes(dims, bits, tables).reshape(tables * bits, dims)
+    weight = 1 << np.arange(bits)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def codes(embedding: pd.Series) -> pd.Series:
         if not len(embedding):
             return pd.Series([], dtype=object)
-        return pd.Series(list(signatures(_unit(np.stack(embedding).astype(np.float64)), cut).astype(np.int32)))
+        sign = np.stack(embedding).astype(np.float64) @ cut.T >= 0
+        return pd.Series(list((sign.reshape(len(embedding), tables, bits) @ weight).astype(np.int32)))
 
     return vectors.withColumn("codes", codes("embedding"))
 
 
-def lsh_topk(
-    index: DataFrame, queries: DataFrame, k: int = TOP_K, *, dims: int, bits: int = 8, tables: int = 8, seed: int = 7,
-    exclude_self: bool = False,
-) -> DataFrame:
-    """Approximate best k: only rows sharing a bucket with the query in some table are ranked."""
-    cut = planes(dims, bits, tables, seed)
-    hits = [_search(index, b, k, exclude_self, cut) for b in query_blocks(queries, "qid")]
-    return best_k(reduce(DataFrame.unionByName, hits), k)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def lsh_candidates(index: DataFrame, queries: DataFrame, *, exclude_self: bool = False) -> DataFrame:
+    """Distinct (qid, id) that share a bucket in some table, by an equi-join on (table, code)."""
+    left = index.select("id", F.posexplode("codes").alias("table", "code"))
+    right = queries.select("qid", F.posexplode("codes").alias("table", "code"))
+    pairs = right.join(left, ["table", "code"]).select("qid", "id").distinct()
+    return pairs.where(F.col("qid") != F.col("id")) if exclude_self else pairs
+
+
+def lsh_topk(index: DataFrame, queries: DataFrame, k: int = TOP_K, *, exclude_self: bool = False) -> DataFrame:
+    """(qid, id, score, rank): best k by cosine among rows sharing a bucket with the query.
+
+    index(id, embedding, codes) and queries(qid, embedding, codes) both come from lsh_index. Only candidates are
+    compared.
+    """
+    unit = lambda df, key: df.select(key, F.col("embedding"), F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
+    one, two = unit(queries, "qid").toDF("qid", "_q", "_qn"), unit(index, "id").toDF("id", "_v", "_vn")
+    pairs = lsh_candidates(index, queries, exclude_self=exclude_self).join(one, "qid").join(two, "id")
+    cosine = F.coalesce(F.try_divide(_dot(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_vn")), F.lit(0.0))
+    return best_k(pairs.select("qid", "id", F.round(cosine, DIGITS).alias("score")), k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

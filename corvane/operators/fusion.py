@@ -100,7 +100,7 @@ def exact_match(queries: DataFrame, chunks: DataFrame, limit: int = EXACT_LIMIT,
     A query's first chunks lie among the first of each rule number, so each number is cut before the
     join and a number holding much of the table stays small.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(X.rule_numbers(F.col(text)))).alias("rule_no"))
+    asked = queries.select("qid", F.explode(F.array_distinct(X.rule_numbers(X.nfkc(F.col(text))))).alias("rule_no"))
     per_rule = top_n_per_group(
         chunks.where(F.col("rule_no").isNotNull()).select("id", "rule_no", "chunk_index"),
         ["rule_no"], [F.col("chunk_index"), F.col("id")], limit, rank=None,

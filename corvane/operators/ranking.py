@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import stored_table
+
 # Above this n a map task can ship many rows of one hot key, so a salted round comes first.
 DIRECT_N = 64
 SALTS = 64
@@ -75,3 +77,23 @@ def index_percentiles(df: DataFrame, keys: list[str], value: str, at: dict[str,
         for name, i in at.items()
     ]
     return placed.groupBy(*keys).agg(F.max("total").alias("total"), *picks)
+
+
+def best_k(hits: DataFrame, k: int) -> DataFrame:
+    """The k best hits (qid, id, score) of each query, `rank` 0-based."""
+    ranked = top_n_per_group(hits, ["qid"], [F.desc("score"), F.asc("id")], k)
+    return ranked.withColumn("rank", F.col("rank") - 1)
+
+
+def in_order(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds each row's 0-based place in a sort of the whole table.
+
+    The sort is by ranges and stays distributed; only one count per range is summed in one task.
+    """
+    at = stored_table(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = at.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at") - F.shiftleft(F.col("_part"), 33)
+    return at.select("*", part).join(starts, "_part").select(*df.columns, place.alias(name))

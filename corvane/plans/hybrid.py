@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.values import should_abstain
 from corvane.operators import bm25, dense, fusion
+from corvane.session import stored_table
 
 
 @dataclass
@@ -48,8 +49,8 @@ def search_channels(queries: DataFrame, query_vectors: DataFrame, index: SearchI
 def hybrid_search(
     queries: DataFrame, query_vectors: DataFrame, index: SearchIndex, k: int = fusion.TOP_K, *, extra: str | None = None
 ) -> SearchResult:
-    """queries(qid, text), query_vectors(qid, embedding); a query without a vector counts as dense-failed."""
-    hits = search_channels(queries, query_vectors, index, extra).persist()
+    """queries(qid, text, and, as `extra`, an array of phrases that expand_query added), query_vectors(qid, embedding); a query without a vector counts as dense-failed."""
+    hits = stored_table(search_channels(queries, query_vectors, index, extra), "hits")
     fused = fusion.rrf_fuse(hits, index.weights)
     ranked = fusion.expand_parents(fused, index.chunks)
     docs = fusion.select_context(ranked, k)

@@ -17,7 +17,7 @@ QUERIES, SQL = R.queries, R.sql
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents", spread=True)
+    return table(spark, sf, "documents")
 
 
 # Each document read as a small rule book: short lines become numbered headers, some lines become page
@@ -357,7 +357,7 @@ def page_span(spark, sf):
     SELECT conv_id, md5(regexp_replace(regexp_replace(replace(t, chr(10), ' '), ' {2,}', ' ', 'g'), '\.{2,}', '.', 'g')) AS page_content FROM p""",
 )
 def merge_pages(spark, sf):
-    merged = N.merge_pages(table(spark, sf, "conversations", spread=True), "conv_id", order="turn")
+    merged = N.merge_pages(table(spark, sf, "conversations"), "conv_id", order="turn")
     return merged.withColumn("page_content", F.md5("page_content"))
 
 

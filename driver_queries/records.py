@@ -20,15 +20,15 @@ QUERIES, SQL = R.queries, R.sql
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events", spread=True)
+    return table(spark, sf, "events")
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders", spread=True)
+    return table(spark, sf, "orders")
 
 
 def lineitem(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem", spread=True)
+    return table(spark, sf, "lineitem")
 
 
 def at(text: str):
@@ -239,7 +239,7 @@ def team_games(spark, sf):
 )
 def pick_game(spark, sf):
     k = F.col("c_custkey")
-    asks = table(spark, sf, "customer", spread=True).select(
+    asks = table(spark, sf, "customer").select(
         k.alias("qid"), F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))).alias("codes"),
         F.when(k % 3 == 0, F.concat(F.lit("S"), (k % 7).cast("string"))).alias("venue"),
         F.when(k % 2 == 0, F.lit("upcoming")).otherwise(F.lit("last_finished")).alias("prefer"),
@@ -314,7 +314,7 @@ def roster_counts(spark, sf):
 def players(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as players of their nation."""
     kind = F.when(F.col("c_mktsegment").isin("HOUSEHOLD", "FURNITURE"), F.lit("HITTER")).otherwise(F.lit("PITCHER"))
-    return table(spark, sf, "customer", spread=True).select(
+    return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("team_code"), kind.alias("player_type"),
         F.struct(F.floor("c_acctbal").cast("int").alias("games")).alias("stats"), (F.col("c_custkey") % 11 == 0).alias("is_retired"),
     )

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.operators import bm25, dense, fusion
+from corvane.operators.matching import expand_query
 from corvane.plans import evaluate
-from corvane.plans.hybrid import SearchIndex, hybrid_search
+from corvane.plans.hybrid import SearchIndex, hybrid_search, search_channels
+from corvane.session import stored_table
 from driver_queries.base import Registry, sql_tokens, sql_words, table
 
 R = Registry()
@@ -28,7 +30,9 @@ idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM ra
 """
 
 ASK_SQL = """
-ask AS (SELECT item_id AS qid, concat(text, ' ', 1 + item_id % 9, '.', lpad((item_id % 100)::VARCHAR, 2, '0')) AS text FROM benchmark)
+ask_plain AS (SELECT item_id AS qid, concat(text, ' ', 1 + item_id % 9, '.', lpad((item_id % 100)::VARCHAR, 2, '0'), ' ', n_name) AS text FROM benchmark JOIN nation ON n_nationkey = item_id % 25),
+names AS (SELECT qid, unnest([n_name, concat('the ', lower(n_name))]) AS name FROM ask_plain JOIN nation ON contains(text, n_name)),
+ask AS (SELECT qid, any_value(text) AS text, list(DISTINCT name) AS extra FROM ask_plain JOIN names USING (qid) GROUP BY qid)
 """
 
 CHUNKS_SQL = f"""
@@ -75,10 +79,11 @@ def fuse_sql(weights: str = "CASE channel WHEN 'exact' THEN 1.0 ELSE 0.5 END", n
 """
 
 
+ASK_TOKENS = f"list_concat({sql_tokens('text')}, flatten(list_transform(extra, lambda e: {sql_tokens('e')})))"
 ASK_VECTORS = "q.vec_id IN (SELECT item_id FROM benchmark)"
 
 CHANNELS_SQL = f"""
-WITH {INDEX_SQL}, {ASK_SQL}, {CHUNKS_SQL}, {bm25_sql('ask')}, {dense_sql(ASK_VECTORS)}, {EXACT_SQL},
+WITH {INDEX_SQL}, {ASK_SQL}, {CHUNKS_SQL}, {bm25_sql('ask', tokens=ASK_TOKENS)}, {dense_sql(ASK_VECTORS)}, {EXACT_SQL},
 channels AS (SELECT qid, 'exact' AS channel, rank, id, 1.0::DOUBLE AS score FROM exact_hits
   UNION ALL SELECT qid, 'dense', rank, id, score FROM dense_hits
   UNION ALL SELECT qid, 'bm25', rank, id, score FROM bm25_hits)
@@ -107,17 +112,25 @@ picked AS (SELECT * FROM walk WHERE context_tokens <= 3000 AND (position <= 3 OR
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents", spread=True)
+    return table(spark, sf, "documents")
 
 
 def corpus_index(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.index_corpus(corpus(spark, sf)).persist()
+    return stored_table(bm25.index_corpus(corpus(spark, sf)), "terms")
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items, each also naming a rule number."""
+    """Benchmark items, each also naming a rule number (every other one in full-width characters) and a nation;
+    `extra` holds what the glossary of nations adds to a question."""
     number = F.format_string("%d.%02d", 1 + F.col("item_id") % 9, F.col("item_id") % 100)
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.concat_ws(" ", "text", number).alias("text"))
+    wide = F.translate(number, "0123456789.", "０１２３４５６７８９．")
+    nation = table(spark, sf, "nation").select((F.col("n_nationkey").cast("long")).alias("_n"), "n_name")
+    shown = F.concat_ws(" ", "text", F.when(F.col("item_id") % 2 == 0, number).otherwise(wide), "n_name")
+    items = table(spark, sf, "benchmark").withColumn("_n", F.col("item_id") % 25).join(nation, "_n")
+    questions = items.select(F.col("item_id").alias("qid"), shown.alias("text"))
+    name = F.col("n_name")
+    glossary = nation.select(name.alias("term_en"), F.concat(F.lit("the "), F.lower(name)).alias("term_ko"), F.array(name).alias("aliases"))
+    return expand_query(questions, glossary)
 
 
 def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,19 +151,19 @@ def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings", spread=True).select(F.col("vec_id").alias("id"), "embedding")
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
-    return vectors(spark, sf).join(F.broadcast(items), "id", "left_semi").withColumnRenamed("id", "qid")
+    return vectors(spark, sf).join(items, "id", "left_semi").withColumnRenamed("id", "qid")
 
 
 def search_index(spark: SparkSession, sf: str) -> SearchIndex:
     terms = corpus_index(spark, sf)
-    stats = bm25.term_stats(terms).persist()
+    stats = stored_table(bm25.term_stats(terms), "stats")
     reference = bm25.bm25_reference(corpus(spark, sf), terms, stats=stats)
-    return SearchIndex(chunk_table(spark, sf).persist(), terms, vectors(spark, sf), reference, stats)
+    return SearchIndex(stored_table(chunk_table(spark, sf), "chunks"), terms, vectors(spark, sf), reference, stats)
 
 
 # ---------------------------------------------------------------- queries
@@ -189,25 +202,38 @@ REF_VALUE = "greatest(t[1 + least(len(t) - 1, floor(len(t) * 0.9)::BIGINT)], 1e-
 )
 def bm25_reference(spark, sf):
     docs, index = corpus(spark, sf), corpus_index(spark, sf)
-    stats = bm25.term_stats(index).persist()
+    stats = stored_table(bm25.term_stats(index), "stats")
     parts = [bm25.bm25_reference(docs, index, k, stats=stats).select(F.lit(k).alias("kind"), "ref_score", "sampled") for k in ("short", "sentence")]
     return parts[0].unionByName(parts[1])
 
 
-@R.add("dense_topk", f"WITH {dense_sql('q.vec_id <> v.vec_id')} SELECT qid, id, score, rank FROM dense_hits")
+@R.add("dense_topk", f"WITH {dense_sql(f'{ASK_VECTORS} AND q.vec_id <> v.vec_id')} SELECT qid, id, score, rank FROM dense_hits")
 def dense_topk(spark, sf):
-    v = vectors(spark, sf)
-    return dense.dense_topk(v, v.withColumnRenamed("id", "qid"), exclude_self=True)
+    return dense.dense_topk(vectors(spark, sf), query_vectors(spark, sf), exclude_self=True)
+
+
+LSH_SQL = f"""
+places AS (SELECT t, b, d, (t * {dense.BITS} + b) * 64 + d + 1 AS a FROM range({dense.TABLES}) r(t), range({dense.BITS}) s(b), range(64) u(d)),
+round1 AS (SELECT t, b, d, (a * 1103515245 + 12345) % 4294967296 AS a FROM places),
+round2 AS (SELECT t, b, d, (xor(a, a >> 15) * 40503 + 12345) % 4294967296 AS a FROM round1),
+round3 AS (SELECT t, b, d, (xor(a, a >> 15) * 69069 + 12345) % 4294967296 AS a FROM round2),
+planes AS (SELECT t, b, list(xor(a, a >> 15) / 2147483648.0::DOUBLE - 1 ORDER BY d) AS plane FROM round3 GROUP BY t, b),
+codes AS (SELECT vec_id, t, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], plane) >= 0 THEN 1 << b ELSE 0 END) AS code FROM embeddings, planes GROUP BY vec_id, t),
+pairs AS (SELECT DISTINCT q.vec_id AS qid, v.vec_id AS id FROM codes q JOIN codes v USING (t, code) WHERE {ASK_VECTORS} AND q.vec_id <> v.vec_id),
+near AS (SELECT qid, id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+  FROM pairs JOIN embeddings q ON q.vec_id = qid JOIN embeddings v ON v.vec_id = id)
+"""
 
 
-@R.add("lsh_topk")
+@R.add(
+    "lsh_topk",
+    f"WITH {LSH_SQL} SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1)::INT AS rank FROM near QUALIFY rank < 20",
+)
 def lsh_topk(spark, sf):
-    """Recall of the bucket search against the exact one."""
-    v = vectors(spark, sf)
-    asked_vectors = v.withColumnRenamed("id", "qid")
-    index = dense.lsh_index(v, dims=64)
-    near = dense.lsh_topk(index, asked_vectors, dims=64, exclude_self=True)
-    return dense.recall(near, dense.dense_topk(v, asked_vectors, exclude_self=True))
+    """Hits of the bucket search for the benchmark's vectors."""
+    index = stored_table(dense.lsh_index(vectors(spark, sf), dims=64), "codes")
+    questions = query_vectors(spark, sf).select(F.col("qid").alias("id")).join(index, "id").withColumnRenamed("id", "qid")
+    return dense.lsh_topk(index, questions, exclude_self=True)
 
 
 @R.add("vector_dims", "SELECT len(embedding)::INT AS dims, count(*) AS rows, len(embedding) = 64 AS ok FROM embeddings GROUP BY 1, 3")
@@ -225,10 +251,8 @@ def exact_match(spark, sf):
 
 @R.add("rrf_fuse", f"{CHANNELS_SQL}, {fuse_sql()} SELECT qid, id, score_fused, fused_rank FROM fused")
 def rrf_fuse(spark, sf):
-    index = search_index(spark, sf)
-    from corvane.plans.hybrid import search_channels
-
-    return fusion.rrf_fuse(search_channels(asked(spark, sf), query_vectors(spark, sf), index))
+    hits = search_channels(asked(spark, sf), query_vectors(spark, sf), search_index(spark, sf), "extra")
+    return fusion.rrf_fuse(hits)
 
 
 @R.add(
@@ -240,9 +264,7 @@ def rrf_fuse(spark, sf):
 )
 def fusion_baselines(spark, sf):
     """Fusion with one channel weighted 0: its ids stay, at score 0."""
-    from corvane.plans.hybrid import search_channels
-
-    hits = search_channels(asked(spark, sf), query_vectors(spark, sf), search_index(spark, sf)).persist()
+    hits = stored_table(search_channels(asked(spark, sf), query_vectors(spark, sf), search_index(spark, sf), "extra"), "hits")
     parts = [
         fusion.rrf_fuse(hits, w).where(F.col("fused_rank") <= 6).select(F.lit(name).alias("baseline"), "*")
         for name, w in evaluate.BASELINES.items()
@@ -255,7 +277,7 @@ def fusion_baselines(spark, sf):
     f"{CHANNELS_SQL}, {fuse_sql()}, {EXPAND_SQL}, {CONTEXT_SQL} SELECT qid, position, id, score_fused, tokens, page_start, page_end, context_tokens FROM picked",
 )
 def hybrid(spark, sf):
-    found = hybrid_search(asked(spark, sf), query_vectors(spark, sf), search_index(spark, sf))
+    found = hybrid_search(asked(spark, sf), query_vectors(spark, sf), search_index(spark, sf), extra="extra")
     return found.docs.select("qid", "position", "id", "score_fused", "tokens", "page_start", "page_end", "context_tokens")
 
 
@@ -268,7 +290,7 @@ def hybrid(spark, sf):
       n_exact = 0 AND (NOT dense_failed AND dense_top < 0.3) AND bm25_max / r < 0.15 AS abstain FROM sig, ref""",
 )
 def abstain(spark, sf):
-    found = hybrid_search(asked(spark, sf), query_vectors(spark, sf), search_index(spark, sf))
+    found = hybrid_search(asked(spark, sf), query_vectors(spark, sf), search_index(spark, sf), extra="extra")
     return found.signals.select("qid", "dense_top", "bm25_max", "bm25_ratio", "n_exact", "dense_failed", "abstain")
 
 
@@ -285,7 +307,7 @@ judged AS (SELECT want.qid, len(expected) > 0 AS scored, CASE WHEN len(expected)
 
 def judged(spark, sf) -> DataFrame:
     """Recall per query with expected sources; every fifth item expects nothing."""
-    found = hybrid_search(asked(spark, sf), query_vectors(spark, sf), search_index(spark, sf))
+    found = hybrid_search(asked(spark, sf), query_vectors(spark, sf), search_index(spark, sf), extra="extra")
     sources = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "source")
     ref = F.when(F.col("id").startswith("parent:"), F.substring("id", 8, 99)).otherwise(F.col("source"))
     docs = found.docs.select("qid", "id", "position").join(sources, "id", "left").withColumn("rule_id", ref)
@@ -326,7 +348,7 @@ lines AS (SELECT l_orderkey AS qid, row_number() OVER (PARTITION BY l_orderkey O
 )
 def select_context(spark, sf):
     """Order lines as results: price is the score, quantity the length."""
-    rows = table(spark, sf, "lineitem", spread=True).select(
+    rows = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("qid"), F.col("l_extendedprice").alias("score_fused"),
         (F.col("l_quantity") * 60).cast("bigint").alias("tokens"), "l_partkey", "l_suppkey", "l_linenumber",
     )
@@ -354,7 +376,7 @@ num AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kind, position) A
 )
 def pack_context(spark, sf):
     """A conversation's messages as blocks of three kinds with small budgets."""
-    c = table(spark, sf, "conversations", spread=True)
+    c = table(spark, sf, "conversations")
     kind = F.when(F.col("role") == "assistant", F.lit("rule")).when(F.col("role") == "user", F.lit("latest")).otherwise(F.lit("league"))
     blocks = c.select(
         F.col("conv_id").alias("qid"), kind.alias("block_type"), F.col("turn").alias("position"),
@@ -381,7 +403,7 @@ def expand_parents(spark, sf):
 
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
-    lines = table(spark, sf, "lineitem", spread=True).select(
+    lines = table(spark, sf, "lineitem").select(
         key.alias("id"), F.col("l_orderkey").cast("string").alias("parent_id"),
         F.when(F.col("l_returnflag") != "N", F.lit("⑴")).alias("sub_item"), F.col("l_linenumber").alias("chunk_index"),
         (F.col("l_quantity") * 4).cast("bigint").alias("tokens"), F.col("l_linenumber").alias("page_start"),

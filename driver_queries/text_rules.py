@@ -34,12 +34,12 @@ TEST_NOT_IN_CONTEXT = L.Pattern("not_in_context", r"[Ll]e [a-z]+")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents", spread=True)
+    return table(spark, sf, "documents")
 
 
 def talks(spark: SparkSession, sf: str) -> DataFrame:
     key = (F.col("conv_id") * 100 + F.col("turn")).alias("answer_id")
-    return table(spark, sf, "conversations", spread=True).select(key, "conv_id", "turn", "role", "text")
+    return table(spark, sf, "conversations").select(key, "conv_id", "turn", "role", "text")
 
 
 def part_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -384,7 +384,7 @@ HOST_SQL = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][
 
 
 def pages(spark, sf) -> DataFrame:
-    return table(spark, sf, "pages", spread=True)
+    return table(spark, sf, "pages")
 
 
 @R.add("url_host", f"SELECT page_id, {HOST_SQL} AS host FROM pages")

@@ -74,7 +74,7 @@ def main() -> None:
 
     sf, names = sys.argv[1], sys.argv[2:]
     spark = build_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"}
+        master="local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/{sf}"

@@ -37,18 +37,34 @@ def test_team_and_venue(spark):
     ]
 
 
-def test_automaton_blocks_and_inline_agree(spark, monkeypatch):
-    names = spark.createDataFrame([(f"n{i}x", i) for i in range(700)] + [("한화", 700), ("n1x", 701)], "name string, code int")
-    texts = asks(spark, "n1x n12x n699x", "한화 n5", "", None)
+def test_joined_and_inline_lexicons_agree(spark):
+    names = spark.createDataFrame([(f"n{i}x", i) for i in range(700)] + [("한화", 700), ("n1x", 701), ("z", 702), ("", 703), (None, 704)], "name string, code int")
+    texts = asks(spark, "n1x n12x n699x", "한화 n5 z", "", None, "n1x n12x n699x")
     inline = M.lexicon_hits(texts, "text", names, "name", inline=5000)
-    machine = M.lexicon_hits(texts, "text", names, "name", inline=10)
-    monkeypatch.setattr(M, "BLOCK_NAMES", 400)
-    blocks = M.lexicon_hits(texts, "text", names, "name", inline=10)
+    joined = M.lexicon_hits(texts, "text", names, "name", inline=10)
 
     def codes(df):
         return [sorted(h.code for h in r.found) for r in df.orderBy("qid").collect()]
 
-    assert codes(inline) == codes(machine) == codes(blocks) == [[1, 12, 699, 701], [700], [], []]
+    assert codes(inline) == codes(joined) == [[1, 12, 699, 701], [700, 702], [], [], [1, 12, 699, 701]]
+
+
+def test_half_a_million_names(spark):
+    names = spark.range(500_000).select(F.concat(F.lit("name"), F.col("id").cast("string"), F.lit(";")).alias("name"), "id")
+    found = M.lexicon_hits(asks(spark, "name7; name499999; and name", "none"), "text", names, "name").orderBy("qid").collect()
+    assert [sorted(h.id for h in r.found) for r in found] == [[7, 499999], []]
+
+
+def test_five_thousand_keywords(spark):
+    rows = [(i, f"i{i}", [f"key{i}.", f"two  part{i}."]) for i in range(5000)]
+    items = spark.createDataFrame(rows, "ord int, id string, keywords array<string>")
+    out = M.match_keywords(asks(spark, "KEY4999. twopart3. key3.", "two part7.", "ｋｅｙ８．", "two"), items, limit=2)
+    assert column(out, "items") == [(["i3", "i4999"],), (["i7"],), (["i8"],), ([],)]
+
+
+def test_full_width_text_is_understood(spark):
+    q = asks(spark, "ＬＧ 경기")
+    assert column(M.match_team(q, teams(spark)), "team") == [("LG",)]
 
 
 def test_query_expansion_is_case_sensitive(spark):
