@@ -1,7 +1,8 @@
 """Token ids of text columns: a public tokenizer behind a cache of words.
 
-A tokenizer that drops white space and never joins two words can be asked once per different word. Most words of a
-corpus repeat, so words are looked up by hash in NumPy tables; only new ones reach the tokenizer.
+A tokenizer that drops white space, never joins two words and parts letters from punctuation can be asked once per
+different word. Most words of a corpus repeat, so they are looked up by hash in NumPy tables; only new ones reach the
+tokenizer.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end
         one = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in BETWEEN}
+        self.folds = self.tokenizer.encode("AB aB").ids == self.tokenizer.encode("ab ab").ids
         self.between = next(((c, ids[0]) for c, ids in one.items() if len(ids) == 1), None)
         self.clear()
 
@@ -74,7 +76,11 @@ class WordIds:
         """The entry of each word."""
         if self.entries > MOST_WORDS:
             self.clear()
-        hashes = word_hashes(raw, starts, ends, lower=False)
+        hashes = word_hashes(raw, starts, ends, lower=self.folds)
+        if self.folds and (tags := np.flatnonzero(raw == ord("<"))).size:
+            # Special tokens are told apart by case.
+            own = np.unique(np.searchsorted(starts, tags, "right") - 1)
+            hashes[own] = ~word_hashes(raw, starts[own], ends[own], lower=False)
         keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         known = keys.tolist()
         at = np.fromiter(map(self.index.get, known, repeat(-1)), np.int64, len(known))
@@ -101,10 +107,23 @@ def word_ids(path: str, end: int) -> WordIds:
     return _KEPT[path]
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _stops_apart(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A full stop or comma after a letter becomes a word of its own, as it does in the tokenizer; so words repeat
+    more often."""
+    last = raw[ends - 1]
+    cut = np.flatnonzero(((last == ord(".")) | (last == ord(","))) & _LETTER[raw[np.maximum(ends - 2, 0)]] & (ends - starts > 1))
+    shift = np.searchsorted(cut, first)
+    return np.insert(starts, cut + 1, ends[cut] - 1), np.insert(ends, cut, ends[cut] - 1), first + shift
+
+
 def encode(cache: WordIds, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by the end id, and the offsets of the texts. Null is empty."""
     raw, offsets = text_bytes(column)
-    starts, ends, first = word_spans(raw, offsets)
+    starts, ends, first = _stops_apart(raw, *word_spans(raw, offsets))
     at = np.insert(cache.numbers(raw, starts, ends), first[1:], 0)
     sizes = cache.length[at]
     upto = np.concatenate([[0], np.cumsum(sizes)])
