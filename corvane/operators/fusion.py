@@ -25,7 +25,6 @@ BLOCK_BUDGETS = {"rule": 3000, "latest": 800, "league": 2200}
 BLOCK_ORDER = ("rule", "latest", "league")
 BLOCK_SEPARATOR = "\n\n"
 # Every block starts with a bracketed header of at least this many tokens.
-MIN_BLOCK_TOKENS = 4
 MODEL_LABEL = "일반 지식"
 MODEL_TEXT = (
     "이 질문의 답은 규칙집·리그 규정·KBO 데이터에서 확인되지 않았습니다. "
@@ -115,16 +114,10 @@ def pool_payload(fused: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def sibling_prefix(chunks: DataFrame, parents: DataFrame, budget: int = PARENT_BUDGET) -> DataFrame:
-    """Siblings of the given parents, in order, while their tokens fit the budget.
-
-    Each chunk has at least one token, so the prefix lies in the first `budget` rows of a parent.
-    """
+    """Siblings of the given parents, in order, while their tokens fit the budget."""
     rows = chunks.where(F.col("parent_id").isNotNull()).join(parents, "parent_id", "left_semi")
-    checked = rows.withColumn(
-        "tokens",
-        F.when(F.col("tokens") >= 1, F.col("tokens")).otherwise(F.raise_error(F.lit("a chunk has no tokens"))),
-    )
-    first = top_n_per_group(checked, ["parent_id"], [F.col("chunk_index"), F.col("id")], budget, rank="sibling_no")
+    own = Window.partitionBy("parent_id").orderBy("chunk_index", "id")
+    first = rows.withColumn("sibling_no", F.row_number().over(own))
     upto = Window.partitionBy("parent_id").orderBy("sibling_no").rowsBetween(Window.unboundedPreceding, 0)
     return first.withColumn("_used", F.sum("tokens").over(upto)).where(F.col("_used") <= budget).drop("_used")
 
@@ -245,18 +238,16 @@ def pack_context(
 
     blocks: qid, block_type, position, head, body, freshness (nullable). Unavailable entries do not
     count. The number is part of a block, but every number is one token, so costs do not depend on it.
-    Each block has at least MIN_BLOCK_TOKENS tokens, which bounds how many can fit.
     """
     limits = BLOCK_BUDGETS if budgets is None else budgets
     ready = blocks.where(F.coalesce("freshness", F.lit("")) != "unavailable")
     counted = X.token_count(F.concat(F.lit("자료 1 | "), "head", F.lit("\n"), "body"))
-    short = F.raise_error(F.lit(f"a block has fewer than {MIN_BLOCK_TOKENS} tokens"))
-    cost = F.when(counted >= MIN_BLOCK_TOKENS, counted).otherwise(short)
+    cost = counted
     parts = []
     for order, kind in enumerate(BLOCK_ORDER):
         budget = limits[kind]
         rows = ready.where(F.col("block_type") == kind).withColumn("cost", cost)
-        first = top_n_per_group(rows, ["qid"], [F.col("position")], budget // MIN_BLOCK_TOKENS, rank="_rn")
+        first = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy("position")))
         upto = Window.partitionBy("qid").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
         fits = first.withColumn("_used", F.sum("cost").over(upto)).where(F.col("_used") <= budget)
         parts.append(fits.withColumn("_kind", F.lit(order)).drop("_used"))

@@ -128,7 +128,7 @@ def roster_top(players: DataFrame, keys: list[str], order: list[Column], limit:
 def team_info(teams: DataFrame, standings: DataFrame) -> DataFrame:
     """Team facts with the current standing where there is one."""
     now = standings.select(F.col("team_id").alias("code"), "ranking", "wins", "losses", "draws", "wra", "game_behind", "last_five")
-    return teams.join(F.broadcast(now), "code", "left")
+    return teams.join(now, "code", "left")
 
 
 def standing_line() -> Column:
@@ -147,8 +147,8 @@ def standings_lines(standings: DataFrame) -> DataFrame:
 
 def schedule_lines(games: DataFrame, teams: DataFrame) -> DataFrame:
     """Games with the short names of both teams; an unknown code stands for itself."""
-    home = F.broadcast(teams.select(F.col("code").alias("home_code"), F.col("short").alias("home_short")))
-    away = F.broadcast(teams.select(F.col("code").alias("away_code"), F.col("short").alias("away_short")))
+    home = teams.select(F.col("code").alias("home_code"), F.col("short").alias("home_short"))
+    away = teams.select(F.col("code").alias("away_code"), F.col("short").alias("away_short"))
     named = games.join(home, "home_code", "left").join(away, "away_code", "left")
     where = F.when(F.coalesce("stadium", F.lit("")) != "", F.concat(F.lit(" "), "stadium")).otherwise(F.lit(""))
     line = F.concat(
@@ -330,14 +330,14 @@ def entries_for_queries(
     """
     has = {t: queries.where(F.array_contains("topics", t)) for t in ("standings", "schedule", "team_info", "roster")}
     fresh, url = F.lit(freshness), F.lit(source_url)
-    known = F.broadcast(teams.select("code", "full"))
+    known = teams.select("code", "full")
 
     rows = standings.withColumn("_line", standing_line())
     lines = F.array_sort(F.collect_list(F.struct("ranking", F.col("_line").alias("t"))))
     table = rows.groupBy("season").agg(
         F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("_text"), F.max("as_of").alias("_as_of")
     )
-    standing_rows = has["standings"].withColumn("season", F.year(today)).join(F.broadcast(table), "season").select(
+    standing_rows = has["standings"].withColumn("season", F.year(today)).join(table, "season").select(
         *_entry("standings", 0, F.format_string("KBO %d 정규시즌 순위", F.col("season")), F.col("_text"), F.col("_as_of"), SOURCE_LABEL, url, fresh)
     )
 
@@ -352,7 +352,7 @@ def entries_for_queries(
     one_team = F.when(F.size("teams") == 1, F.col("teams")[0]).otherwise(F.lit("*"))
     year = F.year(today)
     schedule_rows = (
-        has["schedule"].withColumn("code", one_team).join(F.broadcast(plan), "code", "left").join(known, "code", "left")
+        has["schedule"].withColumn("code", one_team).join(plan, "code", "left").join(known, "code", "left")
         .select(*_entry("schedule", 1, F.coalesce(F.concat("full", F.lit(" 남은 경기")), F.format_string("KBO %d 남은 경기", year)),
                         F.coalesce("_text", F.lit("남은 경기 0경기")), F.col("_as_of"), SOURCE_LABEL, url, fresh))
     )
@@ -379,7 +379,7 @@ def entries_for_queries(
     body = F.when(only_p, F.coalesce(p["long"], blank)).when(only_h, F.coalesce(h["long"], blank)).otherwise(split)
     roster_rows = (
         has["roster"].withColumn("code", F.get("teams", F.lit(0)))
-        .join(F.broadcast(side.withColumnRenamed("team_code", "code")), "code").join(known, "code")
+        .join(side.withColumnRenamed("team_code", "code"), "code").join(known, "code")
         .select(*_entry("roster", 2, F.concat("full", F.lit(" "), what, F.format_string(" 명단 (%d명, 이번 시즌 출전 기준)", count)),
                         body, F.lit(captured_at), SOURCE_LABEL, url, F.lit("static")))
     )
@@ -392,7 +392,7 @@ def entries_for_queries(
     )
     info_rows = (
         has["team_info"].select("qid", F.posexplode(F.slice("teams", 1, MAX_TEAM_INFO)).alias("_nth", "code"))
-        .join(F.broadcast(info), "code")
+        .join(info, "code")
         .select("_nth", *_entry("team_info", 3, F.concat("full", F.lit(" 구단 정보")), facts, F.lit(dim_as_of), TEAM_SOURCE_LABEL, F.col("_url"), F.lit("static")))
     )
 

@@ -14,6 +14,8 @@ from corvane.operators.ranking import first_nonempty, top_n_per_group
 LEAGUE_CODE = "KBO"
 MIN_SCORE = 3
 PUBLISH_WINDOW_DAYS = 2
+# Days after a game in which an upload that names its day can be of that game; only newest uploads are ever listed.
+TOLD_DAYS = 30
 MAX_VERIFIED = 50
 MAX_KEPT = 4
 STAGES = ("disabled", "no_channel", "playlist_empty", "no_candidate", "verify_failed", "score_below_min", "ok")
@@ -36,7 +38,7 @@ def channel_order(games: DataFrame, channels: DataFrame, league: str = LEAGUE_CO
     """(game_id, priority, code): home, away, league channel in that order, each once, only existing ones."""
     codes = F.filter(F.array_distinct(F.array("home_code", "away_code", F.lit(league))), lambda c: c.isNotNull())
     ordered = games.select("game_id", F.posexplode(codes).alias("priority", "code"))
-    return ordered.join(F.broadcast(channels.select("code").distinct()), "code")
+    return ordered.join(channels.select("code").distinct(), "code")
 
 
 def team_variants(teams: DataFrame) -> DataFrame:
@@ -90,9 +92,14 @@ def date_mentions(title: Column, *, exact: bool = False) -> Column:
     return F.array_distinct(F.array_compact(spelled))
 
 
-def match_videos(games: DataFrame, videos: DataFrame, *, window: int = PUBLISH_WINDOW_DAYS, exact: bool = False) -> DataFrame:
+def match_videos(
+    games: DataFrame, videos: DataFrame, *, window: int = PUBLISH_WINDOW_DAYS, told_days: int = TOLD_DAYS, exact: bool = False
+) -> DataFrame:
     """(game_id, priority, code, id, …): videos of a game's channels near it in time or naming its day.
 
+    A video that names the day counts if it came out on the day or within `told_days` after it, or if it is not known
+    when; so a title of an earlier season never meets this one's game.
+
     games: game_id, code, priority, game_date. videos: code, id, title, published_at. Both ways are
     equi-joins, on (code, day) and on (code, month-day); only pairs that agree on a date ever meet.
     """
@@ -102,7 +109,7 @@ def match_videos(games: DataFrame, videos: DataFrame, *, window: int = PUBLISH_W
     named = videos.withColumn("_md", F.explode(date_mentions(F.col("title"), exact=exact)))
     md = F.concat_ws("-", F.month("game_date").cast("string"), F.dayofmonth("game_date").cast("string"))
     told = games.withColumn("_md", md).join(named, ["code", "_md"])
-    late = (F.col("published_at") < F.col("game_date")) | (F.col("published_at") > F.date_add("game_date", window))
+    late = F.col("published_at").between(F.date_add("game_date", window + 1), F.date_add("game_date", told_days))
     return near.unionByName(told.where(F.coalesce(late, F.lit(True))).drop("_md"))
 
 
@@ -146,7 +153,7 @@ def unescape(title: Column) -> Column:
 
 def score_videos(pairs: DataFrame, variants: DataFrame, *, trusted: bool = True, require_both: Column | None = None) -> DataFrame:
     """Adds `score` to game-video pairs carrying home_name, away_name, title, published_at, game_date."""
-    v = F.broadcast(variants)
+    v = variants
     named = pairs.join(v.select(F.col("name").alias("home_name"), F.col("variants").alias("_home")), "home_name", "left").join(
         v.select(F.col("name").alias("away_name"), F.col("variants").alias("_away")), "away_name", "left"
     )

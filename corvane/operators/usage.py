@@ -52,8 +52,8 @@ def turn_cost(usage: DataFrame, keys: list[str], *, prices: dict | None = None,
 
 
 def canonical_args(args: Column) -> Column:
-    """JSON object text with sorted keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json(args, "map<string,string>")))))
+    """JSON text with the keys of every level sorted; what is not JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(args)), args)
 
 
 def repeat_calls(calls: DataFrame, keys: list[str], *, name: str, args: Column, order: list[str]) -> DataFrame:
@@ -99,7 +99,7 @@ def daily_budget(
     )
     spent = F.lit(0)
     if used is not None:
-        first = first.join(F.broadcast(used.select("day", F.col("used").cast("int").alias("_used"))), "day", "left")
+        first = first.join(used.select("day", F.col("used").cast("int").alias("_used")), "day", "left")
         spent = F.coalesce("_used", F.lit(0))
     first = first.withColumn("_spent", spent)
     if units is None:
@@ -155,6 +155,38 @@ def _ties(events: DataFrame, at: str) -> list[str]:
     return [c for c in ("event_id", "id") if c in events.columns and c != at]
 
 
+def lock_segments(attempts: DataFrame, key: str, at: str, ok: str, tie: str) -> DataFrame:
+    """Adds `segment`: pieces of a key's timeline that the lockout fold can handle on their own.
+
+    A lock needs five failures in a row, whether evaluated or not, as the last of them is evaluated. So a success
+    without such a run ending in the 300 s before it starts anew, whatever came earlier. Runs are counted within
+    buckets of 300 s and carried over buckets by one small row each, so that no task sorts a whole key.
+    """
+    bucket = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (LOCK_SECONDS * 1_000_000)).cast("bigint")
+    rows = attempts.withColumn("_b", bucket).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+    inside = Window.partitionBy(key, "_b").orderBy(at, tie)
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_pos", F.row_number().over(inside)).withColumn("_last_ok", F.max(F.when(F.col(ok), F.col("_pos"))).over(upto))
+    # Failures at the end of each bucket, added up over the buckets since the last success.
+    small = placed.groupBy(key, "_b").agg((F.max("_pos") - F.coalesce(F.max("_last_ok"), F.lit(0))).alias("_tail"), F.max("_last_ok").isNotNull().cast("int").alias("_any"))
+    by_bucket = Window.partitionBy(key).orderBy("_b")
+    small = small.withColumn("_since", F.sum("_any").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)))
+    running = F.sum("_tail").over(Window.partitionBy(key, "_since").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    carried = small.withColumn("_run", running).select(key, "_b", F.coalesce(F.lag("_run").over(by_bucket), F.lit(0)).alias("_carry"))
+    length = F.when(F.col(ok), 0).when(F.col("_last_ok").isNull(), F.col("_pos") + F.col("_carry")).otherwise(F.col("_pos") - F.col("_last_ok"))
+    marked = placed.join(carried, [key, "_b"]).withColumn("_five", F.when(length >= MAX_FAILURES, F.col("_us")))
+    ends = marked.groupBy(key, (F.col("_b") + 1).alias("_b")).agg(F.max("_five").alias("_five_before"))
+    joined = marked.join(ends, [key, "_b"], "left")
+    latest = F.greatest(F.max("_five").over(before), F.col("_five_before"))
+    start = F.col(ok) & F.coalesce(F.col("_us") - latest >= LOCK_SECONDS * 1_000_000, F.lit(True))
+    cut = joined.withColumn("_starts", F.sum(start.cast("int")).over(upto))
+    counts = cut.groupBy(key, "_b").agg(F.max("_starts").alias("_n"))
+    earlier = F.sum("_n").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(key, "_b", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    numbered = cut.join(counts, [key, "_b"]).withColumn("segment", F.col("_earlier") + F.col("_starts"))
+    return numbered.select(*attempts.columns, "segment")
+
+
 def lock_step(fails: int, until: int, at: int, ok: bool) -> tuple[str, int, int]:
     """One attempt: its outcome and the state after it. Times are microseconds."""
     if until - at >= LOCK_GRAIN:
@@ -171,7 +203,7 @@ def attempt_lockout(attempts: DataFrame, *, key: str = "user_id", at: str = "ts"
 
     The fold runs over sorted rows of independent timeline pieces, one batch at a time.
     """
-    pieces = quiet_segments(attempts, key, at, LOCK_SECONDS, restart=F.col(ok), blocking=~F.col(ok))
+    pieces = lock_segments(attempts, key, at, ok, tie)
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     rows = pieces.select(F.col(key).alias("_k"), "segment", micros.alias("_at"), F.col(tie).alias("_tie"), F.col(ok).alias("_ok"))
     ordered = rows.repartition("_k", "segment").sortWithinPartitions("_k", "segment", "_at", "_tie")

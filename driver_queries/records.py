@@ -264,12 +264,13 @@ def schedule_top(spark, sf):
 
 @R.add(
     "schedule_lines",
-    f"""WITH {GAME_SQL} SELECT game_id, concat(strftime(game_date_time, '%Y-%m-%d(%a) %H:%M '), CASE WHEN a.n_nationkey < 20 THEN a.n_name ELSE away_code END, ' vs ',
-      CASE WHEN h.n_nationkey < 20 THEN h.n_name ELSE home_code END, ' ', stadium) AS line FROM games
-    LEFT JOIN nation h ON home_code = concat('N', h.n_nationkey) LEFT JOIN nation a ON away_code = concat('N', a.n_nationkey)""",
+    f"""WITH {GAME_SQL} SELECT game_id, concat(strftime(game_date_time, '%Y-%m-%d(%a) %H:%M '), coalesce(a.n_name, away_code), ' vs ',
+      coalesce(h.n_name, home_code), ' ', stadium) AS line FROM games
+    LEFT JOIN nation h ON home_code = concat('N', h.n_nationkey + 5) LEFT JOIN nation a ON away_code = concat('N', a.n_nationkey + 5)""",
 )
 def schedule_lines(spark, sf):
-    teams = table(spark, sf, "nation").where("n_nationkey < 20").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("short"))
+    """Nations as teams under shifted codes, so that some games have teams nobody knows."""
+    teams = table(spark, sf, "nation").select(F.concat(F.lit("N"), (F.col("n_nationkey") + 5).cast("string")).alias("code"), F.col("n_name").alias("short"))
     return G.schedule_lines(games(spark, sf), teams).select("game_id", "line")
 
 
@@ -290,13 +291,13 @@ def game_lines(spark, sf):
     )
 
 
-@R.add("team_info", "SELECT n_name, n_regionkey, CASE WHEN r_regionkey < 3 THEN r_name END AS r_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")
+@R.add("team_info", "SELECT n_name, n_regionkey, r_name FROM nation LEFT JOIN region ON r_regionkey + 2 = n_regionkey")
 def team_info(spark, sf):
-    """Nations with their region's row standing for the current standing."""
+    """Nations with a region's row standing for the current standing; shifted keys leave some without."""
     teams = table(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("code"), "n_name", "n_regionkey")
     null = F.lit(None)
-    now = table(spark, sf, "region").where("r_regionkey < 3").select(
-        F.col("r_regionkey").cast("string").alias("team_id"), F.col("r_name").alias("last_five"),
+    now = table(spark, sf, "region").select(
+        (F.col("r_regionkey") + 2).cast("string").alias("team_id"), F.col("r_name").alias("last_five"),
         *[null.cast("int").alias(c) for c in ("ranking", "wins", "losses", "draws")], *[null.cast("double").alias(c) for c in ("wra", "game_behind")],
     )
     return G.team_info(teams, now).select("n_name", "n_regionkey", F.col("last_five").alias("r_name"))
@@ -427,8 +428,8 @@ VIDEO_SQL = """
 g AS (SELECT o_orderkey AS game_id, concat('N', o_custkey) AS code, DATE '2024-01-01' + (o_orderkey % 30)::INT AS game_date FROM orders),
     v AS (SELECT event_id AS id, concat('N', user_id) AS code, (ts + INTERVAL 9 HOUR)::DATE AS published_at, CASE event_id % 3 WHEN 0 THEN concat('[H/L] ', month(ts), '.', day(ts), ' game') WHEN 1 THEN concat('1월 ', 1 + event_id % 28, '일 highlight') ELSE 'preview' END AS title FROM events),
     d AS (SELECT *, month(game_date) AS m, day(game_date) AS dd FROM g),
-pairs AS (SELECT game_id, id, title, published_at, game_date, m, dd FROM d JOIN v ON v.code = d.code AND ((published_at >= game_date AND published_at <= game_date + 2) OR contains(title, concat(m, '.', dd)) OR contains(title, concat(lpad(m::VARCHAR, 2, '0'), '.', lpad(dd::VARCHAR, 2, '0')))
-      OR contains(title, concat(m, '월 ', dd, '일')) OR contains(title, concat(m, '월', dd, '일'))))
+pairs AS (SELECT game_id, id, title, published_at, game_date, m, dd FROM d JOIN v ON v.code = d.code AND ((published_at >= game_date AND published_at <= game_date + 2) OR (published_at >= game_date AND published_at <= game_date + 30) AND (contains(title, concat(m, '.', dd)) OR contains(title, concat(lpad(m::VARCHAR, 2, '0'), '.', lpad(dd::VARCHAR, 2, '0')))
+      OR contains(title, concat(m, '월 ', dd, '일')) OR contains(title, concat(m, '월', dd, '일')))))
 """
 
 
@@ -481,13 +482,13 @@ def video_scores(spark, sf):
 
 @R.add(
     "channel_order",
-    """WITH g AS (SELECT l_orderkey AS game_id, concat('N', l_suppkey % 25) AS h, concat('N', l_partkey % 30) AS a FROM lineitem WHERE l_linenumber = 1)
+    """WITH g AS (SELECT concat_ws(':', l_orderkey, l_linenumber) AS game_id, concat('N', l_suppkey % 25) AS h, concat('N', l_partkey % 30) AS a FROM lineitem)
     SELECT game_id, priority::INT AS priority, code FROM (SELECT game_id, 0 AS priority, h AS code FROM g UNION ALL SELECT game_id, 1, a FROM g WHERE a <> h
       UNION ALL SELECT game_id, CASE WHEN a = h THEN 1 ELSE 2 END, 'KBO' FROM g) WHERE code = 'KBO' OR code IN (SELECT concat('N', n_nationkey) FROM nation)""",
 )
 def channel_order(spark, sf):
-    g = lineitem(spark, sf).where("l_linenumber = 1").select(
-        F.col("l_orderkey").alias("game_id"), F.concat(F.lit("N"), (F.col("l_suppkey") % 25).cast("string")).alias("home_code"), F.concat(F.lit("N"), (F.col("l_partkey") % 30).cast("string")).alias("away_code")
+    g = lineitem(spark, sf).select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("game_id"), F.concat(F.lit("N"), (F.col("l_suppkey") % 25).cast("string")).alias("home_code"), F.concat(F.lit("N"), (F.col("l_partkey") % 30).cast("string")).alias("away_code")
     )
     codes = table(spark, sf, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"))
     return P.channel_order(g, codes.unionByName(codes.limit(1).select(F.lit("KBO").alias("code"))))
@@ -562,7 +563,7 @@ def daily_budget_units(spark, sf):
 
 @R.add(
     "lockout",
-    """WITH RECURSIVE c AS (SELECT user_id % 5 AS user_id, event_id, event_id * 7 AS sec, event_type NOT IN ('error', 'click', 'view') AS ok, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS i FROM events),
+    """WITH RECURSIVE c AS (SELECT user_id, event_id, event_id // 40 AS sec, event_type NOT IN ('error', 'click', 'view') AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
     w AS (SELECT user_id, event_id, i, CASE WHEN ok THEN 'accepted' ELSE 'failed' END AS outcome, CASE WHEN ok THEN 0 ELSE 1 END AS fails, 0::BIGINT AS until FROM c WHERE i = 1
       UNION ALL SELECT c.user_id, c.event_id, c.i, CASE WHEN until - sec >= 1 THEN 'locked' WHEN ok THEN 'accepted' WHEN fails >= 4 THEN 'locking' ELSE 'failed' END,
         CASE WHEN until - sec >= 1 THEN fails WHEN ok OR fails >= 4 THEN 0 ELSE fails + 1 END, CASE WHEN until - sec >= 1 THEN until WHEN NOT ok AND fails >= 4 THEN sec + 300 ELSE 0 END
@@ -570,9 +571,9 @@ def daily_budget_units(spark, sf):
     SELECT user_id, event_id, outcome FROM w""",
 )
 def lockout(spark, sf):
-    """Errors are failed attempts, everything else a success; users are pooled so that locks happen."""
+    """Most kinds of events are failed attempts; time runs fast, so that locks happen."""
     rows = events(spark, sf).select(
-        (F.col("user_id") % 5).alias("user_id"), "event_id", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id * 7)").alias("ts"),
+        "user_id", "event_id", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id div 40)").alias("ts"),
         (~F.col("event_type").isin("error", "click", "view")).alias("ok"),
     )
     return U.attempt_lockout(rows)

@@ -298,7 +298,7 @@ def unbacked_refs(spark, sf):
 
 LINT_SQL = r"""
 base AS (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents),
-doc AS (SELECT doc_id, ['term_rule', 'situation', 'latest'][1 + (doc_id % 3)::INT] AS kind, l[1] AS head, list_slice(l, 2, 5) AS pts FROM base),
+doc AS (SELECT doc_id, ['term_rule', 'situation', 'latest'][1 + (doc_id % 3)::INT] AS kind, l[1] AS head, list_slice(l, 2, len(l)) AS pts FROM base),
 t AS (SELECT *, list_concat([head, head], pts, list_transform(pts, lambda p: substr(p, 1, 8))) AS texts, trim(head) AS h FROM doc),
 c AS (SELECT doc_id, list_filter([CASE WHEN h = '' THEN 'EMPTY_HEADLINE' END, CASE WHEN h <> '' AND length(h) < 10 THEN 'SHORT_HEADLINE' END,
   CASE WHEN len(list_filter(texts, lambda x: regexp_matches(x, '(?m)^\s*[#>*+]|^\s*-\s|\||<\w+|\$'))) > 0 THEN 'MARKDOWN_INJECTION' END,
@@ -319,7 +319,7 @@ def lint(spark, sf):
     lines = F.split("text", "\n")
     null = F.lit(None).cast("string")
     point = F.transform(
-        F.slice(lines, 2, 4), lambda t: F.struct(F.substring(t, 1, 8).alias("label"), t.alias("detail"), F.lit("5.09").alias("rule_ref"))
+        F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 8).alias("label"), t.alias("detail"), F.lit("5.09").alias("rule_ref"))
     )
     none = F.array()
     doc = F.struct(
@@ -432,7 +432,7 @@ def card_ids(spark, sf):
 
 
 RESULT_SQL = f"""
-res AS (SELECT {HOST_SQL} AS query, page_id % 3 AS attempt, page_id AS position, url, concat('T ', page_id) AS title, substr(html, 100, 700) AS content, (page_id * 7 % 10 / 10.0)::DOUBLE AS score FROM pages),
+res AS (SELECT {HOST_SQL} AS query, page_id % 3 AS attempt, page_id AS position, url, concat('T ', page_id) AS title, html AS content, (page_id * 7 % 10 / 10.0)::DOUBLE AS score FROM pages),
 tried AS (SELECT * FROM res WHERE score >= 0.5),
 firsts AS (SELECT query, min(attempt) AS attempt FROM tried GROUP BY query)
 """
@@ -442,7 +442,7 @@ def web_results(spark, sf) -> DataFrame:
     p = F.col("page_id")
     return pages(spark, sf).select(
         V.url_host(F.col("url")).alias("query"), (p % 3).alias("attempt"), p.alias("position"), "url", F.concat(F.lit("T "), p.cast("string")).alias("title"),
-        F.substring("html", 100, 700).alias("content"), (p * 7 % 10 / 10.0).alias("score"), F.lit("Mon, 24 Aug 2026 00:00:00 GMT").alias("published_date"),
+        F.col("html").alias("content"), (p * 7 % 10 / 10.0).alias("score"), F.lit("Mon, 24 Aug 2026 00:00:00 GMT").alias("published_date"),
     )
 
 

@@ -263,6 +263,14 @@ def test_highlights(spark):
     assert {r.stage for r in stages.collect()} == {"disabled"}
 
 
+def test_titles_of_earlier_seasons_do_not_match(spark):
+    games = spark.createDataFrame([("g", "LG", 0, dt.date(2026, 9, 13))], "game_id string, code string, priority int, game_date date")
+    days = {"old": "2021-09-13", "early": "2026-09-12", "same": "2026-09-13", "late": "2026-10-13", "later": "2026-10-14", "unknown": None}
+    videos = spark.createDataFrame([("LG", k, "9.13 하이라이트", d) for k, d in days.items()], "code string, id string, title string, published_at string")
+    found = P.match_videos(games, videos.withColumn("published_at", F.to_date("published_at"))).collect()
+    assert sorted(r["id"] for r in found) == ["late", "same", "unknown"]
+
+
 def test_places(spark):
     rows = [("q", i, t, u, c, s, None) for i, (t, u, c, s) in enumerate([("맛집 1", "u1", "c" * 300, 0.9), ("낮음", "u2", "c", 0.3), ("맛집 1", "u1", "d", 0.8), ("", "u3", "e", 0.9), ("맛집 2", "u4", "", 0.65)])]
     df = spark.createDataFrame(rows, "query string, position int, title string, url string, content string, score double, published_date string")

@@ -53,6 +53,18 @@ def test_segments_split_a_hot_key(spark):
     assert pieces.select("segment").distinct().count() > 20
 
 
+def test_lockout_splits_a_busy_key_where_nothing_older_matters(spark):
+    rows, df = attempts(spark, users=1)
+    pieces = U.lock_segments(df, "user_id", "ts", "ok", "event_id").groupBy("segment").count().collect()
+    assert len(pieces) > 20 and sum(r["count"] for r in pieces) == len(rows)
+
+
+def test_arguments_are_compared_at_every_level(spark):
+    texts = ['{"a":{"x":1,"y":[{"p":1,"q":2}]},"b":2}', '{"b":2,"a":{"y":[{"q":2,"p":1}],"x":1}}', "{broken", "broken}", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(U.canonical_args(F.col("t"))).collect()]
+    assert got[0] == got[1] and got[2:] == texts[2:]
+
+
 def test_ttl_equals_the_loop(spark):
     rows, df = attempts(spark)
     fetched, want = {}, {}
