@@ -77,7 +77,7 @@ def term_mentions(answers: DataFrame, *, key: str = "answer_id", text: str = "te
 def _first_doc(retrieved: DataFrame, key: str, by: Column, name: str) -> DataFrame:
     row = F.struct("doc_type", "page_start", "content", "term_no", "term_en")
     named = retrieved.withColumn(name, by).where(F.col(name).isNotNull())
-    return named.groupBy(key, name).agg(F.min_by(row, "rank").alias("_doc"))
+    return first_per_key(named, [key, name], F.col("rank")).select(key, name, row.alias("_doc"))
 
 
 def backed_citations(answers: DataFrame, retrieved: DataFrame, *, key: str = "answer_id", text: str = "text") -> DataFrame:

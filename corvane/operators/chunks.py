@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions import text as X
-from corvane.operators.ranking import index_percentiles
+from corvane.operators.ranking import first_per_key, index_percentiles
 from corvane.operators.sections import section_lines
 
 # Budgets, markers and price table.
@@ -286,8 +286,8 @@ def chunk_stats(chunks: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def build_glossary(chunks: DataFrame) -> DataFrame:
     """One entry per term number, from its first chunk, with sorted distinct aliases."""
     terms = chunks.where((F.col("doc_type") == "term") & (F.coalesce("term_en", F.lit("")) != ""))
-    row = F.struct("term_en", "term_ko", "rule_id", F.col("page_start").alias("page"))
-    first = terms.groupBy("document_id", "term_no").agg(F.min_by(row, "chunk_index").alias("_t")).select("document_id", "term_no", "_t.*")
+    first = first_per_key(terms, ["document_id", "term_no"], F.col("chunk_index"))
+    first = first.select("document_id", "term_no", "term_en", "term_ko", "rule_id", F.col("page_start").alias("page"))
     ko = F.coalesce("term_ko", F.lit(""))
     names = F.concat(F.array("term_en", X.title_case(F.col("term_en")), ko), F.split(ko, "·"))
     return first.withColumn("aliases", F.array_sort(F.array_distinct(F.filter(names, lambda a: a != ""))))

@@ -67,9 +67,10 @@ def rrf_fuse(hits: DataFrame, weights: dict[str, float] | None = None, k: int =
     priority = _per_channel({c: i for i, c in enumerate(CHANNEL_ORDER)}, F.lit(len(CHANNEL_ORDER)))
     summed = hits.groupBy("qid", "id").agg(
         F.round(F.sum(weight / (k + F.col("rank") + 1)), 9).alias("score_fused"),
-        F.min(F.struct(priority.alias("p"), F.col("rank").alias("r"))).alias("_seen"),
+        # Channel, then rank, in one number: a plain minimum.
+        F.min(priority.cast("bigint") * (1 << 40) + F.col("rank")).alias("_seen"),
     )
-    order = Window.partitionBy("qid").orderBy(F.desc("score_fused"), "_seen.p", "_seen.r", "id")
+    order = Window.partitionBy("qid").orderBy(F.desc("score_fused"), "_seen", "id")
     return summed.withColumn("fused_rank", F.row_number().over(order)).drop("_seen")
 
 

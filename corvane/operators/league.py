@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as L
-from corvane.operators.ranking import top_n_per_group
+from corvane.operators.ranking import first_per_key, top_n_per_group
 
 # Codes, states, tolerances, caps and line forms.
 TEAM_CODES = ("KT", "SS", "LG", "HT", "OB", "NC", "SK", "HH", "LT", "WO")
@@ -51,10 +51,7 @@ def finished(games: DataFrame, now: Column) -> DataFrame:
 
 
 def last_finished(games: DataFrame, now: Column, *keys: str) -> DataFrame:
-    row = F.struct(*games.columns)
-    return finished(games, now).groupBy(*keys).agg(
-        F.max_by(row, F.struct("game_date_time", "game_id")).alias("_g")
-    ).where(F.col("_g").isNotNull()).select("_g.*")
+    return first_per_key(finished(games, now), list(keys), F.struct("game_date_time", "game_id"), last=True)
 
 
 def for_team(games: DataFrame, code: str) -> DataFrame:
@@ -97,8 +94,7 @@ def dedupe_players(players: DataFrame) -> DataFrame:
     arrival = F.col("arrival") if "arrival" in players.columns else F.lit(0)
     kind = F.when(F.col("player_type") == "HITTER", 0).otherwise(1)
     order = F.struct((-fits).alias("f"), (-F.coalesce("stats.games", F.lit(0))).alias("g"), kind.alias("k"), arrival.alias("a"))
-    row = F.struct(*players.columns)
-    return players.groupBy("player_id").agg(F.min_by(row, order).alias("_p")).select("_p.*")
+    return first_per_key(players, ["player_id"], order)
 
 
 def roster(players: DataFrame, team: str | None = None, player_type: str | None = None, *, include_retired: bool = False) -> DataFrame:

@@ -40,12 +40,10 @@ def top_n_per_group(
 
 
 def first_per_key(df: DataFrame, keys: list[str | Column], order: Column, *, last: bool = False) -> DataFrame:
-    """One whole row per key by a combinable min or max, so a hot key costs one row per map task."""
-    pick = F.max_by if last else F.min_by
-    row = F.struct(*[F.col(c) for c in df.columns])
-    named = [F.col(k) if isinstance(k, str) else k for k in keys]
-    keyed = df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(named)]).agg(pick(row, order).alias("_row"))
-    return keyed.select("_row.*")
+    """The first (or last) row of each key. Every map task sends one row per key, so a hot key costs no more."""
+    by = order.desc_nulls_last() if last else order.asc_nulls_last()
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
+    return ranked.where(F.col("_rn") == 1).drop("_rn")
 
 
 def first_nonempty(candidates: DataFrame, keys: list[str], priority: str, passing: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.operators.ranking import top_n_per_group
+from corvane.operators.ranking import first_per_key, top_n_per_group
 
 # Prices per million tokens (input, output, cached), limits and periods.
 PRICES = {"gpt-4o-mini": (0.15, 0.60, 0.075), "gpt-5.6-luna": (0.20, 1.20, 0.02)}
@@ -59,12 +59,12 @@ def canonical_args(args: Column) -> Column:
 def repeat_calls(calls: DataFrame, keys: list[str], *, name: str, args: Column, order: list[str]) -> DataFrame:
     """Adds `repeated`: the same call with the same arguments came earlier in the turn.
 
-    The first place per call is a combinable minimum; calls then look it up by key, and a call repeated
+    The first place per call is cut to one row in every map task; calls then look it up by key, and a call repeated
     very often is split by the skew-join rule instead of being sorted in one task.
     """
     keyed = calls.withColumn("call_args", args)
     group = [*keys, name, "call_args"]
-    first = keyed.groupBy(*group).agg(F.min(F.struct(*order)).alias("_first"))
+    first = first_per_key(keyed.select(*group, *order), group, F.struct(*order)).select(*group, F.struct(*order).alias("_first"))
     same = [F.col(f"c.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group]
     joined = keyed.alias("c").join(first.alias("f"), same)
     return joined.select("c.*", (F.struct(*[F.col(f"c.{o}") for o in order]) != F.col("f._first")).alias("repeated"))
@@ -106,7 +106,7 @@ def daily_budget(
         taken = first.where(F.col("_rn") <= budget - F.col("_spent")).select("day", "_cost", *order)
     else:
         taken = first.groupBy("day").applyInPandas(_greedy(order, budget), first.select("day", "_cost", *order).schema)
-    last = taken.groupBy("day", "_cost").agg(F.max(F.struct(*order)).alias("_last"))
+    last = first_per_key(taken, ["day", "_cost"], F.struct(*order), last=True).select("day", "_cost", F.struct(*order).alias("_last"))
     joined = dated.join(last, ["day", "_cost"], "left")
     ok = (F.col("_cost") <= 0) | F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))
     return joined.withColumn("accepted", ok).drop("_cost", "_last")
@@ -127,34 +127,21 @@ def _greedy(order: list[str], budget: int):
     return take
 
 
-def quiet_segments(events: DataFrame, key: str, at: str, period: int, *, restart: Column | None = None, blocking: Column | None = None) -> DataFrame:
-    """Adds `segment`: pieces of a key's timeline that a state fold can handle on their own.
+def quiet_segments(events: DataFrame, key: str, at: str, period: int) -> DataFrame:
+    """Adds `segment`: pieces of a key's timeline that a fold over one period can handle on their own.
 
-    Time is cut into buckets of one period. A bucket starts a piece when no blocking event lies in the
-    bucket before it and its own first event satisfies `restart`: nothing older can still matter then.
-    The decision needs only one small row per (key, bucket), not the events.
+    Time is cut into buckets of one period. A bucket with nothing in the bucket before it starts a piece: nothing
+    older can still matter then. The decision needs only one small row per (key, bucket), not the events.
     """
     bucket = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (period * 1_000_000)).cast("bigint")
-    blocks = blocking if blocking is not None else F.lit(True)
-    opens = restart if restart is not None else F.lit(True)
     cut = events.withColumn("_bucket", bucket)
-    small = cut.groupBy(key, "_bucket").agg(
-        F.max(blocks.cast("int")).alias("_blocks"), F.min_by(opens, F.struct(at, *_ties(events, at))).alias("_opens")
-    )
     w = Window.partitionBy(key).orderBy("_bucket")
-    adjacent = F.lag("_bucket").over(w) == F.col("_bucket") - 1
-    clear = ~F.coalesce(adjacent & (F.lag("_blocks").over(w) == 1), F.lit(False))
-    starts = (clear & F.col("_opens")).cast("int")
-    numbered = small.withColumn("_s", starts).withColumn(
-        "segment", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    starts = (F.lag("_bucket").over(w) == F.col("_bucket") - 1).cast("int")
+    small = cut.select(key, "_bucket").distinct().withColumn("_s", 1 - F.coalesce(starts, F.lit(0)))
+    numbered = small.withColumn("segment", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return cut.join(numbered.select(key, "_bucket", "segment"), [key, "_bucket"]).drop("_bucket")
 
 
-def _ties(events: DataFrame, at: str) -> list[str]:
-    return [c for c in ("event_id", "id") if c in events.columns and c != at]
-
-
 def lock_segments(attempts: DataFrame, key: str, at: str, ok: str, tie: str) -> DataFrame:
     """Adds `segment`: pieces of a key's timeline that the lockout fold can handle on their own.
 

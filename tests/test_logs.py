@@ -49,8 +49,8 @@ def test_lockout_equals_the_loop(spark):
 
 def test_segments_split_a_hot_key(spark):
     _, df = attempts(spark, users=1)
-    pieces = U.quiet_segments(df, "user_id", "ts", 300, restart=F.col("ok"), blocking=~F.col("ok"))
-    assert pieces.select("segment").distinct().count() > 20
+    pieces = U.quiet_segments(df, "user_id", "ts", 60)
+    assert pieces.select("segment").distinct().count() > 5
 
 
 def test_lockout_splits_a_busy_key_where_nothing_older_matters(spark):
