@@ -29,6 +29,8 @@ LIST_SIZE, MOST_LISTS = 256, 2048
 COPIES, CLOSURE = 4, 1.15
 #: Neighbours of a centroid in the graph.
 DEGREE = 24
+#: Vectors compared with all centroids at a time.
+STEP = 2048
 #: Vectors of a list that one task holds.
 PART = 4096
 #: Sample vectors asked to fit the ratio, and the recall they must reach.
@@ -74,11 +76,14 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     distinct = np.unique(x, axis=0)
     k = min(k, len(distinct))
     c = distinct[np.random.default_rng(11).permutation(len(distinct))[:k]].copy()
-    size = np.zeros(k)
+    size, scale = np.zeros(k), 0.0
     for _ in range(rounds):
-        d = _square(x, c)
-        scale = np.median(d.min(axis=1)) + 1e-12
-        to = (d + scale * np.minimum(size * k / len(x), 4)[None, :] * 0.1).argmin(axis=1)
+        to, least = np.empty(len(x), np.int64), np.empty(len(x))
+        load = scale * np.minimum(size * k / len(x), 4) * 0.1
+        for at in range(0, len(x), STEP):
+            d = _square(x[at : at + STEP], c)
+            to[at : at + STEP], least[at : at + STEP] = (d + load).argmin(axis=1), d.min(axis=1)
+        scale = np.median(least) + 1e-12
         size = np.bincount(to, minlength=k).astype(float)
         sums = np.zeros_like(c)
         np.add.at(sums, to, x)
@@ -106,7 +111,6 @@ def fit(vectors: DataFrame, rows: int, k: int) -> Index | None:
     # Nearest centroids, and a ring, so that the graph hangs together.
     ring = (np.arange(len(c))[:, None] + [1]) % len(c)
     index = Index(c, np.concatenate([order[:, 1 : DEGREE + 1], ring], axis=1), np.inf)
-    row, own = _closure(x, c)
     trial = np.arange(0, len(x), max(1, len(x) // TRIALS))
     to = np.sqrt(_square(x[trial], c))
     exact = _square(x[trial], x)
@@ -114,8 +118,10 @@ def fit(vectors: DataFrame, rows: int, k: int) -> Index | None:
     best = np.argsort(exact, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
     # The ratio at which each true neighbour is reached, through the nearest of its lists.
     lists: list[list[int]] = [[] for _ in range(len(x))]
-    for r, to_list in zip(row.tolist(), own.tolist()):
-        lists[r].append(to_list)
+    for at in range(0, len(x), STEP):
+        row, own = _closure(x[at : at + STEP], c)
+        for r, to_list in zip(row.tolist(), own.tolist()):
+            lists[at + r].append(to_list)
     need = [to[t, lists[v]].min() / max(to[t].min(), 1e-12) for t, found in enumerate(best.tolist()) for v in found]
     index.ratio = max(1.0, float(np.quantile(need, RECALL))) * (1 + 1e-9) if need else 1.0
     return index
@@ -141,8 +147,8 @@ def _in_lists(rows: DataFrame, lists_of, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
                 row, own = lists_of(_matrix(part.column("v")))
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(own.astype(np.int32))], [*columns, "list"])
