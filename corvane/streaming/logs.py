@@ -133,19 +133,21 @@ def daily_budget_stream(
 ) -> StreamingQuery:
     """Writes every call with its decision under `path`, one folder per trigger.
 
-    What earlier triggers spent is summed from their own folders, and a replayed trigger overwrites
-    its folder, so a failed trigger neither loses nor doubles units. A day holding most calls is cut
-    like any batch (see `daily_budget`) instead of passing through one keyed task.
+    Beside it, `path`_totals holds what every day has spent up to each trigger, one row per day; a trigger reads
+    only the totals of the one before, never the calls. A replayed trigger overwrites its folders, so a failed one
+    neither loses nor doubles units. A day holding most calls is cut like any batch (see `daily_budget`) instead of
+    passing through one keyed task.
     """
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        used = None
-        if batch_id > 0:
-            earlier = spark.read.option("basePath", path).parquet(path).where((F.col("trigger") < batch_id) & F.col("accepted"))
-            spent = F.lit(1) if units is None else F.col(units)
-            used = earlier.groupBy("day").agg(F.sum(spent).alias("used"))
+        used = spark.read.parquet(f"{path}_totals/trigger={batch_id - 1}") if batch_id else None
         decided = daily_budget(batch, day, order=order, units=units, budget=budget, used=used)
         decided.write.mode("overwrite").parquet(f"{path}/trigger={batch_id}")
+        spent = F.lit(1) if units is None else F.col(units)
+        own = spark.read.schema(decided.schema).parquet(f"{path}/trigger={batch_id}").where("accepted")
+        rows = own.select("day", spent.cast("bigint").alias("used"))
+        totals = (rows if used is None else rows.unionByName(used)).groupBy("day").agg(F.sum("used").alias("used"))
+        totals.write.mode("overwrite").parquet(f"{path}_totals/trigger={batch_id}")
 
     return calls.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
