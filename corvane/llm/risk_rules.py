@@ -102,14 +102,13 @@ def choose_cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta
         for i, (rule, cut) in enumerate(tests)
     ]))
     counts = counts.filter("good > 0")
-    # One row for each stratum.
-    made = counts.agg((F.count(F.lit(1)) * len(tests)).alias("tests"))
-    rated = counts.select("stratum", "good", each.alias("t")).select("stratum", "good", "t.*").crossJoin(F.broadcast(made))
+    made = counts.select(F.count(F.lit(1)) * len(tests)).scalar()
+    rated = counts.select("stratum", "good", each.alias("t")).select("stratum", "good", "t.*")
     rated = rated.filter((F.col("bad_caught") > PRICE * F.col("good_lost")) & (F.col("good_lost") <= risk * F.col("good")))
-    rated = rated.filter(binomial_tail(F.col("good_lost"), F.col("good"), risk) <= delta / F.col("tests"))
+    rated = rated.filter(binomial_tail(F.col("good_lost"), F.col("good"), risk) <= delta / made)
     gain = F.col("bad_caught") - PRICE * F.col("good_lost")
     best = Window.partitionBy("stratum", "rule").orderBy(gain.desc(), F.desc("cutoff"))
-    return rated.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place", "tests")
+    return rated.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place")
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, delta: float = DELTA) -> DataFrame:
