@@ -2,8 +2,9 @@
 
 An n-gram with count c enters the filter once for each level 1 .. 1 + floor(log2 c). Asking for level 1, 2, ... until
 one is missing gives the quantised count back; a false positive can only raise it. The filter is built in shards by
-the n-grams' hash, each from counts that tasks have summed beforehand, and has a bounded size, so it is broadcast.
-Exact counts of the words of a text, which no bounded filter can hold, are fetched by joins in blocks.
+the n-grams' hash, each from counts that tasks have summed beforehand. Shards grow in number with the text and are
+stored, so every n-gram of the corpus is in the filter, and no task holds more than one shard. Texts are scored in
+blocks, which ask the shards for the levels of their n-grams and for the exact counts of their words.
 """
 
 from __future__ import annotations
@@ -18,12 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import mix, row_key, text_bytes, text_slices, word_hashes, word_spans
+from corvane.llm.common import mix, row_key, stored, text_bytes, text_slices, word_hashes, word_spans
 
 #: Bits for each entry, and probes.
 ENTRY_BITS, PROBES = 8, 5
-#: The filter's bytes at most. When a corpus has more entries, its rarest n-grams are left to the lower order.
-MOST_BYTES = 128 << 20
 #: Tokens counted together in a task, text bytes of a scoring block, and text bytes for each shard.
 TASK_TOKENS, BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20, 12 << 20
 #: Weight of the lower order, and what is added to each word's count.
@@ -78,8 +77,8 @@ class LogFilter:
     begin: np.ndarray
     size: np.ndarray
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The quantised count of each hash: 0, 1, 2.5, 5.5, ... (the middle of each level's counts)."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The highest level of each hash that is not missing, 0 without any."""
         level = np.zeros(len(h), np.int64)
         shard, key = _shard(h, self.shard_bits), _key(h, self.shard_bits)
         live = np.flatnonzero(self.size[shard] > 0)
@@ -90,15 +89,28 @@ class LogFilter:
                 level[live[~hit]] |= 1 << 40
             live = live[level[live] < 1 << 40]
             level[live] += 1
-        level &= (1 << 40) - 1
-        return np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)
+        return level & ((1 << 40) - 1)
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """The quantised count of each hash."""
+        return _middle(self.levels(h))
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """0, 1, 2.5, 5.5, ...: the middle of each level's counts."""
+    return np.where(level > 0, (3.0 * 2.0 ** (level - 1.0) - 1) / 2, 0.0)
 
 
-def _shard_filter(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[bytes, int]:
-    """Bits of one shard and how many; levels below the least that fits are left out together."""
-    level = 1 + np.floor(np.log2(counts)).astype(np.int64)
+def _level(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 c), and 0 of 0."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+
+
+def _shard_filter(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[bytes, int]:
+    """Bits of one shard and how many; under a bound, levels below the least that fits are left out together."""
+    level = _level(counts)
     least = 1
-    while level[level >= least].sum() * ENTRY_BITS > most_bits:
+    while most_bits is not None and level[level >= least].sum() * ENTRY_BITS > most_bits:
         least += 1
     keys, level = keys[level >= least], level[level >= least]
     size = int(level.sum()) * ENTRY_BITS
@@ -161,30 +173,20 @@ def _unpacked(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, kind)
 
 
-def train(rows: DataFrame, bits: int) -> tuple[LogFilter, int, int]:
-    """The filter, and how many training tokens and different words there are."""
-    most = MOST_BYTES * 8 >> bits
+def train(rows: DataFrame, bits: int) -> DataFrame:
+    """(shard, data, size, n, v): each shard's filter of all its bigrams, and its training tokens and different words."""
 
     def build(table: pa.Table) -> pa.Table:
         single, other = (table.filter(pc.equal(table.column("kind"), kind)) for kind in (0, 1))
         words, times = _summed(_unpacked(single, "keys", np.uint64), _unpacked(single, "counts", np.uint32).astype(np.int64))
-        keys = np.concatenate([_key(words, bits), _unpacked(other, "keys", np.uint32)])
-        counts = np.concatenate([times, _unpacked(other, "counts", np.uint32).astype(np.int64)])
-        data, size = _shard_filter(*_summed(keys, counts), most)
+        data, size = _shard_filter(*_summed(_unpacked(other, "keys", np.uint32), _unpacked(other, "counts", np.uint32).astype(np.int64)))
         return pa.table({
             "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary()),
             "size": pa.array([size], pa.int64()), "n": pa.array([int(times.sum())], pa.int64()), "v": pa.array([len(words)], pa.int64()),
         })
 
     shards = count_shards(rows, bits).repartition(1 << bits, "shard").groupBy("shard")
-    # At most MOST_BYTES in all.
-    built = {r["shard"]: r for r in shards.applyInArrow(build, "shard int, data binary, size long, n long, v long").collect()}
-    order = range(1 << bits)
-    data = [np.frombuffer(bytes(built[s]["data"]), np.uint8) if s in built else np.empty(0, np.uint8) for s in order]
-    size = np.array([built[s]["size"] if s in built else 0 for s in order], np.int64)
-    begin = np.cumsum([0, *map(len, data)])[:-1].astype(np.int64)
-    total = sum(r["n"] for r in built.values()), sum(r["v"] for r in built.values())
-    return LogFilter(bits, np.concatenate(data) if data else np.empty(0, np.uint8), begin, size), *total
+    return stored(shards.applyInArrow(build, "shard int, data binary, size long, n long, v long"), "filter")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -192,7 +194,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. base_score sums
     log10((c + 0.1) / (N + 0.1 * (V + 1))) over the tokens, with exact counts. score is the model's: a bigram's
-    quantised count is smoothed with the word's own probability, (c(h w) + MU * p(w)) / (c(h) + MU). Defined results:
+    quantised count, from the filter, is smoothed with the word's own probability, (c(h w) + MU * p(w)) / (c(h) + MU);
+    c(h) and p(w) are from the words' exact counts, quantised likewise. Defined results:
     a null or empty text is its end token alone; a null doc_id is trained on; repeated rows are counted and scored
     each; without training rows every base token scores log10(1); an empty table gives no rows; other columns are
     ignored.
@@ -200,8 +203,8 @@ def score(docs: DataFrame) -> DataFrame:
     rows = _text_rows(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
-    model, n, v = train(rows, bits)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    model = train(rows, bits)
+    n, v = (x or 0 for x in model.agg(F.sum("n"), F.sum("v")).first())
     blocks = -(-size // BLOCK_BYTES) or 1
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("rk", F.lit(3)), F.lit(blocks)))
     blocked = blocked.repartition(int(max(1, min(blocks, 1 << 16))), "block")
@@ -211,44 +214,54 @@ def score(docs: DataFrame) -> DataFrame:
             for batch in text_slices(whole, "text"):
                 yield batch, *tokens(batch.column("text"))
 
+    def cut(keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(_shard(keys, bits), np.arange((1 << bits) + 1))
+
     def ask(table: pa.Table) -> pa.Table:
-        seen, new = [], []
+        seen, new, met = [], [], []
         for batch, flat, begin in words_of(table):
             held = np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False), np.diff(begin))
             seen.append(flat)
             new.append(~held)
+            met.append(bigrams(flat, begin)[0])
         keys, inverse = np.unique(np.concatenate(seen), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate(new), len(keys)).astype(np.uint32)
-        cuts = np.searchsorted(_shard(keys, bits), np.arange((1 << bits) + 1))
-        some = np.flatnonzero(np.diff(cuts)).tolist()
+        pairs = np.unique(np.concatenate(met))
+        one, two = cut(keys), cut(pairs)
+        some = np.flatnonzero(np.diff(one) + np.diff(two)).tolist()
+        low = _key(pairs, bits)
         return pa.table({
             "shard": pa.array(some, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(some), pa.int64()),
-            "keys": pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()),
-            "counts": pa.array([counts[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()),
+            "keys": pa.array([keys[one[s] : one[s + 1]].tobytes() for s in some], pa.binary()),
+            "counts": pa.array([counts[one[s] : one[s + 1]].tobytes() for s in some], pa.binary()),
+            "pairs": pa.array([low[two[s] : two[s + 1]].tobytes() for s in some], pa.binary()),
         })
 
-    def answer(table: pa.Table) -> pa.Table:
+    def answer(table: pa.Table, shard: pa.Table) -> pa.Table:
         keys, counts = _summed(_unpacked(table, "keys", np.uint64), _unpacked(table, "counts", np.uint32).astype(np.int64))
         found = [counts[np.searchsorted(keys, np.frombuffer(x.as_buffer(), np.uint64))].tobytes() for x in table.column("keys")]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "found": pa.array(found, pa.binary())})
+        # Each shard is a filter of its own here, whose hashes begin with the key.
+        lm = LogFilter(0, _unpacked(shard, "data", np.uint8), np.zeros(1, np.int64), np.array([*shard.column("size").to_pylist(), 0][:1], np.int64))
+        upto = np.cumsum([0, *(len(x.as_buffer()) // 4 for x in table.column("pairs"))])
+        met = lm.levels(_unpacked(table, "pairs", np.uint32).astype(np.uint64) << np.uint64(32)).astype(np.uint8)
+        levels = [met[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "found": pa.array(found, pa.binary()), "levels": pa.array(levels, pa.binary())})
 
     def rate(table: pa.Table, found: pa.Table) -> pa.Table:
-        parts = list(words_of(table))
-        exact = _unpacked(found.take(pc.sort_indices(found, [("shard", "ascending")])), "found", np.int64)
-        keys = np.unique(np.concatenate([flat for _, flat, _ in parts]))
-        lm = sent.value
+        parts = [(batch, flat, begin, bigrams(flat, begin)[0]) for batch, flat, begin in words_of(table)]
+        found = found.take(pc.sort_indices(found, [("shard", "ascending")]))
+        exact, levels = _unpacked(found, "found", np.int64), _unpacked(found, "levels", np.uint8)
+        keys, pairs = (np.unique(np.concatenate([x[i] for x in parts])) for i in (1, 3))
+        quantised, closed = _middle(_level(exact)), np.searchsorted(keys, END)
         out = []
-        for batch, flat, begin in parts:
+        for batch, flat, begin, pair in parts:
             at = begin[:-1]
-            c = exact[np.searchsorted(keys, flat)]
-            pair, before = bigrams(flat, begin)
-            unique, inverse = np.unique(flat, return_inverse=True)
-            single = lm.counts(unique)
-            own = single[inverse]
+            word = np.searchsorted(keys, flat)
+            c, own = exact[word], quantised[word]
             context = np.empty_like(own)
             context[1:] = own[:-1]
-            context[at] = single[np.searchsorted(unique, END)]
-            joint = np.minimum(lm.counts(pair), context)
+            context[at] = quantised[closed]
+            joint = np.minimum(_middle(levels[np.searchsorted(pairs, pair)]), context)
             p = (joint + MU * (own + ADD) / (n + ADD * (v + 1))) / (context + MU)
             out.append(pa.table({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.diff(begin), pa.int64()),
@@ -257,8 +270,10 @@ def score(docs: DataFrame) -> DataFrame:
             }))
         return pa.concat_tables(out)
 
-    asked = blocked.groupBy("block").applyInArrow(ask, "shard int, block long, keys binary, counts binary")
-    answers = asked.repartition(1 << bits, "shard").groupBy("shard").applyInArrow(answer, "block long, shard int, found binary")
+    asked = blocked.groupBy("block").applyInArrow(ask, "shard int, block long, keys binary, counts binary, pairs binary")
+    asked = asked.repartition(1 << bits, "shard").groupBy("shard")
+    shards = model.select("shard", "data", "size").repartition(1 << bits, "shard").groupBy("shard")
+    answers = asked.cogroup(shards).applyInArrow(answer, "block long, shard int, found binary, levels binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     rated = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, schema)
     base = F.col("base") - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))

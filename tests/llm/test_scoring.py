@@ -85,3 +85,16 @@ def test_held_out_texts_score_higher_than_shuffled_ones(spark):
     train = [r for r in rows if r not in held]
     good, bad = (np.mean([r.score / r.n_tokens for r in bloom_lm.score(odd_documents(spark, train + x)).collect() if r.held_out]) for x in (held, shuffled))
     assert good > bad + 0.3
+
+
+@pytest.mark.parametrize("shard", [12 << 20, 8000])
+def test_rare_bigrams_stay_however_large_the_filter(spark, monkeypatch, shard):
+    """A filter bound far below the corpus, where an older version had one, costs no n-gram and no word its count."""
+    monkeypatch.setattr(bloom_lm, "MOST_BYTES", 1024, raising=False)
+    monkeypatch.setattr(bloom_lm, "SHARD_BYTES", shard)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)), None, None, None, None, None, None) for i in range(200)]
+    found = bloom_lm.score(odd_documents(spark, rows)).collect()
+    # Every bigram of a training row occurs once, after a word that occurs once: it gets half of its count at least, not p(w).
+    inner = [r for r in found if not r.held_out]
+    assert inner and all(r.score / r.n_tokens > math.log10(1 / 3) - 0.1 for r in inner)
