@@ -4,14 +4,15 @@ A document's signature is 32 minimum hashes of its word shingles, 16 bits each,
 signatures at a distance (number of unequal positions) of at most 15 have, by the pigeonhole principle, a chunk with
 at most one unequal position: eight chunks with two each would make 16. So every chunk gives four keys, each leaving
 one position out, and all pairs within the distance share a key. A pair with a Jaccard similarity of 0.8 exceeds the
-distance with a probability of 1.5e-4, and then still shares a key in all but about 1e-6 of cases. Candidates are
+distance with a probability of 1.5e-4, and then still shares a key in all but about 1e-6 of cases. The distance itself
+is not tested: every pair that shares a key is a candidate, unless exact bounds rule it out, and candidates are
 confirmed on the full shingle sets.
 
 Documents with equal sets are one node, so copies are never paired. Pairs are found in three rounds, so that a large
 group of near copies never becomes all its pairs. First each node is tested, in the largest of its buckets, against
 the most central nodes of a piece of it and its nearest one, and the links are joined into components. Then each node
-is tested against the nearest nodes of other components in every bucket. Last, all pairs within the distance that
-share a bucket and still lie in different components are tested, so no link between components can be missed.
+is tested against the nearest nodes of other components in every bucket. Last, all pairs that share a bucket and
+still lie in different components are tested, so no link between components can be missed.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from corvane.llm.components import connected
 
 CHUNKS, PER_CHUNK, BITS = 8, 4, 16
 POSITIONS = CHUNKS * PER_CHUNK
-#: The signature distance up to which all pairs are found: 2 * CHUNKS - 1.
-DISTANCE = 2 * CHUNKS - 1
 #: Rows of one bucket that are compared with each other in the first rounds, and that a task holds in the last.
 PIECE, TILE = 256, 2048
 #: Central nodes of a piece that all others are tested against, and nearest ones.
@@ -105,21 +104,19 @@ def _signatures(batch: pa.RecordBatch) -> np.ndarray:
     return np.ascontiguousarray(packed).view(np.uint16)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signature distances, and the first slot whose key each pair shares."""
-    out = np.zeros((len(a), len(b)), np.uint8)
+def _first_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first slot whose key each pair of signatures shares, POSITIONS if it shares none."""
     slot = np.full((len(a), len(b)), POSITIONS, np.uint8)
     for c in range(CHUNKS):
-        unequal, where = np.zeros_like(out), np.zeros_like(out)
+        unequal, where = np.zeros_like(slot), np.zeros_like(slot)
         for p in range(PER_CHUNK):
             off = a[:, c * PER_CHUNK + p, None] != b[None, :, c * PER_CHUNK + p]
             unequal += off
             where += off * np.uint8(p)
-        out += unequal
         # With no unequal position all four keys are shared, the first one first.
         new = (unequal <= 1) & (slot == POSITIONS)
         slot[new] = (c * PER_CHUNK + where)[new]
-    return out, slot
+    return slot
 
 
 def _parity(shingles: np.ndarray) -> bytes:
@@ -147,13 +144,13 @@ class Nodes:
         return Nodes(self.cid[i], self.n[i], self.s[i], self.sig[i], self.bits[i])
 
     def against(self, other: Nodes, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each pair the least number of shingles in which it can differ, FAR if it is beyond the signature
-        distance or cannot reach the similarity, and the first slot whose key it shares."""
-        d, slot = _distances(self.sig, other.sig)
+        """For each pair the least number of shingles in which it can differ, FAR if it cannot reach the similarity,
+        and the first slot whose key it shares."""
+        slot = _first_slots(self.sig, other.sig)
         total = self.n[:, None] + other.n
         # Two sets have at most the shingles in common that each of them shares with any.
-        near = (d <= DISTANCE) & ((100 + percent) * np.minimum(self.s[:, None], other.s) >= percent * total)
-        out = np.full(d.shape, FAR, np.int32)
+        near = (100 + percent) * np.minimum(self.s[:, None], other.s) >= percent * total
+        out = np.full(slot.shape, FAR, np.int32)
         x, y = np.nonzero(near)
         apart = np.bitwise_count(self.bits[x] ^ other.bits[y]).sum(axis=1, dtype=np.int64)
         both = total[x, y]
@@ -257,7 +254,7 @@ def foreign_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFr
 
 
 def crossing_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs within the distance whose nodes share a bucket and lie in different components, each once. Buckets
+    """All pairs whose nodes share a bucket and lie in different components, each once. Buckets
     are cut into tiles and tiles meet in twos, so that no task holds a bucket."""
 
     def pick(g, nodes):

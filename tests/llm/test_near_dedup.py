@@ -60,6 +60,16 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute(rows, 4, 80))
 
 
+def test_links_beyond_the_signature_distance(spark):
+    """Of many pairs at a similarity of exactly 0.8, a few differ in more than 15 of 32 positions; a shared key finds them."""
+    rows = []
+    for i in range(30_000):
+        w = [f"p{i}x{j}" for j in range(10)]
+        rows += [(2 * i, " ".join(w[:9]), "", "", 0, "", "", 0), (2 * i + 1, " ".join(w[1:]), "", "", 0, "", "", 0)]
+    found = near_dedup.near_duplicates(odd_documents(spark, rows), k=1).collect()
+    assert [r.doc_id for r in found if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
