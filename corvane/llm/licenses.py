@@ -2,13 +2,15 @@
 
 Words that occur once in a stretch of text and once in a template anchor the two to each other; the longest increasing
 run of anchors is kept, and the gaps between them are aligned in the same way. Coverage is the share of the
-template's words that are matched.
+template's words that are matched. Where words are enough for a notice that the stretch does not give, or for a second
+one, it is aligned again in windows around single words, each up to the word's next occurrences.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,17 +163,49 @@ def notices_in(text: str, templates: dict[str, list[str]], telling: set[str], re
             to += 1
         for name, template in templates.items():
             lo, hi = max(0, seeds[at] - len(template)), min(len(words), seeds[to] + len(template) + 1)
-            pairs = patience(words[lo:hi], template)
-            if pairs and len(pairs) >= coverage * len(template):
-                first, last = lo + pairs[0][0], lo + pairs[-1][0]
-                # A notice is one passage: its words are not strewn over the text.
-                if last - first + 1 <= 1.5 * len(template):
-                    found.append((-len(pairs), -len(pairs) / len(template), name, first, last))
+            hits = {hit for hit in [_aligned(words, lo, hi, template, coverage)] if hit}
+            need, have = Counter(template), Counter(words[lo:hi])
+            copies = len(hits) + 1
+            if sum(min(have[w], copies * n) for w, n in need.items()) >= copies * coverage * len(template):
+                hits |= _repeats(words, lo, hi, template, coverage)
+            found += [(-n, -n / len(template), name, last - first, first, last) for n, first, last in hits]
         at = to + 1
     out: list[tuple[str, int, int, int, float]] = []
     taken: list[tuple[int, int]] = []
-    for matched, share, name, first, last in sorted(found):
+    for matched, share, name, _, first, last in sorted(set(found)):
         if all(last < lo or first > hi for lo, hi in taken):
             taken.append((first, last))
             out.append((name, spans[first][1], spans[last][2], -matched, -share))
     return sorted(out, key=lambda r: r[1:])
+
+
+def _aligned(words: list[str], lo: int, hi: int, template: list[str], coverage: float) -> tuple[int, int, int] | None:
+    """(matched, first, last) of the notice in words[lo:hi]."""
+    pairs = patience(words[lo:hi], template)
+    if not pairs or len(pairs) < coverage * len(template):
+        return None
+    first, last = lo + pairs[0][0], lo + pairs[-1][0]
+    # A notice is one passage: its words are not strewn over the text.
+    return (len(pairs), first, last) if last - first + 1 <= 1.5 * len(template) else None
+
+
+def _repeats(words: list[str], lo: int, hi: int, template: list[str], coverage: float) -> set[tuple[int, int, int]]:
+    """(matched, first, last) of notices that stand so close that the words of one hide those of another.
+
+    Exact copies are found from their first word. For the others, words that the template has once are taken until a
+    notice of the wanted coverage cannot lack them all; a window reaches from the occurrence before to the one after.
+    """
+    size = len(template)
+    wide = int(1.5 * size)
+    found = {(size, i, i + size - 1) for i in range(lo, hi) if words[i] == template[0] and words[i : i + size] == template}
+    whole = {i for _, first, last in found for i in range(first, last + 1)}
+    often, have = Counter(template), Counter(words[lo:hi])
+    once = sorted((w for w in template if often[w] == 1), key=lambda w: (have[w], w))
+    for pivot in once[: int(size - coverage * size) + 1]:
+        places = [i for i in range(max(0, lo - wide), min(len(words), hi + wide)) if words[i] == pivot]
+        for before, i, after in zip([-1, *places], places, [*places[1:], len(words)]):
+            if i not in whole and (hit := _aligned(words, max(before + 1, i - wide), min(after, i + wide), template, coverage)):
+                found.add(hit)
+                if hit[0] == size == hit[2] - hit[1] + 1:
+                    whole.update(range(hit[1], hit[2] + 1))
+    return found

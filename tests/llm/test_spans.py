@@ -104,3 +104,20 @@ def test_notices_in_documents(spark):
         shown = licenses.words_of(texts[r.doc_id][r.start : r.end])
         assert shown[0] == licenses.words_of(licenses.NOTICES[r.license])[0] and r.matched >= licenses.COVERAGE * len(licenses.words_of(licenses.NOTICES[r.license]))
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_repeated_notices_are_rows_each():
+    templates = {name: licenses.words_of(text) for name, text in licenses.NOTICES.items()}
+    reach, telling = max(map(len, templates.values())), {w for t in templates.values() for w in t if len(w) >= 5}
+    rng = random.Random(6)
+    for name in ("all-rights-reserved", "MIT-permission", "Apache-2.0-header", "GPL-3.0"):
+        for apart in range(41):
+            for lacking in (False, True):
+                copies = [licenses.words_of(licenses.NOTICES[name]) for _ in range(3)]
+                if lacking and len(copies[0]) > 20:
+                    del copies[1][7], copies[2][12], copies[2][4]
+                gaps = [[f"Foo{rng.randrange(99)}" for _ in range(n)] for n in (30, apart, apart, 30)]
+                text = " ".join(w for part in zip(gaps, [*copies, []]) for x in part for w in x)
+                found = licenses.notices_in(text, templates, telling, reach, licenses.COVERAGE)
+                shown = [licenses.words_of(text[start:end]) for _, start, end, _, _ in found]
+                assert [f[0] for f in found] == [name] * 3 and shown == copies, (name, apart, lacking, found)
