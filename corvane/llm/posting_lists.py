@@ -4,13 +4,14 @@ The index is fitted on a bounded sample of vectors: balanced k-means gives the l
 are linked into a graph that is small enough for every task. All vectors are indexed: each goes to its nearest
 centroid and, near a boundary, to others that are hardly farther. A query walks the graph to the centroids near it
 and reads the lists whose distance is within a ratio of the nearest one's; the ratio is fitted on the sample, too,
-for a wanted recall. Lists are cut into parts of bounded size, and queries go to all parts of a list.
+for a wanted recall. If these lists may hold too few candidates, the ratio counts from the list that makes them
+enough. Lists are cut into parts of bounded size, and queries go to all parts of a list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -39,14 +40,18 @@ TRIALS, RECALL = 400, 0.97
 
 @dataclass
 class Index:
-    """Centroids, the graph between them and the fitted pruning ratio."""
+    """Centroids, the graph between them and the fitted pruning ratio; the ids in each list, and how many ids the lists
+    read must have in sum."""
 
     centroids: np.ndarray
     graph: np.ndarray
     ratio: float
+    sizes: np.ndarray | None = None
+    least: int = 0
 
     def near(self, query: np.ndarray) -> np.ndarray:
-        """Lists within the ratio of the nearest centroid, by a walk over the graph.
+        """Lists within the ratio of the nearest centroid, or of the one with which the least of ids is reached (all
+        lists if it never is), by a walk over the graph.
 
         The walk opens the nearest centroid not yet opened and ends when that one is beyond the ratio, so every list
         reached over centroids within the ratio is found.
@@ -60,6 +65,11 @@ class Index:
             seen[front] = True
             dist[front] = np.sqrt(((self.centroids[front] - query) ** 2).sum(axis=1))
             limit = self.ratio * dist.min()
+            if self.sizes is not None and self.sizes[dist <= limit].sum() < self.least:
+                order = np.argsort(dist, kind="stable")[: int(seen.sum())]
+                enough = np.flatnonzero(np.cumsum(self.sizes[order]) >= self.least)
+                # Beyond all seen so far: the walk opens whatever it has reached.
+                limit = self.ratio * dist[order[enough[0]]] if len(enough) else np.finfo(float).max
             ready = np.flatnonzero(~opened & (dist <= limit))
             if not len(ready):
                 return np.flatnonzero(dist <= limit)
@@ -183,6 +193,13 @@ def nearest(table: DataFrame, queries: DataFrame, *, k: int = 10, index: Index |
         # No row has a usable vector, so there is no query either.
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score"))
     posted = stored(_in_lists(ones, lambda x: _closure(x, index.centroids), ["vkey", "v"]), "lists")
+    # Each id counts in the lists of one of its vectors. These are at most COPIES, so lists with COPIES * (k + 1) in sum
+    # hold k + 1 different ids.
+    homes = unique.groupBy("vec_id").agg(F.min("vkey").alias("vkey")).groupBy("vkey").agg(F.count(F.lit(1)).alias("ids"))
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in posted.select("list", "vkey").join(homes, "vkey").groupBy("list").agg(F.sum("ids").alias("ids")).collect():
+        sizes[r["list"]] = r["ids"]
+    index = replace(index, sizes=sizes, least=COPIES * (k + 1))
 
     def near(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = [index.near(q) for q in x]

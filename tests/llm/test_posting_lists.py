@@ -80,3 +80,21 @@ def test_graph_walk_finds_the_lists_within_the_ratio():
         found += len(want & set(index.near(q).tolist()))
         wanted += len(want)
     assert found >= 0.98 * wanted
+
+
+def test_isolated_clusters_have_all_their_neighbours(spark, monkeypatch):
+    """A query in a cluster of few vectors, or alone at its centroid, still has ten neighbours."""
+    monkeypatch.setattr(pl, "LIST_SIZE", 32)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 8))
+    rows = [(i + 1000, [float(a) for a in np.float32(v)], 0, 1, "x") for i, v in enumerate(x)]
+    rows += [(i, [50.0 + 0.01 * i] * 8, 0, 1, "") for i in range(4)] + [(10, [-80.0] * 8, 0, 1, "")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    c = np.concatenate([x[:30], [[50.0] * 8], [[-80.0] * 8]])
+    order = np.argsort(((c[:, None] - c) ** 2).sum(-1), axis=1)
+    index = pl.Index(c, np.concatenate([order[:, 1:9], (np.arange(32)[:, None] + 1) % 32], axis=1), 1.2)
+    found: dict = {}
+    for r in pl.nearest(table, table.filter("vec_id < 1000"), k=10, index=index).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert found.keys() == {0, 1, 2, 3, 10} and all([r for r, _ in sorted(own)] == list(range(1, 11)) for own in found.values())
+    assert all({i for _, i in sorted(found[q])[:3]} == {0, 1, 2, 3} - {q} for q in range(4))
