@@ -118,9 +118,9 @@ def learn_patterns(seen: DataFrame) -> DataFrame:
     """
     kinds = len(KINDS)
     pairs = seen.select("value", "k", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.min("k").alias("k"))
-    # Patterns without a seed can never be used.
-    seeded = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("k") < kinds, 1).otherwise(0)).alias("seeds"))
-    pairs = stored(pairs.join(seeded.filter(F.col("seeds") >= SUPPORT), "pattern").select("pattern", "value", "k", "n"), "graph")
+    # Patterns with fewer values can never be used; values found in one round support patterns without seeds in the next.
+    wide = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SUPPORT)
+    pairs = stored(pairs.join(wide, "pattern").select("pattern", "value", "k", "n"), "graph")
     seeds = pairs.filter(F.col("k") < kinds).groupBy("value").agg(F.min("k").alias("kind")).withColumn("score", F.lit(1.0))
     scores, used = seeds, None
     for _ in range(ROUNDS):

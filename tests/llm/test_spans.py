@@ -56,6 +56,18 @@ def test_contexts_find_what_has_no_form(spark):
     assert all(hidden[d] not in clean[d] and "number is <PHONE> thanks" in clean[d] for d in hidden) and clean[200] == texts[200]
 
 
+def test_found_values_lead_to_patterns_without_seeds(spark):
+    """Seeds give a pattern, its other values a second one, and that one values that no seed's context has."""
+    rng = random.Random(4)
+    phones = [f"+49 30 {rng.randrange(10**6, 10**7)}" for _ in range(40)]
+    first, second = ([f"0{rng.randrange(10**5, 10**6)}/{i:02d}" for i in range(at, at + n)] for at, n in ((10, 9), (30, 2)))
+    texts = [f"{prose(rng, 9)} my number is {v} thanks {prose(rng, 9)}" for v in phones + first]
+    texts += [f"{prose(rng, 9)} filed under ticket {v} today {prose(rng, 9)}" for v in first + second]
+    found = pii.find(odd_documents(spark, [(i, t, None, None, None, None, None, None) for i, t in enumerate(texts)])).collect()
+    shown = [[texts[r.doc_id][s.start : s.end] for s in r.found] for r in sorted(found, key=lambda r: r.doc_id)]
+    assert shown == [[v] for v in phones + first + first + second]
+
+
 def test_masking_odd_rows(spark):
     docs = odd_documents(spark)
     clean = pii.masked(docs)
