@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import best_fit, bin_slack, bloom_lm, licenses, mixing, near_dedup, pii, posting_lists, risk_rules, site_quality
+from corvane.llm import (
+    best_fit, bin_slack, bloom_lm, collocations, licenses, metric_join, mixing, near_dedup, oracles, pii, posting_lists, resampling,
+    risk_rules, site_quality,
+)
 from corvane.llm.common import table
 
 QUERIES: dict = {}
@@ -86,6 +89,33 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *pii.counts("base"), F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("found").alias("spans"))
 
 
+@query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's words."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op11_resampling"] = oracles.RESAMPLING
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two to four words that occur 30 times or more, 2000 for each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_collocations"] = oracles.COLLOCATIONS
+
+
+@query
+def op13_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors at a cosine of 0.9 or more."""
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+SQL["op13_metric_join"] = oracles.METRIC_JOIN
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
