@@ -78,18 +78,19 @@ class Pivots:
 
 def choose(sample: np.ndarray, total: int, eps: float) -> Pivots:
     """As many of the sample's rows as pivots as make the least work for `total` rows like the rest of them."""
-    best, k = None, 1
-    while k <= min(len(sample), max(1, MOST // sample.shape[1])):
-        pivots = Pivots(sample[:k], eps)
-        home, core, copies = pivots.place(sample)
-        scale = total / len(sample)
+    best, k = (np.inf, Pivots(sample[:1], eps)), 1
+    # A pivot is nearer to itself than any other row, so the work is estimated on the rows that are none.
+    while k <= min(len(sample) // 2, max(1, MOST // sample.shape[1])):
+        pivots, rest = Pivots(sample[:k], eps), sample[k:]
+        home, core, copies = pivots.place(rest)
+        scale = total / len(rest)
         own, cores = np.bincount(home, minlength=k) * scale, np.bincount(home[core], minlength=k) * scale
         extra = copies.sum(axis=0) * scale
         tile = max(1, TILE // sample.shape[1])
         sent = (own + extra) * np.maximum(1, (own + extra) / tile)
         work = (own**2 - cores**2) / 2 + own * extra + ROW_COST * sent
         cost = work.sum() + total * k
-        if best is None or cost < best[0]:
+        if cost < best[0]:
             best = cost, pivots
         k *= 2
     return best[1]
