@@ -37,14 +37,12 @@ def features(found: Column, longest: int) -> Column:
     """All runs of 1 to `longest` words of an array, joined by one space."""
     if longest == 1:
         return found
-    runs = [
-        F.when(
-            F.size(found) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(found) - (n - 1)), lambda i, n=n: F.array_join(F.slice(found, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(1, longest + 1)
-    ]
-    return F.concat(*runs)
+
+    def runs(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(found) - (n - 1)), lambda i: F.array_join(F.slice(found, i, F.lit(n)), " "))
+        return F.when(F.size(found) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[runs(n) for n in range(1, longest + 1)])
 
 
 def bucketed(rows: DataFrame, buckets: int, longest: int) -> DataFrame:
