@@ -32,8 +32,11 @@ def _normalized(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility form. Spark has no built-in for it, so only texts it can change leave the JVM."""
-    return F.coalesce(_normalized(F.when(~text.rlike(STABLE), text)), text)
+    """Unicode compatibility form. Spark has no built-in for it, so only texts it can change leave the JVM. A text of
+    as many octets as characters is ASCII; of the others, only what is not ASCII is looked at."""
+    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    stable = (F.octet_length(text) == F.length(text)) | beyond.rlike(STABLE)
+    return F.coalesce(_normalized(F.when(~stable, text)), text)
 
 
 def rule_numbers(text: Column) -> Column:

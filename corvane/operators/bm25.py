@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.operators.ranking import best_k, in_order
+from corvane.operators import postings
+from corvane.operators.postings import Index
+from corvane.operators.ranking import in_order
+from corvane.session import spread
 
-# Okapi parameters, channel depth and reference-score sample.
-K1 = 1.5
-B = 0.75
-EPSILON = 0.25
+# Channel depth and reference-score sample.
 TOP_K = 20
 LEGACY_TOP_K = 5
 LEGACY_SEPARATOR = "\n---\n"
@@ -21,25 +21,16 @@ REFERENCE_TERMS = 3
 MIN_REFERENCE = 1e-6
 
 
-def index_corpus(docs: DataFrame, id: str = "doc_id", text: str = "text", *, normalize: bool = True) -> DataFrame:
-    """(id, dl, tokens) per document. Tokens stay an array in the row: building the index moves nothing."""
-    source = X.nfkc(F.col(text)) if normalize else F.col(text)
-    return docs.select(F.col(id).alias("id"), X.tokens(source).alias("tokens")).withColumn("dl", F.size("tokens"))
-
+def index_corpus(docs: DataFrame, id: str = "doc_id", text: str = "text", *, normalize: bool = True) -> Index:
+    """The stored index of the texts: built once, searched as often as wanted."""
+    rows = spread(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "id")
+    source = X.nfkc(F.col("text")) if normalize else F.col("text")
+    return postings.build(rows.select("id", X.tokens(source).alias("tokens")))
 
-def corpus_size(index: DataFrame) -> DataFrame:
-    return index.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
-
-def term_stats(index: DataFrame) -> DataFrame:
-    """(term, df, idf); a negative idf becomes a share of the mean over all terms."""
-    df = index.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    n_docs = corpus_size(index).select("n_docs").scalar()
-    scored = df.select("term", "df", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = scored.select(F.avg("raw")).scalar()
-    return scored.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+def term_stats(index: Index) -> DataFrame:
+    """(term, df, idf)."""
+    return index.stats.select("term", "df", "idf")
 
 
 def query_terms(queries: DataFrame, qid: str = "qid", text: str = "text", extra: str | None = None, *, normalize: bool = True) -> DataFrame:
@@ -56,32 +47,9 @@ def query_terms(queries: DataFrame, qid: str = "qid", text: str = "text", extra:
     )
 
 
-def postings(index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, dl) of the given terms, or of all.
-
-    Words no query asks for are dropped before anything is counted or moved; a document's words are counted where
-    the document lies.
-    """
-    words = index.select("id", "dl", F.explode("tokens").alias("term"))
-    if terms is not None:
-        words = words.join(terms.select("term").distinct(), "term", "left_semi")
-    return words.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25_topk(index: DataFrame, terms: DataFrame, k: int = TOP_K, *, stats: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score, rank) best k per query with a rounded score > 0: postings joined to query terms by term."""
-    weights = terms.join(stats if stats is not None else term_stats(index), "term").select(
-        "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")
-    )
-    avgdl = corpus_size(index).select("avgdl").scalar()
-    length = K1 * (1 - B + B * F.col("dl") / avgdl)
-    gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
-    scored = (
-        postings(index, terms).join(weights, "term")
-        .groupBy("qid", "id").agg(F.round(F.sum(gain), 6).alias("score"))
-        .where(F.col("score") > 0)
-    )
-    return best_k(scored, k)
+def bm25_topk(index: Index, terms: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(qid, id, score, rank) best k per query with a rounded score > 0."""
+    return postings.search(index, terms, k)
 
 
 def systematic_sample(docs: DataFrame, id: str, sample: int = REFERENCE_SAMPLE) -> DataFrame:
@@ -94,7 +62,7 @@ def systematic_sample(docs: DataFrame, id: str, sample: int = REFERENCE_SAMPLE)
 
 
 def bm25_reference(
-    docs: DataFrame, index: DataFrame, kind: str = "short", *, id: str = "doc_id", text: str = "text", stats: DataFrame | None = None
+    docs: DataFrame, index: Index, kind: str = "short", *, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row `ref_score`: the 0.9 index pick of the best scores of sampled own texts."""
     sample = systematic_sample(docs.select(id, text), id)
@@ -108,7 +76,7 @@ def bm25_reference(
             F.count(F.lit(1)).alias("qtf")
         )
     asked_ids = sample.select(F.col(id).alias("qid")) if kind == "sentence" else terms.select("qid").distinct()
-    top = bm25_topk(index, terms, 1, stats=stats).select("qid", "score")
+    top = bm25_topk(index, terms, 1).select("qid", "score")
     # At most `sample` values, so one sorted array is small by construction.
     tops = asked_ids.join(top, "qid", "left").agg(
         F.array_sort(F.collect_list(F.coalesce("score", F.lit(0.0)))).alias("_t")

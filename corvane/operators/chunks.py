@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corvane.functions import text as X
+from corvane.operators.jumps import reached
 from corvane.operators.ranking import first_per_key, index_percentiles
 from corvane.operators.sections import section_lines
+from corvane.session import stored_table
 
 # Budgets, markers and price table.
 CHUNKER_VERSION = "struct-v2"
@@ -83,22 +83,6 @@ def split_units(lines: DataFrame, keys: list[str], order: str = "pos") -> DataFr
     )
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def greedy_groups(sizes: pd.Series, restarts: pd.Series, budget: pd.Series) -> pd.Series:
-    """Group number per element: a new group at a restart or when the budget would be passed."""
-
-    def walk(size, restart, limit):
-        out, group, used = [], -1, 0
-        for n, fresh in zip(size, restart):
-            if group < 0 or fresh or used + n > limit:
-                group, used = group + 1, 0
-            used += n
-            out.append(group)
-        return out
-
-    return pd.Series([walk(s, r, b) for s, r, b in zip(sizes, restarts, budget)])
-
-
 def merge_small(
     sections: DataFrame,
     *,
@@ -109,7 +93,9 @@ def merge_small(
 ) -> DataFrame:
     """Adds merge_group: consecutive small sections of a chapter packed up to the budget.
 
-    Greedy packing is a true fold over a document's sections in order; only their sizes leave the JVM.
+    Greedy packing is a chain of jumps: a group that starts at a section ends before the first one whose end passes
+    the budget, which a range window over running sums finds for every section at once, and the starts are what the
+    chain from each run's first section stops at. Only numbers are moved; the sections meet their groups in one join.
     """
     order = Window.partitionBy(doc).orderBy("section_no")
     large = F.col(tokens) >= threshold
@@ -119,15 +105,26 @@ def merge_small(
         | F.coalesce(F.col("rule_no").endswith(".00"), F.lit(False))
         | (F.lag("rule_chapter").over(order) != F.col("rule_chapter"))
     )
-    flagged = sections.withColumn("_restart", F.coalesce(restart, F.lit(False)))
-    item = F.struct("section_no", *[c for c in flagged.columns if c not in (doc, "section_no")])
-    packed = flagged.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    sizes = F.transform("_s", lambda x: x[tokens].cast("int"))
-    groups = greedy_groups(sizes, F.transform("_s", lambda x: x["_restart"]), F.lit(budget))
-    placed = packed.withColumn("_g", groups).select(doc, F.inline(F.arrays_zip("_s", "_g"))).select(
-        doc, "_s.*", F.col("_g").alias("merge_group")
-    )
-    return placed.drop("_restart")
+    place = F.row_number().over(order)
+    small = sections.select(
+        doc, "section_no", F.col(tokens).cast("long").alias("_n"), place.alias("_at"),
+        F.coalesce(restart, F.lit(False)).cast("int").alias("_restart"),
+    ).withColumn("_run", F.sum("_restart").over(order))
+    run = Window.partitionBy(doc, "_run")
+    upto = run.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = small.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn("_last", F.max("_at").over(run))
+    summed = summed.withColumn("_all", F.sum("_n").over(run))
+    # Sections after the first of a run are below the threshold, so one of these starts past the budget if any does.
+    past = run.orderBy("_before").rangeBetween(budget + 1, budget + max(threshold, 1))
+    over = F.coalesce(F.min("_at").over(past), F.when(F.col("_all") - F.col("_before") > budget, F.col("_last") + 1))
+    jump = F.when(over.isNotNull(), F.greatest(over - 1, F.col("_at") + 1))
+    nodes = summed.withColumn("_to", jump).withColumn("_to", F.when(F.col("_to") <= F.col("_last"), F.col("_to")))
+    nodes = stored_table(nodes.withColumn("_first", F.col("_at") == F.min("_at").over(run)).select(doc, "section_no", "_at", "_to", "_first"), "runs")
+    starts = reached(nodes, [doc], "_at", "_to", "_first").withColumn("_start", F.lit(1))
+    marked = nodes.join(starts, [doc, "_at"], "left")
+    group = F.sum(F.coalesce("_start", F.lit(0))).over(Window.partitionBy(doc).orderBy("_at")) - 1
+    groups = marked.select(doc, "section_no", group.cast("int").alias("merge_group"))
+    return sections.join(groups, [doc, "section_no"])
 
 
 def _joined(lines: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as L
@@ -173,6 +173,21 @@ def score_videos(pairs: DataFrame, variants: DataFrame, *, trusted: bool = True,
     return named.withColumn("score", score).drop("_home", "_away")
 
 
+def channel_trace(games: DataFrame, channels: DataFrame, uploads: DataFrame, teams: DataFrame) -> DataFrame:
+    """(game_id, priority, code, stage, received, passed, top): what each channel asked for a game gave, in order, up
+    to the first one with a video that passes. A channel without any upload is `playlist_empty`, others `channel`."""
+    asked = games.join(channel_order(games, channels), "game_id")
+    scored = score_videos(match_videos(asked, uploads), team_variants(teams)).dropDuplicates(["game_id", "code", "id"])
+    found = scored.groupBy("game_id", "code").agg(F.count_if(F.col("score") >= MIN_SCORE).alias("passed"), F.max("score").alias("top"))
+    listed = uploads.groupBy("code").agg(F.count(F.lit(1)).alias("received"))
+    rows = asked.select("game_id", "priority", "code").join(listed, "code", "left").join(found, ["game_id", "code"], "left")
+    rows = rows.fillna(0, ["received", "passed", "top"])
+    before = Window.partitionBy("game_id").orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_done", F.coalesce(F.max("passed").over(before), F.lit(0)) > 0).where(~F.col("_done"))
+    stage = F.when(F.col("received") == 0, F.lit("playlist_empty")).otherwise(F.lit("channel"))
+    return rows.select("game_id", "priority", "code", stage.alias("stage"), "received", "passed", "top")
+
+
 def find_highlights(
     games: DataFrame,
     channels: DataFrame,

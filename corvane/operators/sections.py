@@ -231,25 +231,40 @@ def term_gaps(sections: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     )
 
 
-def parse_stats(lines: DataFrame, sections: DataFrame, *, doc: str = "doc_id") -> DataFrame:
-    """One row per document: pages, stripped counters, sections, order check."""
-    from corvane.sources.lines import noise_counts, strip_noise
+def parse_stats(lines: DataFrame, sections: DataFrame, *, doc: str = "doc_id", anchor: str = BODY_ANCHOR) -> DataFrame:
+    """One row per document: pages, stripped counters, body start, nearly empty pages, sections, order check and terms
+    out of order.
 
-    noise = noise_counts(lines, doc)
-    pages = lines.groupBy(doc).agg(F.count_distinct("page_no").alias("pages"))
-    start = find_body_start(strip_noise(lines), doc=doc)
+    The lines are read once: all line counters, the anchor and the kept text of a page come from one grouping by page,
+    whose rows are then summed by document. The sections are read once, too.
+    """
+    from corvane.sources.lines import MIN_PAGE_CHARS, noise_class
+
+    kind = noise_class(F.col("line"))
+    kept = F.array_sort(F.collect_list(F.when(kind.isNull(), F.struct("line_no", "line"))))
+    pages = lines.groupBy(doc, "page_no").agg(
+        F.count_if(kind == "marker").alias("_m"), F.count_if(kind == "header").alias("_h"), F.count_if(kind.isNull()).alias("_k"),
+        F.bool_or(kind.isNull() & F.col("line").rlike(anchor)).alias("_a"),
+        F.length(strip(F.array_join(F.transform(kept, lambda x: x["line"]), ""))).alias("_chars"),
+    )
+    starts = F.slice(F.array_sort(F.collect_list(F.when(F.col("_a"), F.col("page_no")))), 1, 2)
+    per = pages.groupBy(doc).agg(
+        F.count(F.lit(1)).alias("pages"), F.element_at(F.when(F.size(starts) > 0, starts), -1).alias("body_start"),
+        F.sum("_m").alias("markers_stripped"), F.sum("_h").alias("running_headers_stripped"), F.sum("_k").alias("lines_kept"),
+        F.array_sort(F.collect_list(F.when(F.col("_chars") < MIN_PAGE_CHARS, F.col("page_no")))).alias("skipped_pages"),
+    )
     value = F.regexp_replace("rule_no", r"\.", "").cast("int")
-    earlier = Window.partitionBy(doc, "doc_type").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
-    checked = sections.withColumn("_v", value).withColumn(
-        "_ok", F.coalesce(F.col("_v") >= F.max("_v").over(earlier), F.lit(True))
+    order = Window.partitionBy(doc, "doc_type").orderBy("section_no")
+    earlier = F.max("_v").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    checked = sections.select(doc, "doc_type", "section_no", "term_no", value.alias("_v")).withColumn(
+        "_ok", F.coalesce(F.col("_v") >= earlier, F.lit(True))
     )
-    counts = checked.groupBy(doc).agg(
+    off = F.when((F.col("doc_type") == "term") & (F.col("term_no") != F.row_number().over(order)), F.struct("section_no", "term_no"))
+    counts = checked.withColumn("_gap", off).groupBy(doc).agg(
         F.count_if(F.col("doc_type") == "rule").alias("rules"),
         F.count_if(F.col("doc_type") == "term").alias("terms"),
         F.bool_and("_ok").alias("monotonic"),
+        F.transform(F.array_sort(F.collect_list("_gap")), lambda g: g["term_no"]).alias("term_gaps"),
     )
-    gaps = term_gaps(sections, doc=doc).groupBy(doc).agg(F.count(F.lit(1)).alias("term_gaps"))
-    return (
-        pages.join(start, doc, "left").join(noise, doc, "left").join(counts, doc, "left").join(gaps, doc, "left")
-        .fillna(0, ["rules", "terms", "term_gaps"])
-    )
+    joined = per.join(counts, doc, "left").fillna(0, ["rules", "terms"]).fillna({"monotonic": True})
+    return joined.withColumn("term_gaps", F.coalesce("term_gaps", F.array().cast("array<int>")))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.operators.jumps import reached
 from corvane.operators.ranking import first_per_key, top_n_per_group
+from corvane.session import stored_table
 
 # Prices per million tokens (input, output, cached), limits and periods.
 PRICES = {"gpt-4o-mini": (0.15, 0.60, 0.075), "gpt-5.6-luna": (0.20, 1.20, 0.02)}
@@ -210,29 +212,53 @@ def attempt_lockout(attempts: DataFrame, *, key: str = "user_id", at: str = "ts"
     return ordered.mapInPandas(walk, schema).toDF(key, tie, "outcome")
 
 
+def next_after(times: DataFrame, key: str, at: str, gap: int) -> DataFrame:
+    """Adds `to`: the first time of the same key that lies `gap` or more after `at`; times(key, at) are all different.
+
+    Time is cut into buckets of one gap, so what a time looks for lies in the next bucket or, if nothing there is late
+    enough, is the first time of a later one. A task sorts one bucket; only one small row per bucket is sorted by key.
+    """
+    spot = lambda c: F.floor(c / gap).cast("bigint")
+    own = times.select(key, F.col(at).alias("_t"), spot(F.col(at)).alias("_b"), F.lit(0).alias("_asks"), F.col(at).alias("_own"))
+    ask = times.select(key, (F.col(at) + gap).alias("_t"), (spot(F.col(at)) + 1).alias("_b"), F.lit(1).alias("_asks"), F.col(at).alias("_own"))
+    # Backwards in time, a question sees the times at or after it; of equal ones the time itself comes first.
+    back = Window.partitionBy(key, "_b").orderBy(F.desc("_t"), F.asc("_asks")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.min(F.when(F.col("_asks") == 0, F.col("_own"))).over(back)
+    asked = own.unionByName(ask).withColumn("_seen", seen).where(F.col("_asks") == 1)
+    firsts = times.groupBy(key, spot(F.col(at)).alias("_b")).agg(F.min(at).alias("_first"))
+    # The first time of the next bucket that holds any, for every bucket that is asked.
+    every = firsts.unionByName(asked.where(F.col("_seen").isNull()).select(key, "_b", F.lit(None).cast("bigint").alias("_first")).distinct())
+    small = every.groupBy(key, "_b").agg(F.min("_first").alias("_first"))
+    later = Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = small.select(key, "_b", F.min("_first").over(later).alias("_later"))
+    joined = asked.join(ahead, [key, "_b"], "left")
+    return joined.select(key, F.col("_own").alias(at), F.coalesce("_seen", "_later").alias("to"))
+
+
 def ttl_fetches(reads: DataFrame, *, key: str = "key", at: str = "ts", tie: str = "event_id", ttl: int) -> DataFrame:
     """Adds state: `live` when a read finds nothing fresh and fetches, else `cached`.
 
-    The clock restarts only at a fetch. A bucket of one ttl with nothing in the bucket before it always
-    begins with a fetch, so timelines split there.
+    The clock restarts only at a fetch, so fetches are a chain: from one to the first read that lies a ttl or more after
+    it. Every read's jump is found at once, timelines are split where a bucket of one ttl is empty (the next read always
+    fetches), and the chain is followed by doubling its jumps; a key that never pauses spreads over all tasks.
     """
-    pieces = quiet_segments(reads, key, at, ttl)
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = pieces.select(F.col(key).alias("_k"), "segment", micros.alias("_at"), F.col(tie).alias("_tie"))
-    ordered = rows.repartition("_k", "segment").sortWithinPartitions("_k", "segment", "_at", "_tie")
-    schema = T.StructType([ordered.schema["_k"], ordered.schema["_tie"], T.StructField("state", T.StringType())])
+    # A struct can be joined on also where the key in it is null.
+    named = reads.select(F.struct(F.col(key).alias("k")).alias("_k"), micros.alias("_at"), F.col(tie).alias("_tie"))
+    times = stored_table(named.select("_k", "_at").distinct(), "times")
     span = ttl * 1_000_000
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, fetched = None, 0
-        for batch in batches:
-            out = []
-            for k, segment, moment in zip(batch["_k"], batch["segment"], batch["_at"]):
-                if (k, segment) != seen or moment - fetched >= span:
-                    seen, fetched = (k, segment), moment
-                    out.append("live")
-                else:
-                    out.append("cached")
-            yield batch[["_k", "_tie"]].assign(state=out)
-
-    return ordered.mapInPandas(walk, schema).toDF(key, tie, "state")
+    # A time with nothing in the ttl before it fetches, whatever came earlier.
+    bucket = F.floor(F.col("_at") / span).cast("bigint").alias("_b")
+    small = times.groupBy("_k", bucket).agg(F.min("_at").alias("_at"))
+    quiet = F.lag("_b").over(Window.partitionBy("_k").orderBy("_b"))
+    heads = small.withColumn("_p", quiet).where(F.col("_p").isNull() | (F.col("_p") < F.col("_b") - 1)).select("_k", "_at", F.lit(True).alias("_first"))
+    nodes = next_after(times, "_k", "_at", span).join(heads, ["_k", "_at"], "left").withColumn("_first", F.coalesce("_first", F.lit(False)))
+    heads_to = heads.select("_k", F.col("_at").alias("to"), F.lit(True).alias("_ends"))
+    # A jump to the head of another piece is dropped: the piece walks on its own.
+    nodes = nodes.join(heads_to, ["_k", "to"], "left").withColumn("to", F.when(F.col("_ends").isNull(), F.col("to")))
+    nodes = stored_table(nodes.select("_k", "_at", "to", "_first"), "nodes")
+    fetched = reached(nodes, ["_k"], "_at", "to", "_first")
+    first = first_per_key(named, ["_k", "_at"], F.col("_tie")).join(fetched, ["_k", "_at"], "left_semi").withColumn("_live", F.lit(True))
+    same = ["_k", "_at", "_tie"]
+    state = F.when(F.col("_live"), F.lit("live")).otherwise(F.lit("cached"))
+    return named.join(first, same, "left").select("_k.k", "_tie", state.alias("state")).toDF(key, tie, "state")

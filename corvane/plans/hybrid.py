@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions.values import should_abstain
 from corvane.operators import bm25, dense, fusion
+from corvane.operators.graph import graph_topk
+from corvane.operators.postings import Index
 from corvane.session import stored_table
 
 
@@ -17,14 +19,15 @@ class SearchIndex:
     """Tables a search reads.
 
     chunks: id, content, rule_no, parent_id, sub_item, chunk_index, tokens, page_start, page_end,
-    breadcrumb. vectors: id, embedding. terms: the BM25 index of the chunk contents.
+    breadcrumb. vectors: id, embedding. terms: the BM25 index of the chunk contents. With a stored `graph` of the
+    vectors the vector channel walks it instead of comparing exactly.
     """
 
     chunks: DataFrame
-    terms: DataFrame
+    terms: Index
     vectors: DataFrame
     reference: DataFrame
-    stats: DataFrame | None = None
+    graph: DataFrame | None = None
     weights: dict[str, float] = field(default_factory=lambda: dict(fusion.WEIGHTS))
 
 
@@ -40,9 +43,10 @@ class SearchResult:
 def search_channels(queries: DataFrame, query_vectors: DataFrame, index: SearchIndex, extra: str | None = None) -> DataFrame:
     """(qid, channel, rank, id, score) of exact, dense and BM25 hits."""
     exact = fusion.exact_match(queries, index.chunks)
-    near = fusion.channel(dense.dense_topk(index.vectors, query_vectors), "dense")
+    near = graph_topk(index.graph, query_vectors) if index.graph is not None else dense.dense_topk(index.vectors, query_vectors)
+    near = fusion.channel(near, "dense")
     words = bm25.query_terms(queries, "qid", "text", extra)
-    lexical = fusion.channel(bm25.bm25_topk(index.terms, words, stats=index.stats), "bm25")
+    lexical = fusion.channel(bm25.bm25_topk(index.terms, words), "bm25")
     return fusion.union_channels(exact, near, lexical)
 
 

@@ -44,6 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt to all cores by `key` if it comes in fewer pieces, as a file of one row group does; what comes in
+    many is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor does not replay (or re-sample) what came before."""
     spark = df.sparkSession

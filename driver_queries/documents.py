@@ -173,16 +173,25 @@ def term_gaps(spark, sf):
 
 @R.add(
     "parse_stats",
-    f"""{BOOK}, pages AS (SELECT doc_id, count(DISTINCT page_no) AS pages, count(*) FILTER (noise = 'marker') AS markers_stripped,
-      count(*) FILTER (noise = 'header') AS running_headers_stripped FROM kind GROUP BY doc_id),
-    counts AS (SELECT doc_id, count(*) FILTER (doc_type = 'rule') AS rules, count(*) FILTER (doc_type = 'term') AS terms FROM sections GROUP BY doc_id),
-    gaps AS (SELECT doc_id, count(*) AS term_gaps FROM (SELECT doc_id, term_no, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS e FROM sections WHERE doc_type = 'term') WHERE term_no <> e GROUP BY doc_id)
-    SELECT doc_id, pages, markers_stripped, running_headers_stripped, coalesce(rules, 0) AS rules, coalesce(terms, 0) AS terms, coalesce(term_gaps, 0) AS term_gaps
-    FROM pages LEFT JOIN counts USING (doc_id) LEFT JOIN gaps USING (doc_id)""",
+    f"""{BOOK}, paged AS (SELECT doc_id, page_no, count(*) FILTER (noise = 'marker') AS m, count(*) FILTER (noise = 'header') AS h, count(*) FILTER (noise IS NULL) AS k,
+      length(trim(coalesce(string_agg(line, '' ORDER BY line_no) FILTER (noise IS NULL), ''))) < 50 AS short FROM kind GROUP BY doc_id, page_no),
+    pages AS (SELECT doc_id, count(*) AS pages, sum(m)::BIGINT AS markers_stripped, sum(h)::BIGINT AS running_headers_stripped, sum(k)::BIGINT AS lines_kept,
+      coalesce(string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (short), '') AS skipped_pages FROM paged GROUP BY doc_id),
+    checked AS (SELECT *, (substr(rule_no, 1, 1) || substr(rule_no, 3, 2))::INT AS v, row_number() OVER w AS e,
+      max((substr(rule_no, 1, 1) || substr(rule_no, 3, 2))::INT) OVER (PARTITION BY doc_id, doc_type ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+      FROM sections WINDOW w AS (PARTITION BY doc_id, doc_type ORDER BY section_no)),
+    counts AS (SELECT doc_id, count(*) FILTER (doc_type = 'rule') AS rules, count(*) FILTER (doc_type = 'term') AS terms, bool_and(coalesce(v >= top, true)) AS monotonic,
+      string_agg(term_no::VARCHAR, ',' ORDER BY section_no) FILTER (doc_type = 'term' AND term_no <> e) AS term_gaps FROM checked GROUP BY doc_id)
+    SELECT doc_id, pages, body_start, markers_stripped, running_headers_stripped, lines_kept, skipped_pages, coalesce(rules, 0) AS rules, coalesce(terms, 0) AS terms,
+      coalesce(monotonic, true) AS monotonic, coalesce(term_gaps, '') AS term_gaps
+    FROM pages LEFT JOIN starts USING (doc_id) LEFT JOIN counts USING (doc_id)""",
 )
 def parse_stats(spark, sf):
-    stats = S.parse_stats(book_lines(spark, sf), book_sections(spark, sf))
-    return stats.select("doc_id", "pages", "markers_stripped", "running_headers_stripped", "rules", "terms", "term_gaps")
+    def listed(name):
+        return F.array_join(F.transform(name, lambda x: x.cast("string")), ",").alias(name)
+
+    stats = S.parse_stats(book_lines(spark, sf), book_sections(spark, sf), anchor=ANCHOR)
+    return stats.select(*[listed(c) if c in ("skipped_pages", "term_gaps") else c for c in stats.columns])
 
 
 def merge_sql(budget: int, threshold: int) -> str:

@@ -397,19 +397,26 @@ def validate_games(spark, sf):
 
 @R.add(
     "validate_orders",
-    """WITH l AS (SELECT l_orderkey AS season, l_partkey::VARCHAR AS team_id, l_linenumber AS ranking, l_discount * 12 AS wra, l_quantity::INT AS games, l_suppkey::INT % 20 AS wins, l_partkey::INT % 20 AS losses FROM lineitem)
+    """WITH l AS (SELECT l_orderkey AS season, l_partkey::VARCHAR AS team_id, l_linenumber AS ranking, l_discount * 12 AS wra, l_quantity::INT AS games, l_suppkey::INT % 20 AS wins, l_partkey::INT % 20 AS losses FROM lineitem),
+    r AS (SELECT season, ranking, min(wra) AS lo, max(wra) AS hi FROM l GROUP BY ALL),
+    c AS (SELECT a.season, bool_and(b.hi IS NULL OR b.hi <= a.lo) AS rank_ok FROM r a LEFT JOIN r b ON b.season = a.season AND b.ranking = a.ranking + 1 GROUP BY a.season),
+    t AS (SELECT season, count(*) AS teams, count(DISTINCT ranking) AS ranks, min(ranking) AS low, max(ranking) AS high, sum(wins) AS wins, sum(losses) AS losses, any_value(rank_ok) AS rank_ok
+      FROM l JOIN c USING (season) GROUP BY season)
     SELECT concat_ws(':', season, team_id) AS row_key, u.code, u.level FROM (SELECT season, team_id, unnest([
       {'code': 'UNKNOWN_TEAM', 'level': 'fatal'}, CASE WHEN wra > 1 THEN {'code': 'WRA_RANGE', 'level': 'fatal'} END, CASE WHEN games <> wins + losses + 1 THEN {'code': 'GAMES_SUM', 'level': 'fatal'} END,
-      CASE WHEN wins + losses > 0 AND abs(wra - wins / (wins + losses)) > 0.0015 THEN {'code': 'WRA_DEFINITION', 'level': 'fatal'} END]) AS u FROM l) WHERE u IS NOT NULL""",
+      CASE WHEN wins + losses > 0 AND abs(wra - wins / (wins + losses)) > 0.0015 THEN {'code': 'WRA_DEFINITION', 'level': 'fatal'} END]) AS u FROM l) WHERE u IS NOT NULL
+    UNION ALL SELECT season::VARCHAR, u.code, u.level FROM (SELECT season, unnest([
+      CASE WHEN teams <> 10 THEN {'code': 'TEAM_COUNT', 'level': 'fatal'} END, CASE WHEN ranks <> 10 OR low <> 1 OR high <> 10 THEN {'code': 'RANK_PERMUTATION', 'level': 'fatal'} END,
+      CASE WHEN NOT rank_ok THEN {'code': 'RANK_ORDER', 'level': 'fatal'} END, CASE WHEN wins <> losses THEN {'code': 'WINS_LOSSES', 'level': 'fatal'} END]) AS u FROM t) WHERE u IS NOT NULL""",
 )
 def validate_orders(spark, sf):
-    """Order lines as standing rows; the table checks are `season_shape`."""
+    """Order lines as standing rows, orders as seasons: violations of rows and of whole tables."""
     rows = lineitem(spark, sf).select(
         F.col("l_orderkey").alias("season"), F.col("l_partkey").cast("string").alias("team_id"), F.col("l_linenumber").alias("ranking"), (F.col("l_discount") * 12).alias("wra"),
         F.col("l_quantity").cast("int").alias("games"), (F.col("l_suppkey").cast("int") % 20).alias("wins"), (F.col("l_partkey").cast("int") % 20).alias("losses"), F.lit(1).alias("draws"),
         F.lit("WLW").alias("last_five"), F.lit("k").alias("keyword"), F.lit("REGULAR_SEASON").alias("game_type"),
     )
-    return G.validate_standings(rows).where(F.col("row_key").contains(":"))
+    return G.validate_standings(rows)
 
 
 @R.add(
@@ -598,29 +605,52 @@ def active_documents(spark, sf):
     return M.active_documents(rows, index_version="2-HIGH").drop("active")
 
 
-@R.add(
-    "find_highlights",
-    f"""WITH {VIDEO_SQL}, scored AS (SELECT game_id, (2 + (published_at >= game_date AND published_at <= game_date + 2)::INT + (contains(title, concat(m, '.', dd)) OR contains(title, concat(lpad(m::VARCHAR, 2, '0'), '.', lpad(dd::VARCHAR, 2, '0')))
-        OR contains(title, concat(m, '월 ', dd, '일')))::INT + 1)::INT AS score FROM pairs WHERE title <> 'preview'),
-    best AS (SELECT game_id, least(count(*), 4) AS videos, max(score) AS score FROM scored WHERE score >= 3 GROUP BY game_id)
-    SELECT o_orderkey::VARCHAR AS game_id, CASE WHEN best.game_id IS NOT NULL THEN 'ok' WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN 'no_candidate' ELSE 'no_channel' END AS stage, videos, score
-    FROM orders LEFT JOIN best ON best.game_id = o_orderkey""",
-)
-def find_highlights(spark, sf):
-    """Orders as games of two channels; every game gets a stage."""
+SCORED_SQL = f"""{VIDEO_SQL}, scored AS (SELECT game_id, id, (2 + (published_at >= game_date AND published_at <= game_date + 2)::INT + (contains(title, concat(m, '.', dd)) OR contains(title, concat(lpad(m::VARCHAR, 2, '0'), '.', lpad(dd::VARCHAR, 2, '0')))
+        OR contains(title, concat(m, '월 ', dd, '일')))::INT + 1)::INT AS score FROM pairs WHERE title <> 'preview')
+"""
+
+
+def highlight_inputs(spark, sf):
+    """Orders as games of two channels; the second one does not exist."""
     games_of, uploads = videos_of_games(spark, sf)
     g = games_of.select(
         F.col("game_id").cast("string").alias("game_id"), "game_date", F.col("code").alias("home_code"), F.lit("NX").alias("away_code"), F.lit("game").alias("home_name"), F.lit("highlight").alias("away_name"),
     )
     ups = uploads.withColumn("id", F.col("id").cast("string"))
-    details = ups.select("id", "title", "published_at", F.lit("1:00").alias("duration"), F.lit(True).alias("embeddable"), F.lit("t").alias("thumbnail_url"), F.lit("u").alias("url"))
     dim = table(spark, sf, "region").select(
         F.col("r_name").alias("full"), F.col("r_name").alias("short"), F.array(F.concat(F.lit("x"), "r_name")).alias("aliases")
     )
     channels = table(spark, sf, "customer").select(F.concat(F.lit("N"), F.col("c_custkey").cast("string")).alias("code"))
+    return g, channels, ups, dim
+
+
+@R.add(
+    "find_highlights",
+    f"""WITH {SCORED_SQL},
+    best AS (SELECT game_id, id::VARCHAR AS id, score, row_number() OVER (PARTITION BY game_id ORDER BY score DESC, id::VARCHAR)::INT AS place FROM scored WHERE score >= 3 QUALIFY place <= 4)
+    SELECT o_orderkey::VARCHAR AS game_id, CASE WHEN best.game_id IS NOT NULL THEN 'ok' WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN 'no_candidate' ELSE 'no_channel' END AS stage, id, place, score
+    FROM orders LEFT JOIN best ON best.game_id = o_orderkey""",
+)
+def find_highlights(spark, sf):
+    """The videos picked for every game, best first, and its stage."""
+    g, channels, ups, dim = highlight_inputs(spark, sf)
+    details = ups.select("id", "title", "published_at", F.lit("1:00").alias("duration"), F.lit(True).alias("embeddable"), F.lit("t").alias("thumbnail_url"), F.lit("u").alias("url"))
     picked, stages = P.find_highlights(g, channels, ups, details, dim)
-    best = picked.groupBy("game_id").agg(F.count(F.lit(1)).alias("videos"), F.max("score").alias("score"))
-    return stages.join(best, "game_id", "left")
+    return stages.join(picked.select("game_id", "id", "place", "score"), "game_id", "left")
+
+
+@R.add(
+    "channel_trace",
+    f"""WITH {SCORED_SQL}, found AS (SELECT game_id, count(*) FILTER (score >= 3) AS passed, max(score) AS top FROM scored GROUP BY game_id),
+    listed AS (SELECT user_id, count(*) AS received FROM events GROUP BY user_id)
+    SELECT o_orderkey::VARCHAR AS game_id, 0 AS priority, concat('N', o_custkey) AS code, CASE WHEN received IS NULL THEN 'playlist_empty' ELSE 'channel' END AS stage,
+      coalesce(received, 0) AS received, coalesce(passed, 0) AS passed, coalesce(top, 0) AS top
+    FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN listed ON user_id = o_custkey LEFT JOIN found ON game_id = o_orderkey""",
+)
+def channel_trace(spark, sf):
+    """What the channel of every game gave."""
+    g, channels, ups, dim = highlight_inputs(spark, sf)
+    return P.channel_trace(g, channels, ups, dim)
 
 
 @R.add("kst_day", "SELECT event_id, (ts + INTERVAL 9 HOUR)::DATE AS day, (ts + INTERVAL 9 HOUR)::DATE AS day_of_text FROM events")

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.operators import bm25, dense, fusion
+from corvane.operators import bm25, dense, fusion, graph
 from corvane.operators.matching import expand_query
+from corvane.operators.postings import Index
 from corvane.plans import evaluate
 from corvane.plans.hybrid import SearchIndex, hybrid_search, search_channels
 from corvane.session import stored_table
@@ -115,8 +116,8 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-def corpus_index(spark: SparkSession, sf: str) -> DataFrame:
-    return stored_table(bm25.index_corpus(corpus(spark, sf)), "terms")
+def corpus_index(spark: SparkSession, sf: str) -> Index:
+    return bm25.index_corpus(corpus(spark, sf))
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,9 +162,8 @@ def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_index(spark: SparkSession, sf: str) -> SearchIndex:
     terms = corpus_index(spark, sf)
-    stats = stored_table(bm25.term_stats(terms), "stats")
-    reference = bm25.bm25_reference(corpus(spark, sf), terms, stats=stats)
-    return SearchIndex(stored_table(chunk_table(spark, sf), "chunks"), terms, vectors(spark, sf), reference, stats)
+    reference = bm25.bm25_reference(corpus(spark, sf), terms)
+    return SearchIndex(stored_table(chunk_table(spark, sf), "chunks"), terms, vectors(spark, sf), reference)
 
 
 # ---------------------------------------------------------------- queries
@@ -202,8 +202,7 @@ REF_VALUE = "greatest(t[1 + least(len(t) - 1, floor(len(t) * 0.9)::BIGINT)], 1e-
 )
 def bm25_reference(spark, sf):
     docs, index = corpus(spark, sf), corpus_index(spark, sf)
-    stats = stored_table(bm25.term_stats(index), "stats")
-    parts = [bm25.bm25_reference(docs, index, k, stats=stats).select(F.lit(k).alias("kind"), "ref_score", "sampled") for k in ("short", "sentence")]
+    parts = [bm25.bm25_reference(docs, index, k).select(F.lit(k).alias("kind"), "ref_score", "sampled") for k in ("short", "sentence")]
     return parts[0].unionByName(parts[1])
 
 
@@ -212,6 +211,28 @@ def dense_topk(spark, sf):
     return dense.dense_topk(vectors(spark, sf), query_vectors(spark, sf), exclude_self=True)
 
 
+@R.add("graph_topk")
+def graph_hits(spark, sf):
+    """Hits of the walk over a stored graph of all vectors, for the benchmark's vectors."""
+    index = stored_table(graph.build_graph(vectors(spark, sf)), "graph")
+    return graph.graph_topk(index, query_vectors(spark, sf), exclude_self=True)
+
+
+@R.add(
+    "graph_recall",
+    f"""WITH {dense_sql(f'{ASK_VECTORS} AND q.vec_id <> v.vec_id')}
+    SELECT count(*) AS exact_hits, count(DISTINCT qid) AS queries, count(*) > 0 AS enough FROM dense_hits""",
+)
+def graph_recall(spark, sf):
+    """Exact hits for the benchmark's vectors, and whether the graph finds 95 in 100 of them."""
+    exact = stored_table(dense_topk(spark, sf), "exact")
+    found = graph_hits(spark, sf).select("qid", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["qid", "id"], "left").agg(
+        F.count(F.lit(1)).alias("exact_hits"), F.count_distinct("qid").alias("queries"),
+        (F.count("hit") >= F.count(F.lit(1)) * 0.95).alias("enough"),
+    )
+
+
 LSH_SQL = f"""
 places AS (SELECT t, b, d, (t * {dense.BITS} + b) * 64 + d + 1 AS a FROM range({dense.TABLES}) r(t), range({dense.BITS}) s(b), range(64) u(d)),
 round1 AS (SELECT t, b, d, (a * 1103515245 + 12345) % 4294967296 AS a FROM places),

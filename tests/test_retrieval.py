@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from corvane.operators import bm25, dense, fusion
+from corvane.operators import bm25, dense, fusion, graph, postings
 from corvane.operators import ranking as R
 
 CORPUS = [
@@ -70,7 +70,7 @@ def vectors(spark, n=300, dims=16, seed=5):
     return spark.createDataFrame(rows, "id long, embedding array<float>"), np.asarray([r[1] for r in rows], dtype="float64")
 
 
-def test_dense_exact_in_one_and_in_many_blocks(spark, monkeypatch):
+def test_dense_exact_in_one_and_in_many_cells_and_tiles(spark, monkeypatch):
     df, m = vectors(spark)
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     sims = np.round(unit @ unit.T, 6)
@@ -85,9 +85,106 @@ def test_dense_exact_in_one_and_in_many_blocks(spark, monkeypatch):
         assert got == want
 
     check()
-    monkeypatch.setattr(dense, "BLOCK_ROWS", 70)
-    monkeypatch.setattr(dense, "BLOCK_QUERIES", 100)
+    monkeypatch.setattr(dense, "TILE_ROWS", 13)
+    monkeypatch.setattr(dense, "QUERY_ROWS", 100)
     check()
+    cells = dense.pivot_cells(df, 25)
+    found = dense.search_cells(cells, queries, 5, exclude_self=True)
+    assert sorted((r.qid, r["id"], r["rank"]) for r in found.hits.collect()) == sorted((i, j, n) for i in want for n, j in enumerate(want[i]))
+    # Ten clusters: the triangle inequality spares most of the cells.
+    row = found.compared_share(cells).first()
+    assert row.queries == 300 and row.share < 0.5
+
+
+def test_dense_ties_zeros_and_few_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [0.0, 1.0]), (6, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (9, [0.0, 0.0]), (8, None)], "qid long, embedding array<float>")
+    for pivots in (1, 3):
+        found = dense.search_cells(dense.pivot_cells(df, pivots), queries, 3, exclude_self=True).hits.collect()
+        got = {}
+        for r in sorted(found, key=lambda r: (r.qid, r["rank"])):
+            got.setdefault(r.qid, []).append((r["id"], r.score))
+        assert got == {1: [(2, 1.0), (3, 0.0), (5, 0.0)], 9: [(1, 0.0), (2, 0.0), (3, 0.0)]}
+    assert dense.dense_topk(df.limit(0), queries).collect() == [] and dense.dense_topk(df, queries.limit(0)).collect() == []
+
+
+def test_graph_finds_nearly_all_and_compares_few(spark):
+    """Vectors in clusters: at least 95 in 100 of the exact hits for at most a tenth of the comparisons."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(120, 32))
+    x = centres[rng.integers(120, size=9000)] + 0.5 * rng.normal(size=(9000, 32))
+    df = spark.createDataFrame([(i, v.astype("float32").tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    index = graph.build_graph(df, part_rows=5000).cache()
+    queries = df.where("id % 45 = 0").withColumnRenamed("id", "qid")
+    hits = graph.graph_hits(index, queries, 20, exclude_self=True).cache()
+    found = R.best_k(hits.select("qid", "id", "score"), 20)
+    exact = dense.dense_topk(df, queries, 20, exclude_self=True)
+    row, share = dense.recall(found, exact).first(), graph.compared_share(hits, 9000).first()
+    assert row.exact_hits == 4000 and row.recall >= 0.95 and share.queries == 200 and share.share <= 0.1
+    scores = {(r.qid, r["id"]): r.score for r in exact.collect()}
+    assert all(scores.get((r.qid, r["id"]), r.score) == r.score for r in found.collect())
+    index.unpersist()
+    hits.unpersist()
+
+
+def test_graph_of_equal_and_few_vectors(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(200)] + [(500, [2.0, 1.0]), (501, None), (502, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = spark.createDataFrame([(7, [1.0, 2.0]), (900, [2.0, 1.0])], "qid long, embedding array<float>")
+    index = graph.build_graph(df)
+    got = {}
+    for r in sorted(graph.graph_topk(index, queries, 3, exclude_self=True).collect(), key=lambda r: (r.qid, r["rank"])):
+        got.setdefault(r.qid, []).append((r["id"], r.score))
+    assert got == {7: [(0, 1.0), (1, 1.0), (2, 1.0)], 900: [(500, 1.0), (0, 0.8), (1, 0.8)]}
+    assert graph.graph_topk(graph.build_graph(df.limit(0)), queries).collect() == []
+
+
+def test_links_are_mutual_enough_to_reach_every_row():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = graph.links_of(x)
+    seen, todo = {0}, [0]
+    while todo:
+        for j in links[todo.pop()]:
+            if j >= 0 and j not in seen:
+                seen.add(int(j))
+                todo.append(int(j))
+    assert len(seen) == 700 and (links != np.arange(700)[:, None]).all()
+
+
+def test_search_reads_fewer_postings_and_gives_the_same(spark, monkeypatch):
+    """Queries of three words over a few thousand texts: the same hits as all postings give, from at most half of them."""
+    monkeypatch.setattr(postings, "BLOCK", 32)
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, weights, k=rng.randrange(5, 80))) for _ in range(3000)]
+    asked = [" ".join(texts[i].split()[:3]) for i in range(0, 3000, 75)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, text string")
+    index = bm25.index_corpus(docs)
+    found = postings.hits(index, bm25.query_terms(queries), 5)
+    got = {}
+    for r in sorted(R.best_k(found.select("qid", "id", "score"), 5).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.qid, []).append((r["id"], round(r.score, 5)))
+    corpus = list(enumerate(texts))
+    for q, text in enumerate(asked):
+        assert got[q] == [(i, round(s, 5)) for i, s in brute_bm25(corpus, text)[:5]]
+    share = postings.read_share(found).first()
+    assert share.postings > 5_000 and share.share <= 0.5
+
+
+def test_words_of_negative_weight_are_counted(spark):
+    """In two texts every shared word has a negative idf, and so may the mean."""
+    docs = [(1, "aa bb aa cc"), (2, "aa bb dd"), (3, "aa")]
+    index = bm25.index_corpus(spark.createDataFrame(docs, "doc_id long, text string"))
+    for text in ("aa", "aa cc", "bb aa dd", "zz"):
+        rows = bm25.bm25_topk(index, bm25.query_terms(spark.createDataFrame([(0, text)], "qid long, text string")), 2).collect()
+        assert [(r["id"], round(r.score, 6)) for r in sorted(rows, key=lambda r: r["rank"])] == brute_bm25(docs, text)[:2]
+    empty = bm25.index_corpus(spark.createDataFrame([], "doc_id long, text string"))
+    assert bm25.bm25_topk(empty, bm25.query_terms(spark.createDataFrame([(0, "aa")], "qid long, text string"))).collect() == []
 
 
 def test_lsh_recall_on_random_vectors(spark):
