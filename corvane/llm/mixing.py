@@ -114,8 +114,9 @@ def schedule(docs: DataFrame, sizes: DataFrame, sources: DataFrame, seed: int =
 
 
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per row of docs(doc_id, text, source): (doc_id, rk, copy, source, size, source_size, target, taken), and the
-    schedule that takes them.
+    """Per row of docs(doc_id, text, source): (doc_id, rk, copy, source, size, source_size, target, taken, first_slot,
+    last_slot, reads), and the schedule that takes them. The slots say where in the mix the document's words stand;
+    they are null if none is taken, and `reads` counts the stretches of it that slots read.
 
     Each source gives its target rounded to whole words, exactly. Defined results: a null text has size 0; a document
     or a source without words is never taken; a null source is a source of its own, last in order; repeated rows are
@@ -124,10 +125,13 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = stored(sized(docs), "sizes")
     sources = stored(targets(sizes), "targets")
     read = schedule(docs, sizes, sources)
-    taken = read.groupBy("rk", "copy").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
+    taken = read.groupBy("rk", "copy").agg(
+        F.sum(F.col("end") - F.col("begin")).alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"),
+        F.count(F.lit(1)).alias("reads"),
+    )
     own = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     own = own.select("doc_id", "rk", "copy", "d.source", "size", "source_size", "target")
-    return own.join(taken, ["rk", "copy"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))), read
+    return own.join(taken, ["rk", "copy"], "left").fillna(0, ["taken", "reads"]), read
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

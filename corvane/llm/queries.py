@@ -54,7 +54,7 @@ def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 1, 2, 3 in turn, targets up to three times a source's size."""
     found, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "last_slot", "reads")
 
 
 @query
