@@ -78,3 +78,39 @@ def test_mixed_documents_and_empty_tables(spark):
     assert mixing.mix(empty)[0].collect() == [] and mixing.mixed_documents(empty).collect() == []
     blank = odd_documents(spark, [(1, None, None, None, None, None, None, None), (2, " ", None, "a", 1, None, None, None)])
     assert sorted(r.taken for r in mixing.mix(blank)[0].collect()) == [0, 0]
+
+
+def unit_of(slot, total):
+    """The unit that the golden-ratio point of a slot falls into, in whole numbers."""
+    return slot * 679_535_556_991 % (1 << 40) * total // (1 << 40)
+
+
+def test_schedule_is_that_of_the_golden_ratio(spark):
+    """Slots are drawn by the points alone: another multiplier gives other slots, and every stretch of the schedule
+    holds the sources in the proportions of the whole."""
+    rows = [(i, "w " * 40, "en", f"s{i % 3}", 0, "", "", 0) for i in range(300)]
+    found, read = mixing.mix(odd_documents(spark, rows))
+    sources = mixing.targets(mixing.sized(odd_documents(spark, rows)))
+    drawn = sorted((r.slot, r.sid, r["rank"]) for r in mixing.slots(sources).collect())
+    goals = {r.sid: round(r.target) for r in sources.collect()}
+    blocks = {s: -(-g // min(mixing.BLOCK, -(-g // mixing.LEAST_BLOCKS))) for s, g in goals.items()}
+    total, want, ranks = sum(blocks.values()), [], Counter()
+    owner = [s for s in sorted(blocks) for _ in range(blocks[s])]
+    for slot in range(2 * total):
+        sid = owner[unit_of(slot, total)]
+        if ranks[sid] < blocks[sid]:
+            want.append((slot, sid, ranks[sid]))
+        ranks[sid] += 1
+    assert drawn == want and len(drawn) == total
+    # The first n slots hold each source n * share times, give or take three.
+    count = Counter()
+    for n, (_, sid, _) in enumerate(drawn[: total // 2], 1):
+        count[sid] += 1
+        assert all(abs(count[s] - n * blocks[s] / total) < 3 for s in blocks)
+    # The documents' places in the mix are those of the slots that read them.
+    places = defaultdict(list)
+    for r in read.collect():
+        places[r.rk, r.copy].append(r.slot)
+    for r in found.collect():
+        own = places[r.rk, r["copy"]]
+        assert (r.first_slot, r.last_slot, r.reads) == (min(own, default=None), max(own, default=None), len(own))
