@@ -36,6 +36,8 @@ from corvane.llm.components import connected
 SAMPLE, MOST = 4096, 1 << 21
 #: Components of a tile; rows that a task compares at once.
 TILE, STRIP = 1 << 20, 256
+#: Tasks that pairs of tiles are dealt to at most; each takes its pairs one after the other.
+MOST_TASKS = 100_000
 #: Sending one row costs about as much as comparing so many pairs.
 ROW_COST = 2000
 #: Within this of the threshold, a cosine is computed anew.
@@ -229,7 +231,10 @@ def linked(nodes: DataFrame, least: float = 0.9, pivots: dict[int, Pivots] | Non
     kinds = nodes.schema["v"].dataType.simpleString()
     placed = nodes.mapInArrow(_placing(pivots), f"node long, dims int, w long, v {kinds}, cell int, kind int")
     placed = stored(placed, "cells")
-    found = tasks(placed).groupBy("dims", "cell", "a", "b").applyInArrow(_comparing(least), "node long, links long, peer long")
+    met, pair = tasks(placed), ["dims", "cell", "a", "b"]
+    # Few bytes are much work here, so pairs of tiles are dealt by their number, not by their size.
+    met = met.repartition(max(1, min(MOST_TASKS, met.select(*pair).distinct().count())), *pair)
+    found = met.groupBy(*pair).applyInArrow(_comparing(least), "node long, links long, peer long")
     found = stored(found, "links")
     cores = placed.filter("kind = 0").select("dims", "cell", "node", "w")
     core = cores.groupBy("dims", "cell").agg(F.min("node").alias("peer"), F.sum("w").alias("all"))
