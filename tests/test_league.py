@@ -249,6 +249,12 @@ def test_highlights(spark):
     ]
     ups = spark.createDataFrame(uploads, "code string, id string, title string, published_at string").withColumn("published_at", F.to_date("published_at"))
     details = ups.select("id", "title", "published_at", F.lit("1:00").alias("duration"), F.lit(True).alias("embeddable"), F.lit("t").alias("thumbnail_url"), F.lit("u").alias("url"))
+    trace = P.channel_trace(games, channels, ups, team_dim(spark)).collect()
+    got = {(r.game_id, r.code): (r.stage, r.received, r.passed, r.top) for r in trace}
+    # The league's channel comes last, and only if no club's channel gave a video.
+    assert got["g1", "LG"] == ("channel", 4, 1, 6) and ("g1", "SS") not in got and ("g1", "KBO") not in got
+    assert got["g4", "SS"] == ("playlist_empty", 0, 0, 0) and got["g4", "KBO"] == ("channel", 3, 1, 6)
+    assert got["g2", "KBO"][:3] == ("channel", 3, 0) and got["g3", "LG"] == ("channel", 4, 0, 0) and len(got) == 7
     picked, stages = P.find_highlights(games, channels, ups, details, team_dim(spark))
     assert sorted((r.game_id, r["id"], r.score) for r in picked.collect()) == [("g1", "v1", 6), ("g4", "v7", 6)]
     assert {r.game_id: r.stage for r in stages.collect()} == {"g1": "ok", "g2": "no_candidate", "g3": "no_candidate", "g4": "ok"}

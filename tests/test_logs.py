@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators import jumps as J
 from corvane.operators import maintain as M
 from corvane.operators import usage as U
 from corvane.plans import evaluate as E
@@ -76,6 +77,35 @@ def test_ttl_equals_the_loop(spark):
     assert {r.event_id: r.state for r in got.collect()} == want
 
 
+def test_a_key_that_never_pauses_is_one_chain(spark):
+    """Thousands of fetches in a row, a null key, and reads at the same time."""
+    rows = [("busy", i, START + dt.timedelta(seconds=7 * i + i % 3)) for i in range(6000)]
+    rows += [(None, 10_000 + i, START + dt.timedelta(seconds=13 * (i // 2))) for i in range(50)]
+    fetched, want = {}, {}
+    for key, i, ts in sorted(rows, key=lambda r: (str(r[0]), r[2], r[1])):
+        fresh = key in fetched and (ts - fetched[key]).total_seconds() < 20
+        want[i] = "cached" if fresh else "live"
+        fetched[key] = fetched[key] if fresh else ts
+    got = U.ttl_fetches(spark.createDataFrame(rows, "key string, event_id long, ts timestamp_ntz"), ttl=20)
+    assert {r.event_id: r.state for r in got.collect()} == want and sum(v == "live" for v in want.values()) > 1500
+
+
+def test_reached_follows_jumps_of_every_length(spark):
+    rng = random.Random(6)
+    rows, want = [], set()
+    for k in range(6):
+        n = rng.choice([1, 2, 5, 40, 300])
+        to = {i: i + rng.randrange(1, 4) for i in range(n)}
+        rows += [(k, i, t if t < n else None, i == 0) for i, t in to.items()]
+        at = 0
+        while at is not None and at < n:
+            want.add((k, at))
+            at = to[at]
+    nodes = spark.createDataFrame(rows, "k int, at int, to int, first boolean")
+    assert {(r.k, r.at) for r in J.reached(nodes, ["k"], "at", "to", "first").collect()} == want
+    assert J.reached(nodes.limit(0), ["k"], "at", "to", "first").collect() == []
+
+
 def budget_loop(rows, budget):
     used, out = {}, {}
     for day, i, units in rows:
