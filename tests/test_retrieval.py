@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import bm25, dense, fusion, graph, postings
 from corvane.operators import ranking as R
+from corvane.plans.hybrid import SearchIndex, search_channels
 
 CORPUS = [
     (1, "[5.00] 5.09 아웃\n타자가 아웃되는 경우 balk"), (2, "BALK 보크\n투수의 반칙 투구 동작"), (3, "인필드 플라이\n내야수가 잡을 수 있는 플라이"),
@@ -332,3 +333,15 @@ def test_index_percentiles(spark):
     row = R.index_percentiles(df, [], "tokens", {"p50": F.floor(total / 2), "p90": F.floor(total * 0.9)}).first()
     s = sorted(values)
     assert (row.p50, row.p90) == (s[333 // 2], s[int(333 * 0.9)])
+
+
+def test_search_walks_the_graph_where_there_is_one(spark):
+    df, _ = vectors(spark)
+    chunks = spark.createDataFrame([(i, f"5.{i % 100:02d}", i, f"word{i} 5.{i % 100:02d}") for i in range(300)], "id long, rule_no string, chunk_index long, content string")
+    index = SearchIndex(chunks, bm25.index_corpus(chunks, "id", "content"), df, spark.createDataFrame([(1.0,)], "ref_score double"))
+    queries = spark.createDataFrame([(1, "what is 5.07"), (2, "word9")], "qid long, text string")
+    asked = df.where("id in (1, 2)").withColumnRenamed("id", "qid")
+    exact = sorted(tuple(r) for r in search_channels(queries, asked, index).collect())
+    index.graph = graph.build_graph(df)
+    assert sorted(tuple(r) for r in search_channels(queries, asked, index).collect()) == exact
+    assert {r[1] for r in exact} == {"exact", "dense", "bm25"}
