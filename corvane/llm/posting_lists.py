@@ -3,9 +3,9 @@
 The index is fitted on a bounded sample of vectors: balanced k-means gives the lists' centroids, and the centroids
 are linked into a graph that is small enough for every task. All vectors are indexed: each goes to its nearest
 centroid and, near a boundary, to others that are hardly farther. A query walks the graph to the centroids near it
-and reads the lists whose distance is within a ratio of the nearest one's; the ratio is fitted on the sample, too,
-for a wanted recall. If these lists may hold too few candidates, the ratio counts from the list that makes them
-enough. Lists are cut into parts of bounded size, and queries go to all parts of a list.
+and reads the lists whose distance is within a ratio of the nearest one's; the ratio is fitted for a wanted recall on
+queries of the table, whose true neighbours among all vectors are found by comparing. If these lists may hold too few candidates, the ratio counts from the list that makes them
+enough. How many centroids a walk opens at least is fitted in the same way. Lists are cut into parts of bounded size, and queries go to all parts of a list.
 """
 
 from __future__ import annotations
@@ -34,50 +34,75 @@ DEGREE = 24
 STEP = 2048
 #: Vectors of a list that one task holds.
 PART = 4096
-#: Sample vectors asked to fit the ratio, and the recall they must reach.
-TRIALS, RECALL = 400, 0.97
+#: Queries compared with all vectors to fit the ratio and the walk, at most, the recall that the lists within the ratio
+#: must reach, and how much of it the walk may lose.
+TRIALS, RECALL, LOST = 400, 0.97, 0.01
+#: Centroids a walk starts from, and opens at least, before it is fitted.
+ENTRIES, WIDTH = 64, 32
 
 
 @dataclass
 class Index:
     """Centroids, the graph between them and the fitted pruning ratio; the ids in each list, and how many ids the lists
-    read must have in sum."""
+    read must have in sum; how many centroids a walk opens at least, the least distance that the ratio is taken of, and
+    where walks start."""
 
     centroids: np.ndarray
     graph: np.ndarray
     ratio: float
     sizes: np.ndarray | None = None
     least: int = 0
+    width: int = WIDTH
+    floor: float = 0.0
+    entries: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        if self.entries is None:
+            self.entries = _apart(self.centroids, ENTRIES)
 
     def near(self, query: np.ndarray) -> np.ndarray:
         """Lists within the ratio of the nearest centroid, or of the one with which the least of ids is reached (all
         lists if it never is), by a walk over the graph.
 
-        The walk opens the nearest centroid not yet opened and ends when that one is beyond the ratio, so every list
-        reached over centroids within the ratio is found.
+        The walk starts from centroids that lie apart, opens the nearest centroids not yet opened and ends when those
+        are beyond the ratio and `width` nearer ones were opened, so every list reached over these is found.
         """
         seen = np.zeros(len(self.centroids), bool)
         opened = seen.copy()
         dist = np.full(len(self.centroids), np.inf)
-        front = np.arange(0, len(dist), max(1, len(dist) // 16))
+        front = self.entries
         while True:
             front = front[~seen[front]]
             seen[front] = True
             dist[front] = np.sqrt(((self.centroids[front] - query) ** 2).sum(axis=1))
-            limit = self.ratio * dist.min()
+            limit = self.ratio * max(dist.min(), self.floor)
             if self.sizes is not None and self.sizes[dist <= limit].sum() < self.least:
                 order = np.argsort(dist, kind="stable")[: int(seen.sum())]
                 enough = np.flatnonzero(np.cumsum(self.sizes[order]) >= self.least)
                 # Beyond all seen so far: the walk opens whatever it has reached.
                 limit = self.ratio * dist[order[enough[0]]] if len(enough) else np.finfo(float).max
-            ready = np.flatnonzero(~opened & (dist <= limit))
+            # Lists lie in clusters: beyond the ratio, too, the nearest seen lead on to nearer ones.
+            reach = limit if len(dist) <= self.width else max(limit, np.partition(dist, self.width - 1)[self.width - 1])
+            ready = np.flatnonzero(~opened & (dist <= reach) & seen)
             if not len(ready):
                 return np.flatnonzero(dist <= limit)
             opened[ready] = True
             front = np.unique(self.graph[ready])
 
 
+def _apart(c: np.ndarray, n: int) -> np.ndarray:
+    """n rows, each the one farthest from those before it."""
+    picked, away = [0], np.full(len(c), np.inf)
+    while len(picked) < min(n, len(c)):
+        away = np.minimum(away, ((c - c[picked[-1]]) ** 2).sum(axis=1))
+        picked.append(int(away.argmax()))
+    return np.unique(picked)
+
+
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # Around the mean, so that a common offset takes no digits.
+    mean = b.mean(axis=0)
+    a, b = a - mean, b - mean
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0)
 
 
@@ -93,7 +118,7 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         for at in range(0, len(x), STEP):
             d = _square(x[at : at + STEP], c)
             to[at : at + STEP], least[at : at + STEP] = (d + load).argmin(axis=1), d.min(axis=1)
-        scale = np.median(least) + 1e-12
+        scale = np.median(least)
         size = np.bincount(to, minlength=k).astype(float)
         sums = np.zeros_like(c)
         np.add.at(sums, to, x)
@@ -110,9 +135,35 @@ def _closure(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (pair := np.nonzero(own <= CLOSURE * own.min(axis=1, keepdims=True)))[0], near[pair]
 
 
-def fit(vectors: DataFrame, rows: int, k: int) -> Index | None:
-    """The index from at most SAMPLE vectors, those of the smallest hash; None without any."""
-    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
+def _truth(vectors: DataFrame, asked: np.ndarray, keys: np.ndarray, k: int) -> list:
+    """(trial, v) for the k vectors nearest to each of the asked ones, but the one with its own key, of all vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, own = np.full((len(asked), k), np.inf), np.zeros((len(asked), k, asked.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                x = _matrix(part.column("v"))
+                d = _square(asked, x)
+                d[part.column("vkey").to_numpy()[None, :] == keys[:, None]] = np.inf
+                # Few rows change once k near ones are known.
+                for t in np.flatnonzero(d.min(axis=1) < best[:, -1]):
+                    some = np.argsort(d[t], kind="stable")[:k]
+                    both = np.concatenate([best[t], d[t, some]])
+                    keep = np.argsort(both, kind="stable")[:k]
+                    own[t], best[t] = np.concatenate([own[t], x[some]])[keep], both[keep]
+        t, place = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(best[t, place]), pa.array(list(own[t, place]), pa.list_(pa.float64()))], ["trial", "d", "v"])
+
+    found = vectors.select("vkey", "v").mapInArrow(run, "trial long, d double, v array<double>")
+    place = F.row_number().over(Window.partitionBy("trial").orderBy("d"))
+    return found.withColumn("place", place).filter(F.col("place") <= k).select("trial", "v").collect()
+
+
+def fit(vectors: DataFrame, asked: DataFrame, rows: int, k: int) -> Index | None:
+    """The index with centroids from at most SAMPLE vectors and a ratio and walk from at most TRIALS queries asked
+    (both vkey, v), those of the smallest hash; None without any vector."""
+    picked = vectors.orderBy(F.xxhash64("vkey"), "vkey").limit(SAMPLE).select("v").collect()
     if not picked:
         return None
     x = np.array([r["v"] for r in picked], np.float64)
@@ -120,20 +171,37 @@ def fit(vectors: DataFrame, rows: int, k: int) -> Index | None:
     order = np.argsort(_square(c, c), axis=1, kind="stable")
     # Nearest centroids, and a ring, so that the graph hangs together.
     ring = (np.arange(len(c))[:, None] + [1]) % len(c)
-    index = Index(c, np.concatenate([order[:, 1 : DEGREE + 1], ring], axis=1), np.inf)
-    trial = np.arange(0, len(x), max(1, len(x) // TRIALS))
-    to = np.sqrt(_square(x[trial], c))
-    exact = _square(x[trial], x)
-    exact[np.arange(len(trial)), trial] = np.inf
-    best = np.argsort(exact, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    index = Index(c, np.concatenate([order[:, 1 : DEGREE + 1], ring], axis=1), 1.0)
+    trials = asked.orderBy(F.xxhash64("vkey"), "vkey").limit(TRIALS).select("vkey", "v").collect()
+    if not trials:
+        return index
+    q = np.array([r["v"] for r in trials], np.float64)
+    truth = _truth(vectors, q, np.array([r["vkey"] for r in trials]), k)
+    return tuned(index, q, np.array([r["trial"] for r in truth], np.int64), np.array([r["v"] for r in truth]).reshape(-1, q.shape[1]))
+
+
+def tuned(index: Index, q: np.ndarray, trial: np.ndarray, near: np.ndarray) -> Index:
+    """The index with a ratio within which lists hold RECALL of the true neighbours `near` of the queries q[trial], and
+    a walk that finds all but LOST of them."""
+    if not len(near):
+        return index
+    to = np.sqrt(_square(q, index.centroids))
+    first = to.min(axis=1)
+    floor = max(0.1 * float(np.median(first)), 1e-9 * float(to.max()), np.finfo(float).tiny)
+    row, own = _closure(near, index.centroids)
     # The ratio at which each true neighbour is reached, through the nearest of its lists.
-    lists: list[list[int]] = [[] for _ in range(len(x))]
-    for at in range(0, len(x), STEP):
-        row, own = _closure(x[at : at + STEP], c)
-        for r, to_list in zip(row.tolist(), own.tolist()):
-            lists[at + r].append(to_list)
-    need = [to[t, lists[v]].min() / max(to[t].min(), 1e-12) for t, found in enumerate(best.tolist()) for v in found]
-    index.ratio = max(1.0, float(np.quantile(need, RECALL))) * (1 + 1e-9) if need else 1.0
+    need = np.full(len(near), np.inf)
+    np.minimum.at(need, row, to[trial[row], own] / np.maximum(first, floor)[trial[row]])
+    index = replace(index, ratio=max(1.0, float(np.quantile(need, RECALL))) * (1 + 1e-6), floor=floor)
+    while index.width < len(index.centroids):
+        seen = np.zeros(to.shape, bool)
+        for i, vector in enumerate(q):
+            seen[i, index.near(vector)] = True
+        reached = np.zeros(len(near), bool)
+        np.logical_or.at(reached, row, seen[trial[row], own])
+        if reached.mean() >= RECALL - LOST:
+            break
+        index = replace(index, width=2 * index.width)
     return index
 
 
@@ -187,8 +255,9 @@ def nearest(table: DataFrame, queries: DataFrame, *, k: int = 10, index: Index |
     firsts = Window.partitionBy("vkey").orderBy("vec_id")
     unique = stored(rows.withColumn("copy", F.row_number().over(firsts)).filter(F.col("copy") <= k + 1), "unique")
     ones = unique.filter("copy = 1")
-    index = index or fit(ones, ones.count(), k)
     asked = rows.join(queries.select(F.col("vec_id").cast("long")).distinct(), "vec_id", "left_semi").select("vkey", F.col("vec_id").alias("query_id"))
+    wanted = ones.join(asked, "vkey", "left_semi")
+    index = index or fit(ones, wanted, ones.count(), k)
     if index is None:
         # No row has a usable vector, so there is no query either.
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score"))
@@ -205,8 +274,7 @@ def nearest(table: DataFrame, queries: DataFrame, *, k: int = 10, index: Index |
         found = [index.near(q) for q in x]
         return np.repeat(np.arange(len(x)), [len(f) for f in found]), np.concatenate(found)
 
-    wanted = ones.join(asked, "vkey", "left_semi").select(F.col("vkey").alias("qkey"), "v")
-    visits = stored(_in_lists(wanted, near, ["qkey", "v"]), "visits")
+    visits = stored(_in_lists(wanted.select(F.col("vkey").alias("qkey"), "v"), near, ["qkey", "v"]), "visits")
     # One row for each list: the lists are bounded.
     size, load = F.broadcast(_parts(posted, "parts")), F.broadcast(_parts(visits, "loads"))
     left = posted.join(size, "list").join(load, "list").withColumn("part", F.pmod(F.xxhash64("vkey"), "parts"))

@@ -98,3 +98,17 @@ def test_isolated_clusters_have_all_their_neighbours(spark, monkeypatch):
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     assert found.keys() == {0, 1, 2, 3, 10} and all([r for r, _ in sorted(own)] == list(range(1, 11)) for own in found.values())
     assert all({i for _, i in sorted(found[q])[:3]} == {0, 1, 2, 3} - {q} for q in range(4))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-18])
+def test_recall_in_clusters_far_apart(spark, monkeypatch, scale):
+    """Lists within the ratio lie in one cluster, and the walk over the centroids has to get there first."""
+    monkeypatch.setattr(pl, "LIST_SIZE", 16)
+    rng = np.random.default_rng(1)
+    x = scale * (rng.normal(size=(40, 8))[rng.integers(40, size=4000)] + 0.1 * rng.normal(size=(4000, 8)))
+    rows = [(i, [float(a) for a in np.float32(v)], 0, 1, "x") for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    want = exact(rows, 10, 20)
+    found = {(r.query_id, r.vec_id) for r in pl.nearest(table, table.filter("vec_id % 20 = 0"), k=10).collect()}
+    assert len(found) == 10 * len(want)
+    assert len(found & {(q, i) for q, own in want.items() for i, _ in own}) >= 0.95 * len(found)
