@@ -7,7 +7,8 @@ with up to m of its nearest rows that are not nearer to one another than to it,
 
 A search starts in the top layer, which is compared whole, and goes down: in every layer the best rows found lead to
 their neighbours, and a beam of the best is kept until none of them leads to a better one. All queries of a block walk
-together, so a step is a few array operations. Equal vectors are one node of the graph.
+together, so a step is a few array operations. Equal vectors are one node of the graph. In each part, a few of the
+queries are compared with all its nodes first, and the beam is doubled until the walk finds enough of their neighbours.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import types as T
 from corvane.operators.dense import DIGITS, TOP_K
 from corvane.operators.ranking import best_k
 
-# Links of a row, candidates for them, and rows that a search keeps.
+# Links of a row, candidates for them, and rows that a search keeps at least.
 LINKS, BUILD_WIDTH, BEAM = 16, 64, 80
+#: Queries of a part that the beam is fitted on, at most, and the share of their nearest nodes it has to find.
+TRIALS, RECALL = 64, 0.98
 #: Rows of a part, and how many times fewer rows the next layer holds.
 PART_ROWS, STEP = 16_384, 16
 #: Rows compared at once when links are chosen, queries that walk together, beam of the upper layers, rows that lead
@@ -197,6 +200,18 @@ class Graph:
             start = beam
         return beam, score, total
 
+    def fitted(self, asked: np.ndarray, k: int, width: int) -> int:
+        """The first of width, twice it, … rows of a beam that finds RECALL of the k nearest nodes of a few of the asked."""
+        n = len(self.x)
+        trial, k = asked[:: -(-len(asked) // TRIALS)], min(k, n)
+        least = np.partition(trial @ self.x.T, n - k, axis=1)[:, n - k, None] - 1e-12
+        while width < n:
+            found = (self.search(trial, width)[1] >= least).sum(axis=1)
+            if np.minimum(found, k).mean() >= RECALL * k:
+                break
+            width *= 2
+        return min(width, n)
+
 
 def _searching(k: int, width: int, exclude_self: bool) -> Callable:
     def search(key: tuple[pa.Scalar, ...], rows: pa.Table, asked: pa.Table) -> pa.Table:
@@ -204,8 +219,9 @@ def _searching(k: int, width: int, exclude_self: bool) -> Callable:
         if rows.num_rows and asked.num_rows:
             graph, q = Graph(rows), _unit(asked.column("embedding"))
             sizes = graph.upto - graph.first
+            beam_rows = graph.fitted(q, k + exclude_self, width)
             for at in range(0, len(q), TOGETHER):
-                beam, score, compared = graph.search(q[at : at + TOGETHER], min(width, len(graph.first)))
+                beam, score, compared = graph.search(q[at : at + TOGETHER], beam_rows)
                 for i, (nodes, values) in enumerate(zip(beam, np.round(score, DIGITS))):
                     own = nodes >= 0
                     nodes, values = nodes[own], values[own]
@@ -247,7 +263,7 @@ def graph_hits(graph: DataFrame, queries: DataFrame, k: int = TOP_K, *, beam: in
 
 
 def graph_topk(graph: DataFrame, queries: DataFrame, k: int = TOP_K, *, beam: int = BEAM, exclude_self: bool = False) -> DataFrame:
-    """(qid, id, score, rank): best k by cosine that the walk finds. queries(qid, embedding) are sent to every part;
+    """(qid, id, score, rank): best k by cosine that the walk finds, with a beam of at least `beam`. queries(qid, embedding) are sent to every part;
     the vectors stay in theirs."""
     return best_k(graph_hits(graph, queries, k, beam=beam, exclude_self=exclude_self).select("qid", "id", "score"), k)
 

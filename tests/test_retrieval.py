@@ -130,6 +130,20 @@ def test_graph_finds_nearly_all_and_compares_few(spark):
     hits.unpersist()
 
 
+def test_graph_widens_a_beam_that_misses_neighbours():
+    """Without structure and with few links, neighbours are missed unless the beam fits the rows."""
+    x = np.random.default_rng(8).normal(size=(5000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = pa.array(np.arange(5000))
+    rows = pa.table({"part": pa.array(np.zeros(5000, np.int32)), "order": ids, "id": ids, "embedding": pa.array(list(x))})
+    built = graph._building(3, 8)(rows)
+    asked = pa.table({"qid": ids, "embedding": rows.column("embedding")}).take(pa.array(np.arange(0, 5000, 100)))
+    found = graph._searching(5, 6, True)((pa.scalar(0),), built, asked).to_pylist()
+    exact = x[::100] @ x.T
+    want = {(100 * i, j) for i, own in enumerate(np.argsort(-exact, axis=1)[:, :6].tolist()) for j in own if j != 100 * i}
+    assert len({(r["qid"], r["id"]) for r in found} & want) >= 0.95 * len(want)
+
+
 def test_graph_of_equal_and_few_vectors(spark):
     rows = [(i, [1.0, 2.0]) for i in range(200)] + [(500, [2.0, 1.0]), (501, None), (502, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
