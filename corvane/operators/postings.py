@@ -32,8 +32,8 @@ from corvane.session import stored_table
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
-#: Postings of a block, and tokens of a segment at least (its last document ends it).
-BLOCK, SEGMENT = 128, 4 << 20
+#: Postings of a block, and tokens of a segment at least (the document that reaches them ends it, also within a batch).
+BLOCK, SEGMENT = 128, 1 << 20
 #: Queries that travel together.
 TOGETHER = 256
 #: Scores are rounded to six digits, so bounds give way by this much.
@@ -91,12 +91,18 @@ def _segment(part: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, held, size = TaskContext.get().partitionId() << 20, [], 0
     for batch in batches:
-        held.append(batch)
-        size += len(batch.column("tokens").flatten())
-        if size >= SEGMENT:
-            yield _segment(part, held)
-            part, held, size = part + 1, [], 0
-    if sum(b.num_rows for b in held):
+        lengths = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
+        while at < batch.num_rows:
+            # As many documents as fill the segment, or the rest of the batch.
+            to = min(batch.num_rows, max(at + 1, int(np.searchsorted(upto, upto[at] + SEGMENT - size))))
+            held.append(batch.slice(at, to - at))
+            size += int(upto[to] - upto[at])
+            at = to
+            if size >= SEGMENT:
+                yield _segment(part, held)
+                part, held, size = part + 1, [], 0
+    if held:
         yield _segment(part, held)
 
 

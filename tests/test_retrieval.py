@@ -3,9 +3,11 @@
 import math
 import random
 import unicodedata
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -130,6 +132,21 @@ def test_graph_finds_nearly_all_and_compares_few(spark):
     hits.unpersist()
 
 
+def test_segments_are_cut_within_a_batch(monkeypatch):
+    """A task holds the arrays of one segment, however many documents come in a batch."""
+    monkeypatch.setattr(postings, "SEGMENT", 50)
+    task = SimpleNamespace(partitionId=lambda: 3)
+    monkeypatch.setattr(postings, "TaskContext", SimpleNamespace(get=lambda: task))
+    docs = [[f"w{j % 7}" for j in range(i % 9)] for i in range(200)] + [["long"] * 120, []]
+    whole = pa.record_batch({"id": pa.array(range(len(docs))), "tokens": pa.array(docs, pa.list_(pa.string()))})
+    batches = [whole.slice(0, 150), whole.slice(150, 0), whole.slice(150)]
+    listed = [b.filter(pc.is_null(b.column("term"))) for b in postings._segments(iter(batches))]
+    assert [b.column("part")[0].as_py() for b in listed] == [(3 << 20) + i for i in range(len(listed))]
+    lengths = [[x or 0 for x in b.column("lengths")[0].as_py()] for b in listed]
+    assert [i for b in listed for i in b.column("ids")[0].as_py()] == list(range(len(docs)))
+    assert all(sum(x[:-1]) < 50 for x in lengths) and all(sum(x) >= 50 for x in lengths[:-1])
+
+
 def test_graph_widens_a_beam_that_misses_neighbours():
     """Without structure and with few links, neighbours are missed unless the beam fits the rows."""
     x = np.random.default_rng(8).normal(size=(5000, 64))
