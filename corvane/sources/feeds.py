@@ -77,7 +77,9 @@ def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _inlined(good: DataFrame, payload: str, items: str, fields: dict[str, tuple[str, str]], keep: list[Column]) -> DataFrame:
     ddl = ", ".join(f"`{n}` {kind}" for n, (_, kind) in fields.items())
     rows = F.from_json(json_path(F.col(payload), f"$.result.{items}"), f"array<struct<{_colons(ddl)}>>")
-    flat = good.select(*keep, F.posexplode(rows).alias("arrival", "_r"))
+    # Beside a generator, an expression is evaluated for every row that comes out, so what reads the payload comes first.
+    once = good.select(*keep, rows.alias("_rows"))
+    flat = once.select(*[c for c in once.columns if c != "_rows"], F.posexplode("_rows").alias("arrival", "_r"))
     names = [c for c in flat.columns if c != "_r"]
     return flat.select(*names, *[F.col(f"_r.{n}").alias(new) for n, (new, _) in fields.items()])
 

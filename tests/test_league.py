@@ -287,3 +287,15 @@ def test_places(spark):
     assert [(r.name, r.confidence, r.snippet is None) for r in cards.orderBy("position").collect()] == [("맛집 1", "likely", False), ("맛집 2", "uncertain", True)]
     assert [(r.kind, r.map_query) for r in maps.collect()] == [("map", "잠실야구장 근처 맛집")]
     assert P.build_places(df.limit(0), stadiums, F.lit("2026-09-15").cast("date"))[0].count() == 0
+
+
+def test_standings_read_a_response_once_and_not_for_every_team(spark):
+    """What reads the payload lies below the explode, so work does not grow with payload times teams."""
+    from corvane.sources import feeds
+
+    teams = ",".join(f'{{"teamId":"t{i}","ranking":{i}}}' for i in range(3))
+    body = f'{{"success":true,"code":200,"result":{{"gameType":"POST","seasonTeamStats":[{teams}]}}}}'
+    rows = feeds.flatten_standings(spark.createDataFrame([(2026, "d", body)], "season int, as_of string, payload string")).rows
+    assert [(r.game_type, r.arrival, r.team_id, r.ranking) for r in rows.collect()] == [("POST", i, f"t{i}", i) for i in range(3)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan.split("Generate")[0]
