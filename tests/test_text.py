@@ -133,3 +133,11 @@ def test_game_line_avoids_rule_numbers(spark):
     )
     row = df.first()
     assert row.a == "9월 13일 LG 대 삼성 3-2 (잠실)" and row.b == "9월 13일 18:30 LG 대 삼성 (구장 미정)"
+
+
+def test_a_shown_duration_is_parsed_once(spark):
+    df = spark.createDataFrame([("P1DT2H3M4S",), ("PT5S",), ("x",), (None,)], "iso string")
+    shown = df.select(V.format_duration(V.parse_duration(F.col("iso"))).alias("s"))
+    assert [r.s for r in shown.collect()] == ["26:03:04", "0:05", None, None]
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "regexp_extract" not in plan
