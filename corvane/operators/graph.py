@@ -33,7 +33,7 @@ TRIALS, RECALL = 64, 0.98
 PART_ROWS, STEP = 16_384, 16
 #: Rows compared at once when links are chosen, queries that walk together, beam of the upper layers, rows that lead
 #: on in one step.
-STRIP, TOGETHER, NARROW, ABREAST = 512, 256, 8, 4
+STRIP, TOGETHER, NARROW, ABREAST = 128, 256, 8, 4
 
 
 def layer_sizes(n: int) -> list[int]:
