@@ -154,8 +154,9 @@ def expand_parents(
     member = Window.partitionBy("qid", "parent_id").orderBy("fused_rank")
     led = F.max(F.coalesce(leads, F.lit(False))).over(Window.partitionBy("qid", "parent_id"))
     joined = (
-        pooled.withColumn("_wanted", led)
-        .join(merged, "parent_id", "left")
+        # Windows follow the join, whose exchange by parent serves them, too.
+        pooled.join(merged, "parent_id", "left")
+        .withColumn("_wanted", led)
         .withColumn("_merge", F.col("_wanted") & F.col("m_tokens").isNotNull())
         .withColumn("_nth", F.when(F.col("_merge"), F.row_number().over(member)).otherwise(F.lit(1)))
         .where(F.col("_nth") == 1)
