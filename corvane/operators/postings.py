@@ -34,6 +34,8 @@ B = 0.75
 EPSILON = 0.25
 #: Postings of a block, and tokens of a segment at least (the document that reaches them ends it, also within a batch).
 BLOCK, SEGMENT = 128, 1 << 20
+#: Tokens of a document that a row takes to a task, so that Arrow's batches stay small whatever the texts' lengths.
+PIECE = 64
 #: Queries that travel together.
 TOGETHER = 256
 #: Scores are rounded to six digits, so bounds give way by this much.
@@ -56,18 +58,34 @@ def _gain(tf, dl, avgdl: float):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def _starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Where a document begins; a row with `no` above 0 goes on with the document before it."""
+    if "no" not in rows.schema.names:
+        return np.ones(rows.num_rows, bool)
+    return rows.column("no").to_numpy(zero_copy_only=False) == 0 if rows.num_rows else np.ones(0, bool)
+
+
 def _segment(part: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     table = pa.Table.from_batches(batches).combine_chunks()
-    ids, tokens = table.column("id").combine_chunks(), table.column("tokens").combine_chunks()
-    sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    new = _starts(table)
+    ids, tokens = table.column("id").filter(pa.array(new)).combine_chunks(), table.column("tokens").combine_chunks()
+    pieces = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, doc = len(ids), np.cumsum(new) - 1
+    sizes = np.bincount(doc, pieces, n).astype(np.int64)
     words = tokens.flatten().dictionary_encode()
-    n = len(ids)
-    key, tf = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
-    term, doc = key // n, key % n
+    del table, tokens
+    key = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key *= n
+    key += np.repeat(doc, pieces)
+    words = words.dictionary
+    key, tf = np.unique(key, return_counts=True)
+    term, doc, tf = (key // n).astype(np.int32), (key % n).astype(np.int32), tf.astype(np.int32)
+    del key
     # The segment's own mean length is near enough for the order.
     order = np.lexsort((doc, -_gain(tf, sizes[doc], max(1.0, sizes.mean())), term))
     term, doc, tf = term[order], doc[order], tf[order]
-    place = np.arange(len(term)) - np.searchsorted(term, np.arange(len(words.dictionary)))[term]
+    del order
+    place = np.arange(len(term)) - np.searchsorted(term, np.arange(len(words), dtype=np.int32))[term]
     begin = np.flatnonzero(place % BLOCK == 0)
     rows = len(begin) + 1
     offsets = pa.array(np.append(begin, len(term)).astype(np.int32))
@@ -78,11 +96,11 @@ def _segment(part: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     last = pa.array([0] * rows + [n], pa.int32())
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(rows, part, np.int64)),
-        pa.concat_arrays([words.dictionary.take(pa.array(term[begin])).cast(pa.string()), pa.nulls(1, pa.string())]),
+        pa.concat_arrays([words.take(pa.array(term[begin])).cast(pa.string()), pa.nulls(1, pa.string())]),
         pa.array(np.append(place[begin] // BLOCK, 0).astype(np.int32)),
         pa.array(np.append(most, 0).astype(np.int32)), pa.array(np.append(least, 0).astype(np.int32)),
-        pa.concat_arrays([pa.ListArray.from_arrays(offsets, pa.array(doc.astype(np.int32))), none]),
-        pa.concat_arrays([pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32))), none]),
+        pa.concat_arrays([pa.ListArray.from_arrays(offsets, pa.array(doc)), none]),
+        pa.concat_arrays([pa.ListArray.from_arrays(offsets, pa.array(tf)), none]),
         pa.ListArray.from_arrays(last, ids, mask=unlisted),
         pa.ListArray.from_arrays(last, pa.array(sizes.astype(np.int32)), mask=unlisted),
     ], ["part", "term", "no", "most", "least", "docs", "counts", "ids", "lengths"])
@@ -93,17 +111,30 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False)
         upto, at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
+        starts = np.flatnonzero(_starts(batch))
         while at < batch.num_rows:
-            # As many documents as fill the segment, or the rest of the batch.
-            to = min(batch.num_rows, max(at + 1, int(np.searchsorted(upto, upto[at] + SEGMENT - size))))
-            held.append(batch.slice(at, to - at))
-            size += int(upto[to] - upto[at])
-            at = to
-            if size >= SEGMENT:
+            # Up to the first document that begins when the segment is full, or the rest of the batch.
+            full = max(at, int(np.searchsorted(upto, upto[at] + SEGMENT - size)))
+            to = int(starts[i]) if (i := np.searchsorted(starts, full)) < len(starts) else batch.num_rows
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(upto[to] - upto[at])
+            if to < batch.num_rows:
                 yield _segment(part, held)
                 part, held, size = part + 1, [], 0
+            at = to
     if held:
         yield _segment(part, held)
+    del held
+    # The worker stays, idle, beside others.
+    pa.default_memory_pool().release_unused()
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(id, no, tokens): PIECE tokens of a document in a row, in order; one row for a document without tokens."""
+    words = F.coalesce("tokens", F.array().cast("array<string>"))
+    begin = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(PIECE))
+    return docs.select("id", F.posexplode(F.transform(begin, lambda a: F.slice(words, a + 1, PIECE))).alias("no", "tokens"))
 
 
 def build(docs: DataFrame) -> Index:
@@ -112,7 +143,7 @@ def build(docs: DataFrame) -> Index:
     fields = [("part", T.LongType()), ("term", T.StringType()), *[(c, T.IntegerType()) for c in ("no", "most", "least")], *lists.items()]
     fields += [("ids", T.ArrayType(docs.schema["id"].dataType)), ("lengths", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([T.StructField(*f) for f in fields])
-    blocks = stored_table(docs.select("id", "tokens").mapInArrow(_segments, schema), "blocks")
+    blocks = stored_table(_pieces(docs).mapInArrow(_segments, schema), "blocks")
     total = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n)
     # One row for each segment.
     listed = blocks.where(F.col("term").isNull()).select("part", F.size("ids").alias("n"), total.alias("words")).collect()

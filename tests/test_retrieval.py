@@ -147,6 +147,21 @@ def test_segments_are_cut_within_a_batch(monkeypatch):
     assert all(sum(x[:-1]) < 50 for x in lengths) and all(sum(x) >= 50 for x in lengths[:-1])
 
 
+def test_documents_reach_the_index_in_pieces(spark, monkeypatch):
+    """No row holds a whole long text, and the pieces make the segments that whole documents make."""
+    docs = [(i, None if i == 5 else [f"w{j * i % 11}" for j in range(i * 37 % 400)]) for i in range(60)]
+    rows = postings._pieces(spark.createDataFrame(docs, "id long, tokens array<string>").coalesce(1)).toArrow()
+    assert pc.max(pc.list_value_length(rows.column("tokens"))).as_py() == postings.PIECE < 400
+    monkeypatch.setattr(postings, "SEGMENT", 1000)
+    monkeypatch.setattr(postings, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    whole = pa.record_batch({"id": pa.array([d[0] for d in docs]), "tokens": pa.array([d[1] or [] for d in docs], pa.list_(pa.string()))})
+    want = list(postings._segments(iter([whole])))
+    assert len(want) > 5
+    for size in (1, 3, 1000):
+        got = list(postings._segments(iter(rows.combine_chunks().to_batches(max_chunksize=size))))
+        assert [b.to_pydict() for b in got] == [b.to_pydict() for b in want]
+
+
 def test_graph_widens_a_beam_that_misses_neighbours():
     """Without structure and with few links, neighbours are missed unless the beam fits the rows."""
     x = np.random.default_rng(8).normal(size=(5000, 64))
