@@ -21,6 +21,8 @@ DEFAULT_DIMS = 1024
 DIGITS = 6
 #: Vectors of one tile of a cell; queries that may share a task with one; rows that one product takes.
 TILE_ROWS, QUERY_ROWS, STRIP = 16_384, 65_536, 256
+#: Scores that one product makes, so that a task's arrays do not grow with the cells.
+SCORES = 1 << 20
 #: Pivots at most, and components (dimensions times pivots) at most.
 PIVOTS, COMPONENTS = 1024, 1 << 21
 #: Scores are rounded to six digits, so cells a little below the k-th score are still looked at.
@@ -64,8 +66,9 @@ def pivot_cells(vectors: DataFrame, pivots: int | None = None) -> Cells:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            strip = max(1, min(4096, SCORES // max(1, len(drawn))))
+            for at in range(0, batch.num_rows, strip):
+                part = batch.slice(at, strip)
                 near = _rows(part.column("embedding")) @ drawn.T
                 cell = near.argmax(axis=1)
                 angle = np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))
@@ -113,11 +116,13 @@ def _best_of_tile(k: int, exclude_self: bool) -> Callable:
             vectors = vectors.sort_by("id")
             ids, qids = vectors.column("id").to_numpy(), asked.column("qid").to_numpy()
             rows, want = _rows(vectors.column("embedding")), _rows(asked.column("embedding"))
-            for at in range(0, len(want), STRIP):
-                scores = np.round(want[at : at + STRIP] @ rows.T, DIGITS)
+            strip = max(1, min(STRIP, SCORES // len(ids)))
+            for at in range(0, len(want), strip):
+                scores = want[at : at + strip] @ rows.T
+                np.round(scores, DIGITS, out=scores)
                 if exclude_self:
-                    own = np.searchsorted(ids, qids[at : at + STRIP])
-                    last = np.searchsorted(ids, qids[at : at + STRIP], "right")
+                    own = np.searchsorted(ids, qids[at : at + strip])
+                    last = np.searchsorted(ids, qids[at : at + strip], "right")
                     for i in np.flatnonzero(own < last):
                         scores[i, own[i] : last[i]] = -np.inf
                 # The k-th score first, then only what reaches it is sorted; ids are in order already.

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import unicodedata
 from types import SimpleNamespace
 
@@ -162,6 +163,25 @@ def test_documents_reach_the_index_in_pieces(spark, monkeypatch):
         assert [b.to_pydict() for b in got] == [b.to_pydict() for b in want]
 
 
+def test_a_large_tile_is_searched_in_small_products():
+    """A tile of 16,384 vectors and 512 queries: beside the vectors, less than 64 MB of arrays at a time."""
+    x = np.random.default_rng(2).normal(size=(dense.TILE_ROWS, 16))
+    column = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 16).cast(pa.list_(pa.float64()))
+    ids = pa.array(np.arange(len(x)))
+    vectors, asked = pa.table({"id": ids, "embedding": column}), pa.table({"qid": ids, "embedding": column}).slice(0, 512)
+    tracemalloc.start()
+    found = dense._best_of_tile(3, True)((), vectors, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 100, 511):
+        scores = np.round(unit @ unit[q], dense.DIGITS)
+        scores[q] = -9
+        best = np.lexsort((np.arange(len(x)), -scores))[:3].tolist()
+        assert found.filter(pc.equal(found.column("qid"), q)).column("id").to_pylist() == best
+    assert peak < 64 << 20
+
+
 def test_graph_widens_a_beam_that_misses_neighbours():
     """Without structure and with few links, neighbours are missed unless the beam fits the rows."""
     x = np.random.default_rng(8).normal(size=(5000, 64))
