@@ -182,11 +182,12 @@ class Segment:
         docs = table.column("docs").combine_chunks()
         sizes = pc.list_value_length(docs).to_numpy(zero_copy_only=False).astype(np.int64)
         self.upto = np.concatenate([[0], np.cumsum(sizes)])
-        self.docs = docs.flatten().to_numpy().astype(np.int64)
+        # Places in a segment, and so in its lists, fit 32 bits.
+        self.docs = docs.flatten().to_numpy()
         counts = table.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64)
         self.values = _gain(counts, lengths[self.docs].astype(np.float64), avgdl)
         # The same postings by document, to look some up.
-        self.by_doc = np.lexsort((self.docs, np.repeat(code, sizes)))
+        self.by_doc = np.lexsort((self.docs, np.repeat(code.astype(np.int32), sizes))).astype(np.int32)
         self.sorted_docs = self.docs[self.by_doc]
         # A block's bound may lie above an earlier one's; the highest of the rest bounds a tail.
         self.rest = self.top.copy()
@@ -219,11 +220,11 @@ class Segment:
             floor = max(floor, np.partition(sums, -k)[-k] - lost - SLACK)
         able = np.flatnonzero((sums > 0) & (sums + open_ >= floor))
         read = int((self.upto[take] - self.upto[first]).sum())
-        exact, looked = np.zeros(len(able)), 0
+        exact, looked, own = np.zeros(len(able)), 0, able.astype(np.int32)
         # Every term in one fixed order, so that sums are the same on every run.
         for t, w in zip(terms, weights):
             lo, hi = self.upto[self.first[t]], self.upto[self.first[t + 1]]
-            at = lo + np.searchsorted(self.sorted_docs[lo:hi], able)
+            at = lo + np.searchsorted(self.sorted_docs[lo:hi], own)
             hit = (at < hi) & (self.sorted_docs[np.minimum(at, hi - 1)] == able)
             exact[hit] += w * self.values[self.by_doc[at[hit]]]
             looked += int(hit.sum())

@@ -163,6 +163,14 @@ def test_documents_reach_the_index_in_pieces(spark, monkeypatch):
         assert [b.to_pydict() for b in got] == [b.to_pydict() for b in want]
 
 
+def test_a_segment_holds_24_bytes_a_posting():
+    texts = [[f"w{(i * j) % 997}" for j in range(40)] for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], ["id", "tokens"])
+    segment = postings.Segment(pa.Table.from_batches([postings._segment(0, [batch])]), 40.0)
+    held = (segment.docs, segment.values, segment.by_doc, segment.sorted_docs)
+    assert sum(x.nbytes for x in held) <= 24 * len(segment.docs)
+
+
 def test_a_large_tile_is_searched_in_small_products():
     """A tile of 16,384 vectors and 512 queries: beside the vectors, less than 64 MB of arrays at a time."""
     x = np.random.default_rng(2).normal(size=(dense.TILE_ROWS, 16))
