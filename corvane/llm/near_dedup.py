@@ -37,6 +37,8 @@ PIECE, TILE = 256, 2048
 CENTRES, NEAREST = 2, 2
 #: Bits of a set's parity, and the mark of a pair that is not to be tested.
 PARITY, FAR = 1024, 1 << 30
+#: Pairs of small groups that are compared in one step.
+PAIRS = 1 << 16
 #: Shingles of a shard in which they are compared for being shared.
 SHARD_SHINGLES = 4 << 20
 _SEEDS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -105,12 +107,12 @@ def _signatures(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _first_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first slot whose key each pair of signatures shares, POSITIONS if it shares none."""
-    slot = np.full((len(a), len(b)), POSITIONS, np.uint8)
+    """The first slot whose key each pair of signatures of a group shares, POSITIONS if it shares none."""
+    slot = np.full((*a.shape[:2], b.shape[1]), POSITIONS, np.uint8)
     for c in range(CHUNKS):
         unequal, where = np.zeros_like(slot), np.zeros_like(slot)
         for p in range(PER_CHUNK):
-            off = a[:, c * PER_CHUNK + p, None] != b[None, :, c * PER_CHUNK + p]
+            off = a[:, :, None, c * PER_CHUNK + p] != b[:, None, :, c * PER_CHUNK + p]
             unequal += off
             where += off * np.uint8(p)
         # With no unequal position all four keys are shared, the first one first.
@@ -126,7 +128,7 @@ def _parity(shingles: np.ndarray) -> bytes:
 
 @dataclass
 class Nodes:
-    """Nodes of a group as arrays: names, set sizes, shared shingles, signatures and parities."""
+    """Nodes as arrays: names, set sizes, shared shingles, signatures and parities."""
 
     cid: np.ndarray
     n: np.ndarray
@@ -140,27 +142,24 @@ class Nodes:
         bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(cid), -1)
         return cls(cid, n.astype(np.int64), s.astype(np.int64), _signatures(batch), bits)
 
-    def at(self, i: slice | np.ndarray) -> Nodes:
-        return Nodes(self.cid[i], self.n[i], self.s[i], self.sig[i], self.bits[i])
-
-    def against(self, other: Nodes, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each pair the least number of shingles in which it can differ, FAR if it cannot reach the similarity,
-        and the first slot whose key it shares."""
-        slot = _first_slots(self.sig, other.sig)
-        total = self.n[:, None] + other.n
+    def apart(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """The least number of shingles in which the nodes i and j of each group (a row of both) can differ, FAR if
+        they cannot reach the similarity."""
+        total = self.n[i][:, :, None] + self.n[j][:, None]
         # Two sets have at most the shingles in common that each of them shares with any.
-        near = (100 + percent) * np.minimum(self.s[:, None], other.s) >= percent * total
-        out = np.full(slot.shape, FAR, np.int32)
-        x, y = np.nonzero(near)
-        apart = np.bitwise_count(self.bits[x] ^ other.bits[y]).sum(axis=1, dtype=np.int64)
-        both = total[x, y]
-        ok = (100 + percent) * (both - apart) >= 2 * percent * both
-        out[x[ok], y[ok]] = apart[ok]
-        return out, slot
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Whole groups of rows that arrive sorted by `keys`; a group may span batches."""
+        near = (100 + percent) * np.minimum(self.s[i][:, :, None], self.s[j][:, None]) >= percent * total
+        out = np.full(total.shape, FAR, np.int32)
+        g, x, y = np.nonzero(near)
+        differ = np.bitwise_count(self.bits[i[g, x]] ^ self.bits[j[g, y]]).sum(axis=1, dtype=np.int64)
+        both = total[g, x, y]
+        ok = (100 + percent) * (both - differ) >= 2 * percent * both
+        out[g[ok], x[ok], y[ok]] = differ[ok]
+        return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups of rows that arrive sorted by `keys`, many at a time, and where each begins (one more at the end);
+    a group may span batches."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -172,13 +171,30 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
             v = both.column(k).to_numpy(zero_copy_only=False)
             same &= v[1:] == v[:-1]
         cuts = np.flatnonzero(~same) + 1
-        at = 0
-        for cut in cuts:
-            yield both.slice(at, cut - at)
-            at = cut
-        held = [both.slice(at)]
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield both.slice(0, last), np.concatenate([[0], cuts])
+        held = [both.slice(last)]
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        rest = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield rest, np.array([0, rest.num_rows])
+
+
+def _pieces(begin: np.ndarray) -> np.ndarray:
+    """Groups cut into pieces of at most PIECE rows."""
+    long = np.flatnonzero(np.diff(begin) > PIECE)
+    return np.unique(np.concatenate([begin, *[np.arange(begin[i], begin[i + 1], PIECE) for i in long]]))
+
+
+def _alike(begin: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The rows of groups of one size from 2 to `most`, a group in each line, so many that their pairs are PAIRS at most
+    (or one group)."""
+    sizes = np.diff(begin)
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= most)]).tolist():
+        at = begin[:-1][sizes == size]
+        step = max(1, PAIRS // size**2)
+        for lo in range(0, len(at), step):
+            yield at[lo : lo + step, None] + np.arange(size)
 
 
 def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -188,32 +204,34 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
-def _candidates(groups: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
+def _candidates(groups: Iterator[tuple[pa.RecordBatch, np.ndarray]], pick) -> Iterator[pa.RecordBatch]:
+    """The pairs of rows that pick(batch, nodes, begin) yields, by name."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for g in groups:
-        nodes = Nodes.of(g)
-        for i, j in pick(g, nodes):
-            found.append((nodes.cid[i], nodes.cid[j]))
-        if sum(len(x) for x, _ in found) > 1 << 16:
-            yield from _pairs(found)
-            found = []
+    held = 0
+    for batch, begin in groups:
+        nodes = Nodes.of(batch)
+        for i, j in pick(batch, nodes, begin):
+            if len(i):
+                found.append((nodes.cid[i], nodes.cid[j]))
+                held += len(i)
+            if held > 1 << 16:
+                yield from _pairs(found)
+                found, held = [], 0
     yield from _pairs(found)
 
 
 def central_pairs(members: DataFrame, percent: int) -> DataFrame:
     """In pieces of each node's largest bucket: every node with the most central ones and its nearest one."""
 
-    def pick(g, nodes):
-        for lo in range(0, len(nodes.cid), PIECE):
-            own = nodes.at(slice(lo, lo + PIECE))
-            d, _ = own.against(own, percent)
-            np.fill_diagonal(d, FAR)
-            nearest = d.argmin(axis=0)
-            j = np.flatnonzero(d.min(axis=0) < FAR)
-            yield lo + nearest[j], lo + j
-            for centre in np.argsort(-(d < FAR).sum(axis=0), kind="stable")[:CENTRES].tolist():
-                j = np.flatnonzero(d[centre] < FAR)
-                yield np.full(len(j), lo + centre), lo + j
+    def pick(batch, nodes, begin):
+        for rows in _alike(_pieces(begin), PIECE):
+            d = nodes.apart(rows, rows, percent)
+            d[:, np.arange(rows.shape[1]), np.arange(rows.shape[1])] = FAR
+            g, j = np.nonzero(d.min(axis=1) < FAR)
+            yield rows[g, d.argmin(axis=1)[g, j]], rows[g, j]
+            for centre in np.argsort(-(d < FAR).sum(axis=1), axis=1, kind="stable")[:, :CENTRES].T:
+                g, j = np.nonzero(d[np.arange(len(rows)), centre] < FAR)
+                yield rows[g, centre[g]], rows[g, j]
 
     home = Window.partitionBy("cid").orderBy(F.desc("m"), "key")
     part = F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("m") / PIECE))
@@ -232,20 +250,19 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 def foreign_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """In pieces of each bucket: every node with the nearest ones of other components."""
 
-    def pick(g, nodes):
-        label = g.column("label").to_numpy(zero_copy_only=False)
-        for lo in range(0, len(label), PIECE):
-            part, own = nodes.at(slice(lo, lo + PIECE)), label[lo : lo + PIECE]
-            if (own == own[0]).all():
-                continue
-            d, _ = part.against(part, percent)
-            d[own[:, None] == own] = FAR
-            every = np.arange(len(own))
+    def pick(batch, nodes, begin):
+        label = batch.column("label").to_numpy(zero_copy_only=False)
+        for rows in _alike(_pieces(begin), PIECE):
+            rows = rows[(label[rows] != label[rows[:, :1]]).any(axis=1)]
+            own = label[rows]
+            d = nodes.apart(rows, rows, percent)
+            d[own[:, :, None] == own[:, None]] = FAR
             for _ in range(NEAREST):
-                best = d.argmin(axis=0)
-                j = np.flatnonzero(d[best, every] < FAR)
-                yield lo + best[j], lo + j
-                d[best[j], j] = FAR
+                best = d.argmin(axis=1)
+                g, j = np.nonzero(d.min(axis=1) < FAR)
+                i = best[g, j]
+                yield rows[g, i], rows[g, j]
+                d[g, i, j] = FAR
 
     part = F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("m") / PIECE))
     rows = _labelled(members, labels).select("key", part.alias("part"), "label", "cid", *_NODE)
@@ -257,23 +274,35 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataF
     """All pairs whose nodes share a bucket and lie in different components, each once. Buckets
     are cut into tiles and tiles meet in twos, so that no task holds a bucket."""
 
-    def pick(g, nodes):
-        label, tile = (g.column(c).to_numpy(zero_copy_only=False) for c in ("label", "tile"))
-        slot = g.column("slot")[0].as_py()
-        names, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
-        rest = inverse != count.argmax()
-        lone = np.flatnonzero(rest)
-        both = len(np.unique(tile)) > 1
-        for lo in range(0, len(lone), PIECE):
-            i = lone[lo : lo + PIECE]
-            d, first = nodes.at(i).against(nodes, percent)
-            ok = (d < FAR) & (first == slot) & (label[i, None] != label)
-            # Of two lone nodes, the pair is taken where the first comes first.
-            ok &= ~rest | (i[:, None] < np.arange(len(label)))
-            if both:
-                ok &= tile[i, None] != tile
-            x, y = np.nonzero(ok)
-            yield i[x], y
+    def pick(batch, nodes, begin):
+        label, tile, slot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "tile", "slot"))
+
+        def crossing(i, j, upper):
+            """Of nodes i and j of each group, those whose first common slot is that of the group."""
+            tiles = tile[j]
+            both = (tiles != tiles[:, :1]).any(axis=1)
+            d = nodes.apart(i, j, percent)
+            d[label[i][:, :, None] == label[j][:, None]] = FAR
+            d[both[:, None, None] & (tile[i][:, :, None] == tiles[:, None])] = FAR
+            g, x, y = np.nonzero((d < FAR) & upper)
+            i, j = i[g, x], j[g, y]
+            ok = _first_slots(nodes.sig[i][:, None], nodes.sig[j][:, None])[:, 0, 0] == slot[i]
+            return i[ok], j[ok]
+
+        for rows in _alike(begin, PIECE):
+            yield crossing(rows, rows, np.triu(np.ones((rows.shape[1],) * 2, bool), 1))
+        for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            if hi - lo <= PIECE:
+                continue
+            whole = np.arange(lo, hi)
+            names, inverse, count = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+            rest = inverse != count.argmax()
+            lone = np.flatnonzero(rest)
+            step = max(1, PAIRS // (hi - lo))
+            for at in range(0, len(lone), step):
+                i = lone[at : at + step]
+                # Of two lone nodes, the pair is taken where the first comes first.
+                yield crossing(lo + i[None], whole[None], ~rest | (i[:, None] < np.arange(hi - lo)))
 
     tiles = F.ceil(F.col("m") / TILE)
     rows = (

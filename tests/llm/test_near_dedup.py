@@ -1,5 +1,8 @@
 import random
+import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import near_dedup
@@ -70,6 +73,39 @@ def test_links_beyond_the_signature_distance(spark):
     assert [r.doc_id for r in found if r.component_id != r.doc_id // 2 * 2] == []
 
 
+@pytest.mark.parametrize("step", ["central_pairs", "foreign_pairs", "crossing_pairs"])
+def test_work_grows_with_the_buckets_not_their_square(spark, monkeypatch, step):
+    """A task that holds four times as many small buckets makes at most about four times as many calls."""
+    chunks = {f"c{i}": "long" for i in range(8)}
+    kinds = {"key": "long", "slot": "int", "cid": "long", "m": "long", "n": "int", "s": "long", "bits": "binary", **chunks}
+    members = spark.createDataFrame([], ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+    labels = spark.createDataFrame([], "cid long, label long")
+    runs = []
+    monkeypatch.setattr(type(members), "mapInArrow", lambda self, f, schema: runs.append(f) or self)
+    getattr(near_dedup, step)(members, *[labels] * (step != "central_pairs"), 80)
+
+    def work(buckets):
+        cid = np.arange(2 * buckets)
+        cols = {c: cid // 2 for c in ("key", *chunks)} | dict.fromkeys(("part", "t", "u", "tile", "slot"), cid * 0) | {"cid": cid, "label": cid}
+        cols |= {"n": np.full(len(cid), 100), "s": np.full(len(cid), 100), "bits": [bytes(near_dedup.PARITY // 8)] * len(cid)}
+        batches = pa.table(cols).to_batches(max_chunksize=999)
+        calls = 0
+
+        def count(frame, event, arg):
+            nonlocal calls
+            calls += event == "call"
+
+        sys.setprofile(count)
+        try:
+            found = [b.to_pydict() for b in runs[0](iter(batches))]
+        finally:
+            sys.setprofile(None)
+        assert {x for b in found for x in zip(b["a"], b["b"])} == {(i, i + 1) for i in range(0, 2 * buckets, 2)}
+        return calls
+
+    assert work(2000) < 6 * work(500)
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
