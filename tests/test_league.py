@@ -269,6 +269,27 @@ def test_highlights(spark):
     assert {r.stage for r in stages.collect()} == {"disabled"}
 
 
+def test_highlights_query_asks_the_web_where_channels_give_none(spark, tmp_path):
+    """Games 10, 25 (listed twice) and 31 get the web's video, 61 one that cannot be looked up; 33 is not on the web, 40 has no channel, 22 has its own."""
+    from driver_queries import records
+
+    orders = [(10, 1), (31, 1), (61, 1), (33, 1), (40, 9), (22, 3), (25, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "R")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    at = [(10, 11), (31, 2), (33, 4), (40, 11), (22, 23), (150, 23), (25, 26), (25, 26)]
+    events = [(i, 3 if i == 150 else 2, dt.datetime(2024, 1, day, 1)) for i, day in at]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    rows = records.R.queries["find_highlights"](spark, str(tmp_path)).collect()
+    got = {int(r.game_id): (r.stage, r.id, r.place, r.score) for r in rows}
+    assert len(rows) == len(got)
+    none = (None, None, None)
+    assert got == {
+        10: ("ok", "10", 1, 5), 31: ("score_below_min", *none), 61: ("verify_failed", *none),
+        33: ("no_candidate", *none), 40: ("no_channel", *none), 22: ("ok", "150", 1, 5), 25: ("ok", "25", 1, 5),
+    }
+
+
 def test_titles_of_earlier_seasons_do_not_match(spark):
     games = spark.createDataFrame([("g", "LG", 0, dt.date(2026, 9, 13))], "game_id string, code string, priority int, game_date date")
     days = {"old": "2021-09-13", "early": "2026-09-12", "same": "2026-09-13", "late": "2026-10-13", "later": "2026-10-14", "unknown": None}
